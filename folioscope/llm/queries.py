@@ -37,3 +37,33 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.bpe import encode_decode
 
     return encode_decode(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.toxicity import fit, score_texts
+
+    docs = read(spark, sf_dir, "documents")
+    return score_texts(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.quality import fit, score_texts
+
+    docs = read(spark, sf_dir, "documents")
+    return score_texts(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.mixing import plan
+
+    return plan(read(spark, sf_dir, "documents"))
