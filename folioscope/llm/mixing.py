@@ -6,8 +6,9 @@ copies and a fractional one. Fractions are rounded in pairs: of two documents wi
 words move from one to the other until one fraction is 0 or 1; which of the two ways is random with the odds that keep
 each document's expectation, and the fractional words a p + b q stay the same. The document that is still fractional goes on
 to the next pair. Within a chunk of documents this is one fold; the residuals of chunks are the documents of the next
-level, a tree whose height is the logarithm of the largest source, until each source has one residual, rounded alone. So a
-source's words are off its target by one document's size at most.
+level, a tree whose height is the logarithm of the largest source, until each source has one residual. That is rounded
+alone, and documents of the source's last chunk (CHUNK or so, set aside for it by hash) make up for the words it gains or loses, as far as they can. So
+a source's words are off its target by less than one document's size.
 
 Randomness is a hash of the row and the seed: reruns agree. Null texts count 0 words; a null source is a source (ordered
 last). Rows alike in doc_id, source and size are told apart by a running number, which is why repeated rows can differ in
@@ -81,6 +82,23 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), none.alias("rest")), meet)
 
 
+def _even_out(folded: Column) -> Column:
+    """folded with its residual rounded to the nearer whole, and then, largest first, each settled item the other way
+    round where that brings the words nearer to what was planned."""
+    over = F.coalesce((F.round(folded["rest"]["p"]) - folded["rest"]["p"]) * folded["rest"]["size"], F.lit(0.0))
+
+    def turn(acc: Column, x: Column) -> Column:
+        change = F.when(x["p"] == 1.0, -x["size"]).otherwise(x["size"]).cast("double")
+        better = F.abs(acc["over"] + change) < F.abs(acc["over"])
+        return F.struct(
+            F.when(better, acc["over"] + change).otherwise(acc["over"]).alias("over"),
+            F.concat(acc["done"], F.array(x.withField("p", F.when(better, 1 - x["p"]).otherwise(x["p"])))).alias("done"),
+        )
+
+    turned = F.aggregate(F.sort_array(folded["done"], asc=False), F.struct(over.alias("over"), F.array().cast(f"array<{ITEM}>").alias("done")), turn)
+    return F.struct(turned["done"].alias("done"), folded["rest"].withField("p", F.round(folded["rest"]["p"])).alias("rest"))
+
+
 def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, source, size, n, copies, source_size, target) of each row of sized(doc_id, source, size); n tells rows apart
     that are alike in those three."""
@@ -95,20 +113,27 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     most = sources.agg(F.max("rows")).first()[0] or 0
     fields = ("size", "id", "n", "whole", "p")
     settled = planned.where("p = 0").select("source", *fields)
-    loose, level, reach = planned.where("p > 0").select("source", "rows", *fields), 0, 1.0
+    kept = F.pmod(F.xxhash64(F.lit(f"{seed} keep"), "id", "size", "n"), F.col("rows")) < chunk
+    reserve = planned.where((F.col("p") > 0) & kept).select("source", "rows", *fields)  # about a chunk of each source, for the last level
+    loose, level, reach = planned.where((F.col("p") > 0) & ~kept).select("source", "rows", *fields), 0, 1.0
     while True:
-        parts = F.ceil(F.col("rows") / (reach * chunk)).cast("long")
+        last = reach * chunk >= most
+        loose = loose.union(reserve) if last else loose
+        parts = F.lit(1).cast("long") if last else F.ceil(F.col("rows") / (reach * chunk)).cast("long")
         place = F.pmod(F.xxhash64(F.lit(f"{seed} place {level}"), "id", "size", "n"), parts)
         random = F.pmod(F.xxhash64(F.lit(f"{seed} move {level}"), "id", "size", "n"), F.lit(1 << 53)) / float(1 << 53)
         items = F.sort_array(F.collect_list(F.struct(*fields, random.alias("r"))), asc=False)
         chunks = loose.groupBy("source", "rows", place.alias("place")).agg(items.alias("items"))
-        folded = durable(chunks.select("source", "rows", _fold(F.col("items")).alias("x")).select("source", "rows", "x.done", "x.rest"))
+        folded = durable(chunks.select("source", "rows", _fold(F.col("items")).alias("x")))
+        if last:
+            folded = folded.select("source", "rows", _even_out(F.col("x")).alias("x"))
+        folded = folded.select("source", "rows", "x.done", "x.rest")
         settled = settled.union(folded.select("source", F.explode("done").alias("x")).select("source", *(f"x.{c}" for c in fields)))
         loose = folded.where("rest is not null").select("source", "rows", *(f"rest.{c}" for c in fields))
         level, reach = level + 1, reach * chunk
-        if reach >= most:
+        if last:
             break
-    settled = settled.union(loose.select("source", "size", "id", "n", "whole", F.round("p").alias("p")))
+    settled = settled.union(loose.select("source", *fields))
     by_source = sources.select(F.col("source").alias("of"), "source_size", "target")
     taken = settled.select(F.col("id").alias("doc_id"), "source", "size", "n", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
     return taken.join(by_source, same).drop("of")

@@ -67,3 +67,37 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.mixing import plan
 
     return plan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.ann import search
+
+    return search(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.media import document_media
+
+    return document_media(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioscope.llm.chat import assemble, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text").unionByName(extra)
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    return read_back(assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)

@@ -29,7 +29,7 @@ from folioscope.llm.logistic import fit_logistic, sigmoid
 
 FOLDS, HELD = 4, 2
 #: Labelled documents that the model is fitted on at most, and entries of its lexicon at most.
-SAMPLE, LEXICON = 8_000, 20_000
+SAMPLE, LEXICON = 12_000, 20_000
 #: Lengths of word beginnings that count as features beside the whole word, marked by a trailing hyphen.
 BEGINNINGS = (4, 5, 6, 7)
 #: Weight of the Dirichlet prior, in documents; least z value and least toxic documents of a lexicon entry; loss by other words.
@@ -103,16 +103,32 @@ class ToxicModel:
 MEMORY = 300_000
 
 
-def _of_words(sample: DataFrame) -> DataFrame:
-    """(feature, label): each feature of a document once."""
+def log_odds(y1: int, y0: int, n1: float, n0: float) -> tuple[float, float]:
+    """(log-odds ratio, its z value) of a feature in y1 of n1 toxic and y0 of n0 other documents, under the Dirichlet prior."""
+    prior = PRIOR * (y1 + y0) / (n1 + n0)
+    odds = math.log((y1 + prior) / max(n1 + PRIOR - y1 - prior, 0.5)) - math.log((y0 + prior) / max(n0 + PRIOR - y0 - prior, 0.5))
+    return odds, odds / math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+
+
+def _counted(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(feature, y, kinds): in how many texts a feature occurs, and whether in several words; of `only`, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sorted({f for w in set(_words(text.lower())) for f in features(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], ["feature", "label"])
-
-    return sample.mapInArrow(run, "feature string, label int")
+            seen: dict[str, list] = {}  # number of texts, least word, greatest word
+            for text in batch.column(0).to_pylist():
+                own: dict[str, list] = {}
+                for w in set(_words(text.lower())):
+                    for f in features(w):
+                        if only is None or f in only:
+                            own.setdefault(f, []).append(w)
+                for f, ws in own.items():
+                    x = seen.setdefault(f, [0, ws[0], ws[0]])
+                    x[0], x[1], x[2] = x[0] + 1, min(x[1], *ws), max(x[2], *ws)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.string()), **{k: pa.array([x[i] for x in seen.values()], t) for i, (k, t) in enumerate((("y", pa.int64()), ("low", pa.string()), ("high", pa.string())))}})
+
+    each = texts.select("text").mapInArrow(run, "feature string, y long, low string, high string")
+    return each.groupBy("feature").agg(F.sum("y").alias("y"), (F.min("low") != F.max("high")).alias("kinds"))
 
 
 def _measure(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -143,12 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> ToxicM
     if not sizes.get(1) or not sizes.get(0):
         return ToxicModel({}, 1.0, 1.0, [0.0, 0.0, 0.0])
     n1, n0 = float(sizes[1]), float(sizes[0])
-    counted = _of_words(sample).groupBy("feature").agg(F.sum("label").cast("double").alias("y1"), F.sum(1 - F.col("label")).cast("double").alias("y0"))
-    prior = PRIOR * (F.col("y1") + F.col("y0")) / (n1 + n0)
-    odds = F.log((F.col("y1") + prior) / (n1 + PRIOR - F.col("y1") - prior + 1e-9)) - F.log((F.col("y0") + prior) / (n0 + PRIOR - F.col("y0") - prior + 1e-9))
-    weighed = counted.where(F.col("y1") >= LEAST_DOCS).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))).alias("z"))
-    best = weighed.where((F.col("z") >= LEAST_Z) & (F.col("odds") > 1)).orderBy(F.desc("z"), "feature").limit(LEXICON)
-    lexicon = {f: float(o) for f, o, _ in best.collect()}
+    toxic = _counted(sample.where("label = 1")).where(F.col("y") >= LEAST_DOCS)
+    # the beginning of one word alone says no more than the word
+    y1 = {r["feature"]: r["y"] for r in toxic.where("kinds or feature not like '%-'").collect()}
+    y0 = {r["feature"]: r["y"] for r in _counted(sample.where("label = 0"), frozenset(y1)).collect()}
+    rated = sorted(((*log_odds(y, y0.get(f, 0), n1, n0), f) for f, y in y1.items()), key=lambda x: (-x[1], x[2]))
+    lexicon = {f: odds for odds, z, f in rated[:LEXICON] if z >= LEAST_Z and odds > 1}
     rows = _measure(sample, lexicon).collect()
     clean = [r for r in rows if not r["label"]]
     words = sum(r["n"] for r in clean)
