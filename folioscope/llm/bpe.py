@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import doc_slices, id_and_text, sized_batches
 
@@ -160,37 +161,43 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text); ids too, if they're to be kept."""
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for ids, texts in doc_slices(batches):
-            coded = own.code(texts)
-            out = {
-                "doc_id": ids,
-                "n_tokens": pa.array([len(a) // 4 for a, _ in coded], pa.int64()),
-                "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in coded],
-                "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, b in coded],
-            }
-            if keep_ids:
-                out["ids"] = pa.array([np.frombuffer(a, "<u4").tolist() for a, _ in coded], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, **_digests(own.code(texts))})
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return id_and_text(docs).mapInArrow(run, schema + ", ids array<bigint>" * keep_ids)
+def _digests(coded: list[tuple[bytes, bytes]]) -> dict[str, pa.Array]:
+    return {
+        "n_tokens": pa.array([len(a) // 4 for a, _ in coded], pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(a).hexdigest() for a, _ in coded], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for _, b in coded], pa.string()),
+    }
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs, each text encoded and decoded again: the texts that a reader of the ids gets. Null texts become empty."""
+def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs without its text, with ids (array<int>), n_tokens, ids_sha256 and decoded_sha256 of it; a text whose ids don't
+    decode to it again ends the run. Columns of docs with those names give way."""
+    made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in docs.columns if c not in (*made, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            decoded = [b.decode() for _, b in own.code(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(decoded, pa.string()), *batch.columns[at + 1 :]], schema=pa.schema([f if i != at else pa.field("text", pa.string()) for i, f in enumerate(batch.schema)]))
-
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    return sized_batches(docs).mapInArrow(run, docs.schema)
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            coded = own.code(texts)
+            if any(b != t.encode() for (_, b), t in zip(coded, texts)):
+                raise ValueError("a text doesn't come back from its ids")
+            ends = np.cumsum([0, *(len(a) // 4 for a, _ in coded)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(a for a, _ in coded), "<i4")
+            out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), *_digests(coded).values()]
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], *made])
+
+    rows = docs.select(*kept, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return sized_batches(rows).mapInArrow(run, schema)

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import doc_slices, durable, id_and_text
+from folioscope.llm.common import durable, sized_batches
 from folioscope.llm.components import connected
 
 SEED, BITS = 42, 3
@@ -181,15 +181,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(*kept)
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, print) of every row of docs(doc_id, text); print holds the 64 bits as a signed integer."""
+def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) -> DataFrame:
+    """(doc_id, print) of every row of docs(doc_id, text); print holds the 64 bits as a signed integer. With a mark, that
+    column of the row too, as hash."""
+    more = [] if mark is None else [mark.alias("hash")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in doc_slices(batches):
-            prints = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(prints)], ["doc_id", "print"])
+        for batch in batches:
+            prints = np.array([fingerprint(t or "", width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, print long")
+    rows = sized_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more))
+    return rows.mapInArrow(run, "doc_id long, print long" + ", hash long" * len(more))
 
 
 def print_links(prints: DataFrame) -> DataFrame:
@@ -198,12 +201,30 @@ def print_links(prints: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of docs: component_id is the smallest doc_id that links reach."""
-    marked = durable(fingerprints(docs, width))
+def _components(marked: DataFrame) -> DataFrame:
+    """(print, component_id) of every distinct fingerprint of marked(doc_id, print)."""
     prints = durable(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = connected(print_links(prints))
     named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = durable(named.join(least, "root").select("print", "component_id"))
-    return marked.join(component, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return durable(named.join(least, "root").select("print", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs: component_id is the smallest doc_id that links reach."""
+    marked = durable(fingerprints(docs, width))
+    return marked.join(_components(marked), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of docs(doc_id, text, ...) of each component, all columns kept: of the smallest doc_id (nulls last), then of
+    the text with the smallest hash; of rows alike in both, any one."""
+    text = F.coalesce("text", F.lit(""))
+    marked = durable(fingerprints(docs.select("doc_id", "text"), width, F.xxhash64(text)))
+    whole = marked.join(_components(marked), "print")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = whole.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.hash").alias("_kept_hash")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64(text))
+    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
+    alike = Window.partitionBy("_kept_id", "_kept_hash").orderBy(F.lit(0))
+    return met.withColumn("_number", F.row_number().over(alike)).where("_number = 1").select(*docs.columns)
