@@ -676,3 +676,82 @@ def research_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         return se.ranked(se.bm25(docs, "document_id", {"title": 1.0, "body": 1.0}, parts), [F.desc("bm25"), F.asc("document_id")], 5)
 
     return se.research(asked, one)
+
+
+@query()
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed forty to an archive on the executors, and the archives' members."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from folioscope.sources.files import explode_archives
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in zip(pdf["name"], pdf["body"]):
+                z.writestr(name, text or "")
+        return pd.DataFrame({"path": [f"box-{pdf['box'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    docs = corpus.documents(spark, sf_dir).select("name", "body", F.floor(F.col("document_id") / 40).alias("box"))
+    boxes = docs.groupBy("box").applyInPandas(pack, "path string, content binary")
+    return explode_archives(boxes).select("container_path", "path", "archive_depth", "size", F.sha2("content", 256).alias("content_hash"), "error_code")
+
+
+@query()
+def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots as a stream: the change events that it appends."""
+    import tempfile
+    import uuid
+
+    from folioscope.sources.sinks import VersionedTables
+    from folioscope.streaming.changes import change_feed, snapshot_stream
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = f"{shared.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    old, new = corpus.snapshots(spark, sf_dir)
+    new = new.withColumn("document_id", F.abs(F.hash("path")).cast("long") + 10_000_000)
+    for generation, rows in enumerate((old, new), 1):
+        rows.select(F.lit(generation).cast("long").alias("generation"), F.col("document_id").cast("long"), "path", "source_kind", F.col("size").cast("long"), F.col("mtime").cast("long"), "content_hash").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        change_feed(snapshot_stream(spark, f"{root}/in"), f"{root}/tables", f"{root}/offsets").awaitTermination()
+    return VersionedTables(spark, f"{root}/tables").read("events").select("kind", "path", "previous_path", "generation")
+
+
+@query("""with b as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new_ from events),
+s as (select user_id, ts, sum(new_) over (partition by user_id order by ts rows unbounded preceding) as n from b)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as events from s group by user_id, n""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.streaming.changes import session_counts
+
+    return session_counts(corpus.table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@query(r"""select page_id, case when instr(url, '//') > 0 then regexp_replace(url, '^[a-z]+://', '') else url end as path, length(html) as size_bytes, sha256(html) as content_hash from pages""")
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as documents: a path from the address, the markup as text."""
+    p = corpus.table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_replace("url", r"^[a-z]+://", "").alias("path"), F.length("html").alias("size_bytes"), tx.text_digest(F.col("html")).alias("content_hash"))
+
+
+@query("""with d as (select doc_id as query_id, 'See [S1], [S' || (doc_id % 5) || '].' as answer from documents), g as (select query_id, answer, case when doc_ok then replace(answer, '[S' || (query_id % 5) || ']', '') else answer end as clean
+from (select *, (query_id % 5) not in (1, 2) as doc_ok from d)) select query_id, clean as answer, case when query_id % 5 = 2 then 'S1,S2' else 'S1' end as cited, false as degraded from g""")
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.plugins import grounded
+
+    i = F.col("doc_id")
+    d = corpus.table(spark, sf_dir, "documents")
+    answers = d.select(i.alias("query_id"), F.concat(F.lit("See [S1], [S"), i % 5, F.lit("].")).alias("answer"))
+    cites = d.select(i.alias("query_id"), F.explode(F.array(F.lit("S1"), F.lit("S2"))).alias("label"))
+    return grounded(answers, cites).withColumn("cited", F.array_join("cited", ","))
+
+
+@query(f"""with {DOCS} select '# ' || 'Folder ' || parent || chr(10) || chr(10) || '' || chr(10) || chr(10) || '## files' || chr(10) || chr(10) || string_agg('- [' || case when document_id % 2 = 0 then 'x' else ' ' end || '] ' || name || ': ' || trim(left(title, 20)), chr(10) order by document_id) || chr(10) as markdown, parent as task_id from docs group by parent""")
+def task_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.sources.sinks import task_markdown as render
+
+    docs = corpus.documents(spark, sf_dir)
+    tasks = docs.select(F.col("parent").alias("task_id"), F.concat(F.lit("Folder "), "parent").alias("title"), F.lit("").alias("goal")).distinct()
+    items = docs.select(F.col("parent").alias("task_id"), F.lit("files").alias("slot_id"), F.col("document_id").alias("position"), "name", F.lit(None).cast("int").alias("page_number"), F.left("title", F.lit(20)).alias("excerpt"), F.when(F.col("document_id") % 2 == 0, "accepted").otherwise("pending").alias("review_state"))
+    return render(tasks, items)
