@@ -39,6 +39,35 @@ with recursive s(i, w, t) as (
         from s join best using (w)))
 select w, t from s join (select w, max(i) as i from s group by w) using (w, i)
 """
+#: Words of more characters than this contract all occurrences of their lowest pair in a round (every other one of a run of
+#: overlapping ones), unless one of the new tokens would at once have a neighbour to contract with that ranks as low or
+#: lower: then the leftmost alone. Only a word's last list is kept, since a long word takes many rounds.
+LONG = 64
+ENCODE_LONG = """
+create or replace table coded as
+with recursive s(w, t) using key (w) as (
+    select w, t from bytes_in
+    union (
+        with rows as (select w, unnest(t) as t, unnest(t[2:]) as nt, generate_subscripts(t, 1) as p from s),
+        pairs as (select rows.*, m.merged from rows left join merges m on m.pair = rows.t::bigint * 4294967296 + rows.nt),
+        low as (select w, min(merged) as m, min_by(p, merged::bigint * 4294967296 + p) as first from pairs where merged is not null group by w),
+        spots as (select pairs.w, p, m, first, p - row_number() over (partition by pairs.w order by p) as run from pairs join low using (w) where merged = m),
+        every as (select w, p, m, first, (p - min(p) over (partition by w, run)) % 2 = 0 as chosen from spots),
+        chosen as (select w, p, m, first from every where chosen),
+        made as (
+            select a.w, a.p, coalesce(c.m, a.t) as t, c.m, lag(coalesce(c.m, a.t)) over (partition by a.w order by a.p) as before
+            from rows a left join chosen c on a.w = c.w and a.p = c.p left join chosen d on a.w = d.w and a.p = d.p + 1
+            where d.p is null),
+        risky as (
+            select distinct x.w from made x left join rows r on r.w = x.w and r.p = x.p + 2
+            left join merges l on l.pair = x.before::bigint * 4294967296 + x.t left join merges n on n.pair = x.t::bigint * 4294967296 + r.t
+            where x.m is not null and (l.merged <= x.m or n.merged <= x.m)),
+        taken as (select c.* from chosen c left join risky using (w) where risky.w is null or c.p = c.first)
+        select a.w, list(coalesce(c.m, a.t) order by a.p) as t
+        from rows a join low on a.w = low.w left join taken c on a.w = c.w and a.p = c.p left join taken d on a.w = d.w and a.p = d.p + 1
+        where d.p is null group by a.w))
+select w, t from s
+"""
 DECODE = """
 select string_agg(v.hex, '' order by p) as hex
 from (select w, unnest(t) as id, generate_subscripts(t, 1) as p from coded) join vocabulary v using (id)
@@ -106,7 +135,7 @@ class Coder:
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
         self._table("bytes_in", pa.table({"w": np.arange(len(words), dtype=np.int32), "t": lists}))
-        self.db.execute(ENCODE)
+        self.db.execute(ENCODE_LONG if max(lengths) > 4 * LONG else ENCODE)
         ends = np.cumsum(self.db.execute("select len(t) as n from coded order by w").fetchnumpy()["n"]) * 4
         ids = self.db.execute("select unnest(t) as id from (select t from coded order by w)").fetchnumpy()["id"]
         packed = np.asarray(ids).astype("<u4").tobytes()
@@ -120,9 +149,15 @@ class Coder:
         whole = [(w, self.ids.get(w.encode())) for w in words]  # a token's own bytes are that token, as in the usual libraries
         self.words.update((w, (np.array(i, "<u4").tobytes(), self.tokens[i])) for w, i in whole if i is not None)
         words = [w for w, i in whole if i is None]
-        for start in range(0, len(words), AT_ONCE):
-            some = words[start : start + AT_ONCE]
-            self.words.update(zip(some, zip(self.encode([w.encode() for w in some]), self.decode())))
+        words.sort(key=len)
+        while words:
+            coded, size = [], 0
+            while words and len(coded) < AT_ONCE and size < AT_ONCE * LONG:
+                coded.append(words.pop())
+                size += len(coded[-1])
+            for some in ([w for w in coded if len(w) > LONG], [w for w in coded if len(w) <= LONG]):
+                if some:
+                    self.words.update(zip(some, zip(self.encode([w.encode() for w in some]), self.decode())))
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of text that no match of the pattern crosses; a space stood before all but the first.
