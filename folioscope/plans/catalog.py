@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.operators import evidence as ev
 from folioscope.operators import relations as rel
 from folioscope.operators import search as se
 from folioscope.sources import corpus
@@ -755,3 +756,206 @@ def task_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = docs.select(F.col("parent").alias("task_id"), F.concat(F.lit("Folder "), "parent").alias("title"), F.lit("").alias("goal")).distinct()
     items = docs.select(F.col("parent").alias("task_id"), F.lit("files").alias("slot_id"), F.col("document_id").alias("position"), "name", F.lit(None).cast("int").alias("page_number"), F.left("title", F.lit(20)).alias("excerpt"), F.when(F.col("document_id") % 2 == 0, "accepted").otherwise("pending").alias("review_state"))
     return render(tasks, items)
+
+
+# Evidence, cards, plans, stored JSON
+
+
+@query("""with p as (select conv_id as document_id, case when turn % 3 = 0 then null else turn end as page_number, turn as page_id, text from conversations)
+select document_id, left(string_agg(trim(text), chr(10) || chr(10) order by page_id), 20000) as text from p where page_number = 1 or page_number is null group by document_id""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("document_id"), F.when(F.col("turn") % 3 != 0, F.col("turn")).alias("page_number"), F.col("turn").alias("page_id"), "text")
+    return ev.page_text(pages, 1)
+
+
+@query("""with r as (select conv_id as document_id, turn as ordinal, left(text, 250) as body, row_number() over (partition by conv_id order by turn) as place from conversations)
+select document_id, ordinal, body, place::int as place from r where place <= 3""")
+def first_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.col("text").alias("body"))
+    return ev.first_passages(c, 3, 250)
+
+
+_CITED = """ev as (select doc_id % 40 as query_id, doc_id as document_id, k as position, left(text, 30) || k as excerpt from documents, (select unnest([0, 1, 2, 3]) as k) where doc_id % 3 <> 0),
+res as (select doc_id % 40 as query_id, doc_id as document_id, row_number() over (partition by doc_id % 40 order by n_chars, doc_id) as rank from documents),
+top as (select query_id, document_id, row_number() over (partition by query_id order by rank) as n from res where document_id % 3 <> 0 qualify n <= 5),
+cited as (select e.query_id, 'S' || n as label, e.document_id, position + 1 as place, excerpt from ev e join top using (query_id, document_id) where position < 3)"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = corpus.table(spark, sf_dir, "documents"), (F.col("doc_id") % 40).alias("query_id")
+    results = d.select(q, F.col("doc_id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("doc_id") % 40).orderBy("n_chars", "doc_id")).alias("rank"))
+    pieces = d.where("doc_id % 3 <> 0").select(q, F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("position"), F.left("text", F.lit(30)).alias("t"))
+    return ev.cited_results(results, pieces.select("query_id", "document_id", "position", F.concat("t", "position").alias("excerpt")))
+
+
+@query(f"with {_CITED} select query_id, label, document_id, place::int as place, excerpt from cited")
+def cited_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cited(spark, sf_dir)
+
+
+@query(f"with {_CITED} select query_id, document_id, left(sha256(document_id || '||' || place || '|' || excerpt), 20) as candidate_id, excerpt from cited")
+def evidence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.candidates(_cited(spark, sf_dir))
+
+
+@query(f"with {_CITED} select left(sha256(document_id || '||' || place || '|' || excerpt), 20) as candidate_id from cited where document_id % 4 = 0")
+def tampered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = ev.candidates(_cited(spark, sf_dir))
+    theirs = mine.withColumn("excerpt", F.when(F.col("document_id") % 4 == 0, F.concat("excerpt", F.lit("!"))).otherwise(F.col("excerpt")))
+    return ev.tampered(theirs, mine, "document_id", "excerpt")
+
+
+_CARDS = """cards as (select document_id, case when document_id % 5 = 0 then 'old' else content_hash end as content_hash, case when document_id % 7 = 0 then 'failed' else 'done' end as state, 'Card ' || document_id as summary from docs where document_id % 3 <> 0)"""
+
+
+def _cards(docs: DataFrame) -> DataFrame:
+    i = F.col("document_id")
+    return docs.where(i % 3 != 0).select("document_id", F.when(i % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(i % 7 == 0, "failed").otherwise("done").alias("state"), F.concat(F.lit("Card "), i).alias("summary"))
+
+
+@query(f"with {DOCS}, {_CARDS} select d.document_id, d.path, c.summary, c.content_hash is not distinct from d.content_hash as fresh from docs d left join cards c using (document_id) where d.parent = 'src1/en'")
+def folder_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return ev.children_with_cards(docs, _cards(docs), "src1/en")
+
+
+@query(f"""with {DOCS}, {_CARDS}, m as (select coalesce(c.content_hash = d.content_hash, false) as same, c.state from docs d left join cards c using (document_id)),
+n as (select count(*) filter (same and state = 'done') as indexed, count(*) filter (same and state = 'failed') as failed, count(*) as total from m) select indexed, failed, total - indexed - failed as pending, total - indexed as estimated_calls from n""")
+def card_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    return ev.card_status(docs, _cards(docs))
+
+
+@query(f"with {DOCS}, {_CARDS} select d.document_id as id, d.content_hash from docs d left join cards c using (document_id) where not coalesce(c.content_hash = d.content_hash and c.state in ('done', 'failed'), false)")
+def cards_to_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.streaming.changes import to_refresh
+
+    docs = corpus.documents(spark, sf_dir)
+    return to_refresh(_cards(docs).withColumnRenamed("document_id", "id"), docs.select(F.col("document_id").alias("id"), "content_hash"))
+
+
+@query(f"with {DOCS} select count(*) as total, count(*) filter (node_type = 'text') as text, count(*) filter (node_type <> 'text') as non_text from docs")
+def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.cache_counts(corpus.documents(spark, sf_dir))
+
+
+@query(f"""with {DOCS}, {SNAPSHOTS}, {DIFF}, parts as (select string_split(path, '/') as s from changes), f as (select distinct array_to_string(s[:k], '/') as folder from parts, (select unnest(range(1, 6)) as k) where k < len(s) union select '.')
+select 'read' as action, count(*) as n from changes where kind in ('added', 'modified', 'moved') union all select 'roll_up', count(*) from f union all select 'drop', count(*) from changes where kind = 'deleted'""")
+def update_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.update_plan(corpus.documents(spark, sf_dir), rel.diff(*corpus.snapshots(spark, sf_dir)))
+
+
+@query("""with s as (select case when event_id % 3 = 0 then 'abandoned' else 'completed' end as outcome, case when event_id % 3 = 0 then 'e' || (event_id % 4) end as error_code, value * 10000 as duration_ms from events)
+select 'sessions' as metric, count(*)::double as value from s union all select 'completion_rate', round(avg((outcome = 'completed')::int), 6) from s union all select 'within_limit_rate', round(avg((outcome = 'completed' and duration_ms <= 600000)::int), 6) from s
+union all select 'outcome:' || outcome, count(*)::double from s group by outcome union all select 'error_code:' || error_code, count(*)::double from s where error_code is not null group by error_code""")
+def activation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    s = corpus.table(spark, sf_dir, "events").select(F.when(i % 3 == 0, "abandoned").otherwise("completed").alias("outcome"), F.when(i % 3 == 0, F.concat(F.lit("e"), i % 4)).alias("error_code"), (F.col("value") * 10000).alias("duration_ms"))
+    return ev.activation_summary(s)
+
+
+@query("""select event_id, case when event_id % 9 = 0 then null else (event_id % 100000)::bigint end as ms, (event_id * 3600) % 86400 >= 43200 as expired from events""")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, at = F.col("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    iso = lambda ms: F.date_format(F.timestamp_millis(F.lit(1_704_067_200_000) + ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    end = F.when(i % 9 == 0, "not a time").otherwise(iso(i % 100_000))
+    now = F.timestamp_seconds(F.lit(1_704_067_200) + (i * 3600) % 86_400)
+    return corpus.table(spark, sf_dir, "events").select("event_id", ev.duration_ms(iso(F.lit(0)), end).alias("ms"), ev.expired(at, now, 12).alias("expired"))
+
+
+@query("""select event_id, case when event_id % 10 = 0 then 0 when event_id % 10 = 1 then 0 else 2 end as n_list, case when event_id % 10 = 0 then '' when event_id % 10 = 1 then '' else 'a' || event_id || ',b' end as joined from events""")
+def stored_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    raw = F.when(i % 10 == 0, "{broken").when(i % 10 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit('["a'), i, F.lit('","b"]')))
+    return corpus.table(spark, sf_dir, "events").select("event_id", ev.json_list(raw).alias("x")).select("event_id", F.size("x").alias("n_list"), F.array_join("x", ",").alias("joined"))
+
+
+@query(f"""with {DOCS}, {SNAPSHOTS}, {ITEMS}, once as (select content_hash, min(document_id) as by_hash from docs group by content_hash having count(*) = 1)
+select task_id, item_id, coalesce(by_hash, case when i.content_hash is null or i.content_hash = d.content_hash then d.document_id end) as document_id from items i left join once o on i.content_hash = o.content_hash left join docs d on i.path = d.path""")
+def migrated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.migrated_items(corpus.task_items(spark, sf_dir), corpus.documents(spark, sf_dir))
+
+
+@query("""with o as (select doc_id % 9 as parent_id, sha256(text) as content_hash, 'm' || (doc_id % 50) as c, 'a/' || doc_id as path from documents where doc_id % 4 <> 1), n as (select doc_id % 9 as parent_id, sha256(text) as content_hash, 'm' || (doc_id % 50) as c, case when doc_id % 3 = 0 then 'b/' else 'a/' end || doc_id as path from documents),
+g as (select parent_id, content_hash, c, min(path) as old_path from o where path not in (select path from n) group by all having count(*) = 1), k as (select parent_id, content_hash, c, min(path) as path from n where path not in (select path from o) group by all having count(*) = 1)
+select old_path, path from g join k using (parent_id, content_hash, c)""")
+def member_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = corpus.table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = lambda d, path: d.select((i % 9).alias("parent_id"), tx.text_digest(F.col("text")).alias("content_hash"), F.array(F.concat(F.lit("m"), i % 50)).alias("member_chain"), F.array(i % 2 * 0).alias("member_indexes"), path.alias("path"))
+    return ev.member_moves(rows(d.where(i % 4 != 1), F.concat(F.lit("a/"), i)), rows(d, F.concat(F.when(i % 3 == 0, "b/").otherwise("a/"), i)))
+
+
+@query("select coalesce(a.doc_id, b.doc_id) as task_id, a.doc_id is not null as has_task from (select doc_id from documents where doc_id % 5 <> 0) a full join (select doc_id from labels) b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null")
+def unjudged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = corpus.table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("task_id"))
+    return ev.mismatched(tasks, corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("task_id")))
+
+
+@query(f"""with {DOCS}, t as (select document_id as task_id, case when document_id % 8 = 0 then [] when document_id % 6 = 0 then ['gone/' || document_id] else [path] end as paths from docs)
+select 'unknown_path' as code, count(*) as n from (select unnest(paths) as p from t) where p not in (select path from docs) union all select 'duplicate_task', 0 union all select 'no_target', count(*) from t where len(paths) = 0 union all select 'missing_category', 1""")
+def dataset_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = corpus.documents(spark, sf_dir), F.col("document_id")
+    tasks = docs.select(i.alias("task_id"), F.when(i % 8 == 0, F.array().cast("array<string>")).when(i % 6 == 0, F.array(F.concat(F.lit("gone/"), i))).otherwise(F.array("path")).alias("relevant_paths"), F.array("lang").alias("categories"))
+    return ev.dataset_faults(tasks, docs, ["en", "fr", "zh"])
+
+
+@query("""with u as (select doc_id, case when doc_id % 3 = 0 then doc_id % 5 when doc_id % 3 = 1 then 99 end as e from documents) select doc_id as task_id, (doc_id % 5 + case when doc_id % 3 = 0 then 1 else 0 end) as revision,
+case when doc_id % 3 = 0 then 'new ' else 'old ' end || doc_id as title, doc_id % 3 = 0 as applied, doc_id % 3 = 1 as conflict from u""")
+def task_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = corpus.table(spark, sf_dir, "documents"), F.col("doc_id")
+    tasks = d.select(i.alias("task_id"), (i % 5).alias("revision"), F.concat(F.lit("old "), i).alias("title"))
+    updates = d.where(i % 3 != 2).select(i.alias("task_id"), F.when(i % 3 == 0, i % 5).otherwise(99).alias("expected_revision"), F.concat(F.lit("new "), i).alias("title"))
+    return ev.with_revision(tasks, updates)
+
+
+@query(f"""with {DOCS}, {SNAPSHOTS}, {ITEMS} select task_id, item_id, case when f.path is null then 'missing' when f.h = i.content_hash then 'current' else 'changed' end as freshness
+from items i left join (select path, sha256(case when document_id % 18 = 0 then body || '!' else body end) as h from docs where document_id % 5 <> 0) f using (path)""")
+def task_revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("document_id")
+    files = corpus.documents(spark, sf_dir).where(i % 5 != 0).select("path", F.when(i % 18 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).cast("binary").alias("content"))
+    return ev.revalidated(corpus.task_items(spark, sf_dir), files)
+
+
+@query("""with p as (select conv_id as document_id, turn as page_number, length(text) % 100 / 100.0::double as q from conversations), t as (select *, row_number() over (partition by document_id order by page_number) as n from p where q < 0.72 and not (page_number % 4 = 0))
+select document_id, page_number, q as quality_score from t where n <= 2""")
+def ocr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = corpus.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), (F.length("text") % 100 / F.lit(100.0)).alias("quality_score"))
+    return ev.ocr_budget(pages, pages.where("page_number % 4 = 0").select("document_id", "page_number"), 2)
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
+select doc_id::varchar as path, count(*) as rows, max(len(string_split(line, ',')))::int as columns from l where n <= 50 group by doc_id""")
+def csv_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return ev.csv_shape(lines.select("path", (F.col("at") + 1).alias("number"), "line"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then 'mine ' || doc_id end as kept, 'body ' || doc_id as body from documents""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    block = F.when(i % 2 == 0, F.concat(F.lit("<!-- user:notes -->\nmine "), i, F.lit("\n<!-- /user:notes -->\n"))).otherwise("")
+    page = F.concat(F.lit("# T\n"), block, F.lit("## Summary\nbody "), i, F.lit("\n## Next\nother"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", ev.protected_blocks(page, "notes").alias("kept"), ev.section(page, "Summary").alias("body"))
+
+
+@query("""with d as (select doc_id, case when doc_id % 3 = 0 then 'Report: <' || doc_id || '>.md ' else '..' || lang || '/' || doc_id || '?' end as raw from documents)
+select doc_id, case when doc_id % 3 = 0 then 'Report_ _' || doc_id || '_.md' else lang_ || '_' || doc_id end as safe, case when doc_id % 3 = 0 then 'report-' || doc_id || '-md' else lang_ || '-' || doc_id end as slug from d join (select doc_id, lang as lang_ from documents) using (doc_id)""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit("Report: <"), i, F.lit(">.md "))).otherwise(F.concat(F.lit(".."), "lang", F.lit("/"), i, F.lit("?")))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.safe_name(raw).alias("safe"), tx.safe_slug(raw).alias("slug"))
+
+
+@query(f"""with {DOCS} select document_id, left(array_to_string(list_filter(regexp_split_to_array(replace(replace(replace(trim(regexp_replace(body, '\\s+', ' ', 'g')), '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)), lambda s: s <> '')[:3], ' '), 400) as summary from docs""")
+def heuristic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.plugins import heuristic_summary
+
+    return heuristic_summary(corpus.documents(spark, sf_dir))
+
+
+@query("select doc_id as document_id, ceil(length(text) / 4.0::double)::bigint as tokens, round(ceil(length(text) / 4.0::double) * 0.5::double / 1e6, 8) as cost from documents")
+def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.plugins import model_cost
+
+    return model_cost(corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")), 0.5)

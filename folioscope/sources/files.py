@@ -7,6 +7,7 @@ an extractor is registered for their extension.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -152,6 +153,19 @@ def archive_members(data: bytes, outer: str, policy: ArchivePolicy) -> list[tupl
         return [(outer, [], None, 0, len(data), None, "damaged_archive")]
 
 
+def materialized(data: bytes, member_indexes: list[int], content_hash: str | None = None) -> bytes:
+    """One member's bytes through a chain of archives, if they're what they were."""
+    for index in member_indexes:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            info = z.infolist()[index]
+            if error := member_error(info, ArchivePolicy()):
+                raise ValueError(error)
+            data = z.read(info)
+    if content_hash is not None and hashlib.sha256(data).hexdigest() != content_hash:
+        raise ValueError("source_changed")
+    return data
+
+
 MEMBERS = "container_path string, path string, member_chain array<string>, member_index int, archive_depth int, size long, content binary, error_code string"
 
 
