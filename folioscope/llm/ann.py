@@ -5,8 +5,8 @@ Largest inner products are nearest neighbours once every vector gets one more co
 the median; it's fitted on a bounded sample of the distinct vectors (SAMPLE), and every vector is then filed in its leaf
 of each tree. A query descends all trees through one shared priority queue: the leaf on the right side of all its splits
 first, then those that lie the least far across the margins on their path, of whichever tree, until it has seen a SHARE of
-all leaves. Queries and vectors meet by leaf; there all inner products are computed, in double precision, and the best K + 1 of each query go on. So what
-a leaf emits is bounded, and so is what comes together for a query.
+all leaves. Queries and vectors meet by leaf; there all inner products are computed, in double precision, and of each query the best K + 1 go on that score
+no less than the (K + 1)th best of the sample. So what a leaf emits is bounded, and so is what comes together for a query.
 
 Copies: rows of equal vectors are one vector in the forest, with the K + 1 smallest of their ids, which are all that can be
 among K results of any query (its own id apart); each distinct query vector is searched once. Repeated rows of one id and
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ TREES, SAMPLE, SAMPLE_LEAF, SEED = 6, 32_768, 16, 42
 #: hardest case, need this share for a recall of 0.9; clustered vectors need far less.
 SHARE, LEAST_PROBES = 0.15, 64
 #: Vectors of a leaf wanted, where the sample allows it.
-LEAF = 256
+LEAF = 1024
 
 
 @dataclass
@@ -110,11 +109,19 @@ def grow(sample: np.ndarray, n_vectors: int, longest: float, trees: int = TREES,
     return forest
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
+def _vectors(column: pa.Array, kind: str = "<f8") -> np.ndarray:
+    """Vectors of a list or (packed) binary column, in double precision."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        rows = column.to_pylist()
+        return np.frombuffer(b"".join(rows), kind).astype(np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _packed(vectors: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
+
+
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector) of the rows that take part."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
@@ -141,53 +148,61 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     if not total["n"]:
         return spark.createDataFrame([], schema)
     sample = distinct.orderBy(F.xxhash64("h1", F.lit(SEED)), "h2").limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("vector"))
-    forest = grow(np.array([r["vector"] for r in sample.collect()]), total["n"], float(total["longest"]))
+    drawn = np.array([r["vector"] for r in sample.collect()])
+    forest = grow(drawn, total["n"], float(total["longest"]))
     probes = max(LEAST_PROBES, int(np.ceil(share * TREES * 2**forest.height)))
-    shared = spark.sparkContext.broadcast(forest)  # SAMPLE and TREES bound its size
+    shared = spark.sparkContext.broadcast((forest, drawn))  # SAMPLE and TREES bound its size
+    kind = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaves = shared.value.leaves(_vectors(batch.column(2)))
+                x = _vectors(batch.column(2))
+                leaves, packed = shared.value[0].leaves(x), _packed(x, kind)
                 for t in range(leaves.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(leaves[:, t] * TREES + t), *batch.columns], ["leaf", *batch.schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves[:, t] * TREES + t), batch.column(0), batch.column(1), packed, batch.column(3)], ["leaf", "h1", "h2", "vector", "first"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = shared.value.probe(_vectors(part.column(2)), probes)
+                x = _vectors(part.column(2))
+                found = own.probe(x, probes)
+                # no result of a query scores less than the (k + 1)th best of the sample, which all vectors include
+                least = -np.partition(-(x @ seen.T), k, axis=1)[:, k] - 1e-9 if len(seen) > k else np.full(len(x), -np.inf)
                 at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 leaf = pa.array([leaf * TREES + tree for f in found for tree, leaf in f], pa.int64())
-                yield pa.RecordBatch.from_arrays([leaf, *(c.take(at) for c in part.columns)], ["leaf", *part.schema.names])
-
-    def meet(_: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("q1", "q2", "v1", "v2", "score")}
-        if len(vectors) and len(queries):
-            x, first_id = np.array(vectors["vector"].tolist(), float), vectors["first"].to_numpy()
-            h1, h2 = vectors["h1"].to_numpy(), vectors["h2"].to_numpy()
-            q1, q2, asked_ = queries["h1"].to_numpy(), queries["h2"].to_numpy(), np.array(queries["vector"].tolist(), float)
+                yield pa.RecordBatch.from_arrays([leaf, *(c.take(at) for c in (part.column(0), part.column(1), _packed(x, kind), pa.array(least)))], ["leaf", "h1", "h2", "vector", "least"])
+
+    def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        if vectors.num_rows and queries.num_rows:
+            x, asked_ = (_vectors(t["vector"].combine_chunks(), kind) for t in (vectors, queries))
+            first, least = vectors["first"].to_numpy(), queries["least"].to_numpy()
+            names = [queries["h1"].to_numpy(), queries["h2"].to_numpy(), vectors["h1"].to_numpy(), vectors["h2"].to_numpy()]
             for start in range(0, len(asked_), 256):
-                scores = asked_[start : start + 256] @ x.T
-                keep = min(k + 1, len(x))
-                least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                for i, row in enumerate(scores):
-                    at = np.flatnonzero(row >= least[i] - 1e-12)
-                    exact = (asked_[start + i] * x[at]).sum(1)  # the same number for a pair wherever it meets
-                    best = np.lexsort((first_id[at], -exact))[:keep]
-                    for c, v in (("q1", [q1[start + i]] * len(best)), ("q2", [q2[start + i]] * len(best)), ("v1", h1[at[best]]), ("v2", h2[at[best]]), ("score", exact[best])):
-                        out[c].extend(v)
-        return pd.DataFrame(out).astype({"q1": "int64", "q2": "int64", "v1": "int64", "v2": "int64", "score": "float64"})
+                q, v = np.nonzero(asked_[start : start + 256] @ x.T >= least[start : start + 256, None])
+                exact = (asked_[start + q] * x[v]).sum(1)  # the same number for a pair wherever it meets
+                order = np.lexsort((first[v], -exact, q))
+                q, v, exact = q[order], v[order], exact[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, v, exact = (a[place <= k] for a in (q, v, exact))
+                for to, a in zip(out, (names[0][start + q], names[1][start + q], names[2][v], names[3][v], first[v], exact)):
+                    to.append(a)
+        kinds = [np.int64] * 5 + [np.float64]
+        return pa.table({c: np.concatenate(a) if a else np.empty(0, t) for c, a, t in zip(("q1", "q2", "v1", "v2", "first", "score"), out, kinds)})
 
     wide = lambda d, *more: sized_batches(d.select("h1", "h2", F.col("vector").cast("array<double>").alias("vector"), *more))
-    filed = wide(distinct, F.col("ids")[0].alias("first")).mapInArrow(file, "leaf long, h1 long, h2 long, vector array<double>, first long")
-    probed = wide(asked).mapInArrow(ask, "leaf long, h1 long, h2 long, vector array<double>")
-    near = filed.groupBy("leaf").cogroup(probed.groupBy("leaf")).applyInPandas(meet, "q1 long, q2 long, v1 long, v2 long, score double")
-    # at most probes x (k + 1) rows of a query come together here, each with k + 1 ids at most
-    pairs = near.distinct().join(distinct.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "ids"), ["v1", "v2"])
-    merged = pairs.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), F.col("ids")[0].alias("first"), "ids"))).alias("all"))
-    listed = F.flatten(F.transform(F.slice("all", 1, k + 1), lambda x: F.transform(x["ids"], lambda i: F.struct(x["away"].alias("away"), i.alias("id")))))
-    merged = merged.select("q1", "q2", F.slice(F.sort_array(listed), 1, k + 1).alias("best"))
+    filed = wide(distinct, F.col("ids")[0].alias("first")).mapInArrow(file, "leaf long, h1 long, h2 long, vector binary, first long")
+    probed = wide(asked).mapInArrow(ask, "leaf long, h1 long, h2 long, vector binary, least double")
+    near = filed.groupBy("leaf").cogroup(probed.groupBy("leaf")).applyInArrow(meet, "q1 long, q2 long, v1 long, v2 long, first long, score double")
+    # of a query, a leaf gives k + 1 rows at most, so what meets here is bounded; every vector has one id at least
+    best = near.groupBy("q1", "q2").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("away"), "first", "v1", "v2"))), 1, k + 1).alias("best"))
+    pairs = best.select("q1", "q2", F.explode("best").alias("x")).select("q1", "q2", "x.away", "x.v1", "x.v2")
+    pairs = pairs.join(distinct.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "ids"), ["v1", "v2"])
+    found = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("away").alias("away"), i.alias("id")))))
+    merged = pairs.groupBy("q1", "q2").agg(F.slice(F.sort_array(found), 1, k + 1).alias("best"))
     answers = hashed.where("asks").select(F.col("id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct().join(merged, ["q1", "q2"])
-    own = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(own).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.away")).alias("score"))
+    own_out = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
+    return answers.select("query_id", F.posexplode(own_out).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.away")).alias("score"))
