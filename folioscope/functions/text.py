@@ -11,6 +11,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 CJK = "\\u4e00-\\u9fff"
 
 
+def once(value: Column, f) -> Column:
+    """f(value), where value is computed once although f uses it within a lambda."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 def folded(c: Column) -> Column:
     """Lower case with sharp s spelt out, which is full case folding for Western European text."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -56,23 +61,28 @@ def one_line(c: Column) -> Column:
 
 def excerpt(text: Column, query: Column, limit: int = 240, lead: int = 70) -> Column:
     """A window of the text around the query, or else around the first of its sorted terms that occurs, or the start."""
-    flat = one_line(text)
-    low = F.lower(flat)
-    spot = F.locate(F.lower(query), low) if isinstance(query, str) else F.expr("0") + F.instr(low, F.lower(query))
-    hits = F.filter(F.transform(search_terms(query), lambda t: F.instr(low, t)), lambda p: p > 0)
-    found = F.when(spot > 0, spot).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.lit(1)))
-    start = F.greatest(F.lit(1), found - lead)
-    body = F.substring(flat, start, F.lit(limit))
-    return F.concat(F.when(start > 1, "…").otherwise(""), F.trim(body), F.when(start + limit <= F.length(flat), "…").otherwise(""))
+
+    def found(low: Column) -> Column:
+        spot = F.instr(low, F.lower(query))
+        hits = F.filter(F.transform(search_terms(query), lambda t: F.instr(low, t)), lambda p: p > 0)
+        return F.when(spot > 0, spot).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.lit(1)))
+
+    def window(flat: Column) -> Column:
+        start = F.greatest(F.lit(1), once(F.lower(flat), found) - lead)
+        return once(start, lambda s: F.concat(F.when(s > 1, "…").otherwise(""), F.trim(F.substring(flat, s, F.lit(limit))), F.when(s + limit <= F.length(flat), "…").otherwise("")))
+
+    return once(one_line(text), window)
 
 
 def evidence_excerpt(text: Column, terms: Column, limit: int = 240, lead: int = 80) -> Column:
     """A window that starts before the earliest term and stays within the text's end."""
-    flat = one_line(text)
-    low = F.lower(flat)
-    first = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0))
-    start = F.greatest(F.lit(1), F.least(F.coalesce(first, F.lit(1)) - lead, F.length(flat) - (limit - 1)))
-    return F.substring(flat, start, F.lit(limit))
+
+    def window(flat: Column) -> Column:
+        first = once(F.lower(flat), lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)))
+        start = F.greatest(F.lit(1), F.least(F.coalesce(first, F.lit(1)) - lead, F.length(flat) - (limit - 1)))
+        return F.substring(flat, start, F.lit(limit))
+
+    return once(one_line(text), window)
 
 
 def heading(text: Column, limit: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.operators.search import asked
 
 # Filters and lookups
 
@@ -291,7 +292,7 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
 
 def filename_order(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The baseline: documents by how many of a query's terms their name has, 100 more if it holds the query; then by path."""
-    met = docs.select("document_id", "path", F.lower("name").alias("n"), tx.search_terms(F.col("name")).alias("t")).crossJoin(F.broadcast(queries.select("query_id", F.lower("query").alias("q"), tx.search_terms(F.col("query")).alias("qt"))))
+    met = docs.select("document_id", "path", F.lower("name").alias("n"), tx.search_terms(F.col("name")).alias("t")).crossJoin(asked(queries.select("query_id", F.lower("query").alias("q"), tx.search_terms(F.col("query")).alias("qt"))))
     score = F.size(F.array_intersect("t", "qt")) + F.when(F.contains("n", F.col("q")), 100).otherwise(0)
     return met.select("query_id", "document_id", score.alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "path")).alias("rank"))
 
@@ -324,7 +325,7 @@ def study_summary(rows: DataFrame) -> DataFrame:
 
 def study_assignment(participants: DataFrame, tasks: DataFrame) -> DataFrame:
     """Tasks of each participant in a hashed order, conditions alternating from a hashed start."""
-    met = participants.crossJoin(F.broadcast(tasks)).withColumn("h", F.sha2(F.concat_ws(":", "participant_id", "task_id"), 256))
+    met = participants.crossJoin(tasks).withColumn("h", F.sha2(F.concat_ws(":", "participant_id", "task_id"), 256))
     place = F.row_number().over(Window.partitionBy("participant_id").orderBy("h", "task_id"))
     start = F.conv(F.substring(F.sha2(F.col("participant_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
     return met.select("participant_id", "task_id", place.alias("place"), F.when(F.pmod(place + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))

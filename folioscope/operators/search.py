@@ -16,10 +16,14 @@ BROADCAST_QUERIES = 10_000
 PASSAGE_LIMIT = 250
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether there are few enough queries to send them to all executors."""
+    return len(queries.select("query_id").limit(BROADCAST_QUERIES + 1).collect()) <= BROADCAST_QUERIES
+
+
 def asked(queries: DataFrame) -> DataFrame:
     """The queries, marked for broadcast if they're few."""
-    few = len(queries.select("query_id").limit(BROADCAST_QUERIES + 1).collect()) <= BROADCAST_QUERIES
-    return F.broadcast(queries) if few else queries
+    return F.broadcast(queries) if few(queries) else queries
 
 
 def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
@@ -34,16 +38,16 @@ def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame
     split = rows.select(key, *(tokens(F.col(f)).alias(f) for f in fields))
     split = split.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
     stats = split.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
-    terms = query_terms(queries)
+    terms, small = query_terms(queries), F.broadcast if few(queries) else lambda d: d  # a query has a few terms
     with_weight = lambda f, w: F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
     each = F.flatten(F.array(*(with_weight(f, w) for f, w in fields.items())))
     said = split.select(key, "dl", F.explode(each).alias("x")).select(key, "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    tf = said.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy(key, "dl", "term").agg(F.sum("w").alias("f"))
+    tf = said.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy(key, "dl", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     gain = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select(key, "term", gain.alias("gain"))
-    return weighed.join(F.broadcast(terms), "term").groupBy("query_id", key).agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("n_matched"), F.sum("gain").alias("bm25"))
+    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(stats)).select(key, "term", gain.alias("gain"))
+    return weighed.join(small(terms), "term").groupBy("query_id", key).agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("n_matched"), F.sum("gain").alias("bm25"))
 
 
 def ranked(rows: DataFrame, order: list[Column], k: int, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -89,7 +93,7 @@ def passage_hits(passages: DataFrame, names: DataFrame, queries: DataFrame, limi
     top = ranked(hits, [F.desc("bm25"), F.asc("passage_id")], limit, name="place").select("query_id", "passage_id", "bm25")
     parts = queries.select("query_id", F.split(tx.normalized(F.col("query")), " ").alias("parts"))
     met = rows.join(top, "passage_id").join(asked(parts), "query_id")
-    holds = lambda c: F.forall("parts", lambda p: F.contains(tx.normalized(F.col(c)), p))
+    holds = lambda c: tx.once(tx.normalized(F.col(c)), lambda t: F.forall("parts", lambda p: F.contains(t, p)))
     best = F.when(holds("heading"), F.struct(F.lit(2).alias("tier"), F.lit("heading holds all parts").alias("reason"))).when(holds("body"), F.struct(F.lit(3).alias("tier"), F.lit("text holds all parts").alias("reason")))
     return met.withColumn("x", best).where("x is not null").select("query_id", "document_id", "passage_id", "x.tier", (-F.col("bm25")).alias("score"), "x.reason")
 

@@ -501,7 +501,7 @@ select count(*) as n, round(avg(coalesce(rank <= 1, false)::int), 6) as hit_at_1
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("start"))
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = d.join(F.broadcast(b), F.contains(d["text"], F.col("start"))).groupBy("query_id").agg(F.min("doc_id").alias("found"))
+    found = d.join(se.asked(b), F.contains(d["text"], F.col("start"))).groupBy("query_id").agg(F.min("doc_id").alias("found"))
     return rel.retrieval_metrics(b.join(found, "query_id", "left").select("query_id", (F.col("found") % 7 + 1).alias("rank")))
 
 
@@ -717,7 +717,7 @@ def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for generation, rows in enumerate((old, new), 1):
         rows.select(F.lit(generation).cast("long").alias("generation"), F.col("document_id").cast("long"), "path", "source_kind", F.col("size").cast("long"), F.col("mtime").cast("long"), "content_hash").coalesce(1).write.mode("append").parquet(f"{root}/in")
         change_feed(snapshot_stream(spark, f"{root}/in"), f"{root}/tables", f"{root}/offsets").awaitTermination()
-    return VersionedTables(spark, f"{root}/tables").read("events").select("kind", "path", "previous_path", "generation")
+    return VersionedTables(spark, f"{root}/tables").history("events").select("kind", "path", "previous_path", "generation")
 
 
 @query("""with b as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new_ from events),

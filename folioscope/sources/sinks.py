@@ -44,6 +44,11 @@ class VersionedTables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/v{self.current()['version']}/{name}")
 
+    def history(self, name: str) -> DataFrame:
+        """An append-only table: what each committed version added."""
+        versions = sorted(r["version"] for r in self._pointers().select("version").collect())
+        return self.spark.read.parquet(*(f"{self.root}/v{v}/{name}" for v in versions))
+
     def stale(self, schema_version: str = "1", algorithm: str = "1") -> bool:
         """Whether the derived tables must be rebuilt: there are none, or they're of another schema or algorithm."""
         now = self.current()

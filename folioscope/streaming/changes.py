@@ -22,7 +22,7 @@ def snapshot_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame
 
 def change_feed(stream: DataFrame, root: str, checkpoint: str):
     """Runs what's available: each batch's newest snapshot is compared with the state table, whose new version holds the
-    snapshot and the events. A batch that comes again after a failure finds its generation there and adds nothing."""
+    snapshot and this batch's events (history() has all). A batch that comes again after a failure finds its generation there and adds nothing."""
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -36,12 +36,11 @@ def change_feed(stream: DataFrame, root: str, checkpoint: str):
                     continue
             old = tables.read("state").drop("generation") if started else new.limit(0)
             found = rel.diff(old, new.drop("document_id")).withColumn("generation", F.lit(generation))
-            events = tables.read("events").unionByName(found) if started else found
             # a moved or known file keeps its id
             ids = old.select("path", F.col("document_id").alias("old_id"))
             moved = found.where("kind = 'moved'").select("path", F.col("document_id").alias("moved_id"))
             state = new.join(ids, "path", "left").join(moved, "path", "left").withColumn("document_id", F.coalesce("old_id", "moved_id", "document_id")).drop("old_id", "moved_id").withColumn("generation", F.lit(generation))
-            tables.commit({"state": state, "events": events})
+            tables.commit({"state": state, "events": found})
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

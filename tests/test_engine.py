@@ -154,7 +154,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(r, changes.SNAPSHOT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         changes.change_feed(changes.snapshot_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     t = sinks.VersionedTables(spark, str(tmp_path / "t"))
-    got = {(r["generation"], r["kind"], r["path"], r["previous_path"]) for r in t.read("events").collect()}
+    got = {(r["generation"], r["kind"], r["path"], r["previous_path"]) for r in t.history("events").collect()}
     assert got == {(1, "added", "a", None), (1, "added", "b", None), (2, "moved", "m/a", "a"), (2, "deleted", "b", None), (2, "added", "c", None)}
     assert t.read("state").where("path = 'm/a'").first()["document_id"] == 1
 
