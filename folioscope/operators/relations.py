@@ -418,3 +418,27 @@ def integrity(docs: DataFrame, children: DataFrame, cached: DataFrame) -> DataFr
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def node_faults(nodes: DataFrame, indexes: DataFrame, raw: DataFrame, roots: DataFrame) -> DataFrame:
+    """(code, severity, key) of a tree of nodes(node_id, path, node_type, depends_on), its written indexes(path, node_id,
+    header_ok), the raw files(path, generated) and the registered roots(root)."""
+    leaf = nodes.where("node_type in ('leaf', 'foldernode')")
+    met = leaf.join(indexes.select("path", F.col("node_id").alias("written_id"), "header_ok"), "path")
+    needs = nodes.select("path", F.explode("depends_on").alias("needed"))
+    a, b = roots.select(F.col("root").alias("a")), roots.select(F.col("root").alias("b"))
+    faults = [
+        ("index_missing", "error", leaf.join(indexes, "path", "left_anti").select("path")),
+        ("index_invalid", "error", met.where("not header_ok").select("path")),
+        ("id_mismatch", "error", met.where("header_ok and written_id <> node_id").select("path")),
+        ("index_untracked", "warning", indexes.join(leaf, "path", "left_anti").select("path")),
+        ("dependency_unknown", "error", needs.join(nodes.select(F.col("node_id").alias("needed")), "needed", "left_anti").select("path").distinct()),
+        ("raw_missing", "warning", nodes.where("node_type <> 'foldernode'").join(raw, "path", "left_anti").select("path")),
+        ("generated_in_raw", "error", raw.where("generated").select("path")),
+        ("roots_overlap", "error", a.join(b, F.startswith("b", F.concat(F.col("a"), F.lit("/")))).select(F.col("b").alias("path")).distinct()),
+    ]
+    out = None
+    for code, severity, rows in faults:
+        one = rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("path").alias("key"))
+        out = one if out is None else out.unionByName(one)
+    return out
