@@ -124,24 +124,24 @@ PENALTY = {"stale": 2.0, "pending_stable": 3.0, "pending_edit": 3.0, "failed": 4
 
 
 def search_documents(docs: DataFrame) -> DataFrame:
-    """Rows for the older ranker: the fields as texts, and each field's sorted distinct terms."""
-    rows = docs.select(
+    """Rows for the older ranker: the fields as texts, and what its scores look at."""
+    return docs.select(
         "document_id", "node_type", "status", "quality_flags", "modified_at", "source", "name", "path",
         F.col("title").alias("summary"), F.concat_ws(" ", "lang", "source").alias("keyword"), F.left("body", F.lit(240)).alias("evidence"), "body",
         (F.length("body") > 20_000).alias("truncated"),
     )
-    return rows.select("*", *(tx.analyzed_terms(F.col(f)).alias(f"{f}_terms") for f in FIELDS))
 
 
 def search_weighted(rows: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
     """(query_id, rank, document_id, name, score, coverage): candidates by weighted BM25 over the fields' term sets, a limit,
     then filters, then rescoring."""
-    sets = rows.select("document_id", *(F.array_join(f"{f}_terms", " ").alias(f) for f in FIELDS))
+    sets = rows.select("document_id", *(F.array_join(tx.analyzed_terms(F.col(f)), " ").alias(f) for f in FIELDS))
     q = queries.withColumn("terms", tx.analyzed_terms(F.col("query"))).where(F.size("terms") > 0)
     hits = bm25(sets, "document_id", FIELDS, q.withColumn("query", F.array_join("terms", " ")))
     top = ranked(hits, [F.desc("bm25"), F.asc("document_id")], min(500, max(5 * k, 50)), name="place")
     met = rows.join(top.select("query_id", "document_id", "bm25"), "document_id").join(asked(q.select("query_id", F.lower("query").alias("q"), "terms")), "query_id")
     met = met.where(where) if where is not None else met
+    met = met.select("*", *(tx.analyzed_terms(F.col(f)).alias(f"{f}_terms") for f in FIELDS))  # of the candidates alone
     n = F.size("terms")
     union = F.array_distinct(F.flatten(F.array(*(f"{f}_terms" for f in FIELDS))))
     met = met.withColumn("coverage", F.size(F.array_intersect("terms", union)) / n)
