@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import doc_slices, id_and_text, sized_batches
+from folioscope.llm.common import alone, doc_slices, id_and_text, sized_batches
 
 #: Entries of a worker's memory of encoded words, and words of one query; a full memory starts anew.
-REMEMBERED, AT_ONCE = 150_000, 60_000
+REMEMBERED, AT_ONCE = 70_000, 30_000
 
 ENCODE = """
 create or replace table coded as
@@ -117,7 +117,7 @@ class Coder:
                 if left is not None and right is not None:
                     merges["pair"].append(left << 32 | right)
                     merges["merged"].append(rank)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self._table("merges", pa.table({"pair": pa.array(merges["pair"], pa.int64()), "merged": pa.array(merges["merged"], pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(self.ids.values(), pa.int32()), "hex": [t.hex() for t in self.ids]}))
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
@@ -189,6 +189,11 @@ class Coder:
 _coders: dict[tuple[str, str], Coder] = {}
 
 
+def forget() -> None:
+    """Drops what this worker keeps from task to task (a function of the module, since a closure would get a copy)."""
+    _coders.clear()
+
+
 def coder(path: str, pattern: str) -> Coder:
     """The coder of a vocabulary file, built once in a worker."""
     if (path, pattern) not in _coders:
@@ -200,6 +205,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe", forget)
         own = coder(path, pattern)
         for ids, texts in doc_slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, **_digests(own.code(texts))})
@@ -222,6 +228,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in (*made, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe", forget)
         own = coder(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import sized_batches
+from folioscope.llm.common import alone, sized_batches
 
 #: The reserved ids follow the vocabulary; their strings in the formatted text.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -65,6 +65,11 @@ class Assembler:
 _assemblers: dict[tuple[str, str], Assembler] = {}
 
 
+def forget() -> None:
+    """Drops what this worker keeps from task to task (a function of the module, since a closure would get a copy)."""
+    _assemblers.clear()
+
+
 def assembler(path: str, pattern: str) -> Assembler:
     if (path, pattern) not in _assemblers:
         _assemblers[path, pattern] = Assembler(path, pattern)
@@ -76,6 +81,7 @@ def encoded_turns(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     packed, and the stretch of them under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("chat", forget)
         own = assembler(path, pattern)
         for batch in batches:
             out = {"ids": [], "loss_start": [], "loss_end": []}

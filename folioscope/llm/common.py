@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds at once, beside one document.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,11 +49,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def sized_batches(df: DataFrame) -> DataFrame:
     """Sets how many rows and bytes go to a Python worker at once."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 
+_holding: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """To be called when a task starts in a Python worker: what other operators keep in it is dropped. drop frees what this
+    one will keep for its next task."""
+    dropped = [_holding.pop(name) for name in list(_holding) if name != owner]
+    for free in dropped:
+        free()
+    if drop is not None:
+        _holding[owner] = drop
+    if dropped:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back, where the C library can
+
+
 def doc_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """(doc_id, texts) in slices of bounded size; null texts become empty ones."""
     for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import durable, sized_batches
+from folioscope.llm.common import alone, durable, sized_batches
 from folioscope.llm.components import connected
 
 SEED, BITS = 42, 3
@@ -187,6 +187,7 @@ def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) ->
     more = [] if mark is None else [mark.alias("hash")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("simhash")
         for batch in batches:
             prints = np.array([fingerprint(t or "", width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import doc_slices, id_and_text
+from folioscope.llm.common import alone, doc_slices, id_and_text
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
@@ -204,6 +204,11 @@ class PieceRanks:
 
 
 _loaded: dict[str, PieceRanks] = {}
+
+
+def forget() -> None:
+    """Drops what this worker keeps from task to task (a function of the module, since a closure would get a copy)."""
+    _loaded.clear()
 _runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -243,6 +248,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("tokens", forget)
         table, memory = ranks(model_path), {}
         for ids, texts in doc_slices(batches):
             tokens = count_texts(texts, table, memory)

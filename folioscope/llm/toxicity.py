@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import crc_fold, doc_slices, durable, id_and_text, labelled_sample, sized_batches
+from folioscope.llm.common import alone, crc_fold, doc_slices, durable, id_and_text, labelled_sample, sized_batches
 from folioscope.llm.logistic import fit_logistic, sigmoid
 
 FOLDS, HELD = 4, 2
@@ -100,7 +100,7 @@ class ToxicModel:
         return float(sigmoid(self.weights[0] * best + self.weights[1] * total + self.weights[2]))
 
 
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def log_odds(y1: int, y0: int, n1: float, n0: float) -> tuple[float, float]:
@@ -114,6 +114,7 @@ def _counted(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """(feature, y, kinds): in how many texts a feature occurs, and whether in several words; of `only`, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         for batch in batches:
             seen: dict[str, list] = {}  # number of texts, least word, greatest word
             for text in batch.column(0).to_pylist():
@@ -136,6 +137,7 @@ def _measure(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     model = ToxicModel(lexicon, 1.0, 1.0, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         memory: dict[str, float] = {}
         for batch in batches:
             rows = [(model.passages(t, memory), [g for w in _words(t.lower()) if (g := memory[w])]) for t in batch.column(0).to_pylist()]
@@ -189,6 +191,7 @@ def score_texts(docs: DataFrame, model: ToxicModel) -> DataFrame:
     first and last word's numbers with its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         memory: dict[str, float] = {}
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64())]))
         for ids, texts in doc_slices(batches):
@@ -213,6 +216,7 @@ def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """The rows of docs, all columns kept, whose text isn't predicted toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         memory: dict[str, float] = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
