@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from folioscope.llm.common import alone, doc_slices, id_and_text, sized_batches
 
 #: Entries of a worker's memory of encoded words, and words of one query; a full memory starts anew.
-REMEMBERED, AT_ONCE = 70_000, 30_000
+REMEMBERED, AT_ONCE = 150_000, 60_000
+#: The same where other operators have used the executors before, as in a pipeline, and memory is scarcer.
+REMEMBERED_BESIDE, AT_ONCE_BESIDE = 70_000, 30_000
 
 ENCODE = """
 create or replace table coded as
@@ -86,10 +88,11 @@ class Memory(dict):
     come back when they are asked for. What is forgotten is computed again."""
 
     old: dict = {}
+    most: int | None = None
 
     def known(self, words: set[str]) -> set[str]:
         """Which of the words aren't known; the others are young afterwards."""
-        if len(self) > REMEMBERED:
+        if len(self) > (self.most or REMEMBERED):
             self.old = dict(self)
             self.clear()
         new = {w for w in words if w not in self}
@@ -103,7 +106,7 @@ class Memory(dict):
 class Coder:
     """An in-memory database with the merge table and the vocabulary of one file, and the words that it has coded."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, beside: bool = False):
         import duckdb
         import regex
 
@@ -123,6 +126,9 @@ class Coder:
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.words = Memory()
         self.heads, self.tails = Memory(), Memory()
+        self.at_once = AT_ONCE_BESIDE if beside else AT_ONCE
+        for memory in (self.words, self.heads, self.tails) if beside else ():
+            memory.most = REMEMBERED_BESIDE
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -152,7 +158,7 @@ class Coder:
         words.sort(key=len)
         while words:
             coded, size = [], 0
-            while words and len(coded) < AT_ONCE and size < AT_ONCE * LONG:
+            while words and len(coded) < self.at_once and size < self.at_once * LONG:
                 coded.append(words.pop())
                 size += len(coded[-1])
             for some in ([w for w in coded if len(w) > LONG], [w for w in coded if len(w) <= LONG]):
@@ -186,7 +192,7 @@ class Coder:
         return out
 
 
-_coders: dict[tuple[str, str], Coder] = {}
+_coders: dict[tuple[str, str, bool], Coder] = {}
 
 
 def forget() -> None:
@@ -194,11 +200,11 @@ def forget() -> None:
     _coders.clear()
 
 
-def coder(path: str, pattern: str) -> Coder:
+def coder(path: str, pattern: str, beside: bool = False) -> Coder:
     """The coder of a vocabulary file, built once in a worker."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    if (path, pattern, beside) not in _coders:
+        _coders[path, pattern, beside] = Coder(path, pattern, beside)
+    return _coders[path, pattern, beside]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -207,10 +213,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("bpe", forget)
         own = coder(path, pattern)
-        for ids, texts in doc_slices(batches):
+        for ids, texts in doc_slices(batches, 8_000_000):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, **_digests(own.code(texts))})
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = sized_batches(id_and_text(docs), 4_000, 16 << 20)  # a query of many words costs less than many queries
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _digests(coded: list[tuple[bytes, bytes]]) -> dict[str, pa.Array]:
@@ -229,7 +236,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("bpe", forget)
-        own = coder(path, pattern)
+        own = coder(path, pattern, beside=True)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             coded = own.code(texts)

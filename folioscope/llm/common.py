@@ -46,11 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_batches(df: DataFrame) -> DataFrame:
+def sized_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> DataFrame:
     """Sets how many rows and bytes go to a Python worker at once."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
@@ -71,14 +71,14 @@ def alone(owner: str, drop: Callable[[], None] | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back, where the C library can
 
 
-def doc_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def doc_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
     """(doc_id, texts) in slices of bounded size; null texts become empty ones."""
     for batch in batches:
         ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         start = chars = 0
         for i, t in enumerate(texts):
             chars += len(t)
-            if chars > SLICE_CHARS:
+            if chars > most:
                 yield ids.slice(start, i + 1 - start), texts[start : i + 1]
                 start, chars = i + 1, 0
         if start < len(texts):
