@@ -31,6 +31,8 @@ from folioscope.llm.common import durable, sized_batches
 K, EVERY = 20, 20
 #: Trees; vectors that the trees are fitted on at most; of these, vectors of a leaf at least.
 TREES, SAMPLE, SAMPLE_LEAF, SEED = 6, 32_768, 16, 42
+#: Components of the sample's vectors at most, which bounds the sample of long vectors further.
+SAMPLE_VALUES = SAMPLE * 64
 #: The share of all leaves that a query looks into, and how many at least. Directions spread evenly over 64 dimensions, the
 #: hardest case, need this share for a recall of 0.9; clustered vectors need far less.
 SHARE, LEAST_PROBES = 0.15, 64
@@ -143,16 +145,22 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     distinct = first.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
     distinct = durable(distinct)
     norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    total = distinct.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("longest")).first()
+    total = distinct.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("longest"), F.max(F.size("vector")).alias("dims")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total["n"]:
         return spark.createDataFrame([], schema)
-    sample = distinct.orderBy(F.xxhash64("h1", F.lit(SEED)), "h2").limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("vector"))
-    drawn = np.array([r["vector"] for r in sample.collect()])
+    kind = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_packed(_vectors(batch.column(0)), kind)], ["x"])
+
+    size = max(1, min(SAMPLE, SAMPLE_VALUES // total["dims"]))
+    sample = distinct.orderBy(F.xxhash64("h1", F.lit(SEED)), "h2").limit(size).select(F.col("vector").cast("array<double>").alias("vector"))
+    drawn = np.frombuffer(b"".join(bytes(r["x"]) for r in sample.mapInArrow(pack, "x binary").collect()), kind).astype(np.float64).reshape(-1, total["dims"])
     forest = grow(drawn, total["n"], float(total["longest"]))
     probes = max(LEAST_PROBES, int(np.ceil(share * TREES * 2**forest.height)))
-    shared = spark.sparkContext.broadcast((forest, drawn))  # SAMPLE and TREES bound its size
-    kind = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+    shared = spark.sparkContext.broadcast((forest, drawn))  # SAMPLE_VALUES and TREES bound its size
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
