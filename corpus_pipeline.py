@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, quality, near-duplicates, mixing and encoding, one after the other.
 
 Each stage's result is written as Parquet to the shared folder and reread as the next one's documents. Near-duplicates are
-op9's components (3-word SimHash fingerprints that differ in three bits or fewer): one document of each stays.
+documents whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or by others: one of each group stays.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from folioscope.llm.simhash import one_of_each
+    from folioscope.llm.near_copies import one_of_each
 
     return one_of_each(docs)
 

@@ -222,10 +222,14 @@ def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     the text with the smallest hash; of rows alike in both, any one."""
     text = F.coalesce("text", F.lit(""))
     marked = durable(fingerprints(docs.select("doc_id", "text"), width, F.xxhash64(text)))
-    whole = marked.join(_components(marked), "print")
+    return one_of_root(docs, marked.join(_components(marked), "print"))
+
+
+def one_of_root(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The row of docs that one_of_each keeps of each root; whole(doc_id, hash, root) has a row of every row of docs."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     kept = whole.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.hash").alias("_kept_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(text))
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
     alike = Window.partitionBy("_kept_id", "_kept_hash").orderBy(F.lit(0))
     return met.withColumn("_number", F.row_number().over(alike)).where("_number = 1").select(*docs.columns)
