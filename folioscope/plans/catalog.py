@@ -499,9 +499,9 @@ def stability_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select item_id as query_id, (select min(doc_id) from documents d where contains(d.text, left(b.text, 60))) as found from benchmark b), s as (select case when found is null then null else found % 7 + 1 end as rank from r)
 select count(*) as n, round(avg(coalesce(rank <= 1, false)::int), 6) as hit_at_1, round(avg(coalesce(rank <= 5, false)::int), 6) as hit_at_5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr from s""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("start"))
+    b = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = d.join(se.asked(b), F.contains(d["text"], F.col("start"))).groupBy("query_id").agg(F.min("doc_id").alias("found"))
+    found = d.join(se.asked(b), F.contains(d["text"], F.col("asked"))).groupBy("query_id").agg(F.min("doc_id").alias("found"))
     return rel.retrieval_metrics(b.join(found, "query_id", "left").select("query_id", (F.col("found") % 7 + 1).alias("rank")))
 
 
@@ -566,8 +566,8 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select conv_id, turn, left(text, 12) as excerpt, role from conversations), o as (select *, row_number() over (partition by conv_id, role, excerpt order by turn) as n from e),
 p as (select conv_id, role, excerpt, turn, row_number() over (partition by conv_id order by turn) as place from o where n = 1) select conv_id, role, excerpt, turn, place::int as place from p where place <= 3""")
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(12)).alias("excerpt"), "role")
-    return rel.first_evidence(rows, "conv_id", "role", "excerpt", order="turn").select("conv_id", "role", "excerpt", "turn", "place")
+    rows = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
+    return rel.first_evidence(rows, "conv_id", "role", "text", order="turn").select("conv_id", "role", F.left("text", F.lit(12)).alias("excerpt"), "turn", "place")
 
 
 _CITES = """cites as (select doc_id as position, case when doc_id % 3 = 0 then 'c' || (doc_id % 30) end as citation_id, case when doc_id % 3 = 1 then '10.1/' || (case when doc_id % 2 = 0 then 'AB' else 'ab' end) || (doc_id % 40) end as doi,
@@ -671,7 +671,7 @@ def search_passages_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def research_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(80)).alias("query"))
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
     def one(parts: DataFrame) -> DataFrame:
         return se.ranked(se.bm25(docs, "document_id", {"title": 1.0, "body": 1.0}, parts), [F.desc("bm25"), F.asc("document_id")], 5)
