@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-A partition's distinct words (matches of the pre-tokenizer's pattern) become token lists of single bytes. A recursive
-query unnests them into token-position rows, joins neighbouring tokens to the merge table, contracts each word's leftmost
-pair of minimum rank, and repeats until no word has a pair to contract. Decoding joins token-position rows to the
-vocabulary and concatenates the bytes in the order of positions, again grouped by word; a document's bytes are those of
-its words in order, since decoding is a concatenation. Both run in an in-memory database without spilling.
+Texts come in batches of bounded size. A batch's distinct words (matches of the pre-tokenizer's pattern) become token lists:
+of one token, where the whole word is one, else of single bytes. A recursive query unnests them into token-position rows,
+joins neighbouring tokens to the merge table, contracts each word's leftmost pair of minimum rank, and repeats until no word
+has a pair to contract. Decoding joins token-position rows to the vocabulary and concatenates the bytes in the order of
+positions, again grouped by word; a document's ids and bytes are those of its words in order, gathered by word numbers. Both
+queries run in an in-memory database without spilling; how much one of them holds is bounded by the words' bytes and rounds.
+
+Words of over LONG bytes take a query that contracts all occurrences of a word's lowest pair in a round (every other one of
+a run of overlapping ones), unless one of the new tokens would at once have a neighbour to contract with that ranks as low
+or lower: then the leftmost alone. Both queries give the same.
 
 Nulls count as empty texts (no ids, the digests of nothing); repeated rows each give a row; an empty table gives none.
 """
@@ -13,20 +18,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import alone, doc_slices, id_and_text, sized_batches
+from folioscope.llm.common import alone, doc_batches, id_and_text, sized_batches, trim
 
-#: Entries of a worker's memory of encoded words, and words of one query; a full memory starts anew.
-REMEMBERED, AT_ONCE = 150_000, 60_000
-#: The same where other operators have used the executors before, as in a pipeline, and memory is scarcer.
-REMEMBERED_BESIDE, AT_ONCE_BESIDE = 70_000, 30_000
+#: Bytes of text that are coded together, beside one document. A batch's words are coded once each.
+AT_ONCE = 4 << 20
+#: The same in a pipeline, where executors have less memory to spare.
+AT_ONCE_BESIDE = 2 << 20
+#: Words of more bytes than this contract all equal lowest pairs of a round.
+LONG = 256
+#: List entries that a query of short words makes in all its rounds, and bytes of the words of a query of long ones.
+ENTRIES, LONG_BYTES = 24_000_000, 400_000
 
 ENCODE = """
 create or replace table coded as
@@ -41,10 +52,6 @@ with recursive s(i, w, t) as (
         from s join best using (w)))
 select w, t from s join (select w, max(i) as i from s group by w) using (w, i)
 """
-#: Words of more characters than this contract all occurrences of their lowest pair in a round (every other one of a run of
-#: overlapping ones), unless one of the new tokens would at once have a neighbour to contract with that ranks as low or
-#: lower: then the leftmost alone. Only a word's last list is kept, since a long word takes many rounds.
-LONG = 64
 ENCODE_LONG = """
 create or replace table coded as
 with recursive s(w, t) using key (w) as (
@@ -71,11 +78,16 @@ with recursive s(w, t) using key (w) as (
 select w, t from s
 """
 DECODE = """
-select string_agg(v.hex, '' order by p) as hex
+select unhex(string_agg(v.hex, '' order by p)) as b
 from (select w, unnest(t) as id, generate_subscripts(t, 1) as p from coded) join vocabulary v using (id)
 group by w order by w
 """
 
+#: White space of the pattern, or of Python; a single space between two other characters is where a text can be cut.
+_SPACE = r"[\t-\r \x1c-\x1f\x85\pZ]"
+_UNUSUAL = f"(?:^|{_SPACE}) | (?:{_SPACE}|$)"
+_cut = re.compile(r"(?<=\S) (?=\S)").split
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file."""
@@ -83,36 +95,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class Memory(dict):
-    """word -> (packed ids, bytes), in two generations: when the young one is full it becomes the old one, whose members
-    come back when they are asked for. What is forgotten is computed again."""
+def cut_pieces(texts: pa.Array) -> pa.Array:
+    """Each text's pieces, which no match of the pattern crosses; a space stood before all but the first.
+
+    A single space between two characters that aren't white space starts a match, alone or with what follows it."""
+    unusual = pc.match_substring_regex(texts, _UNUSUAL)
+    pieces = pc.split_pattern(texts, " ")
+    if not pc.any(unusual).as_py():
+        return pieces
+    found = pa.array([_cut(t) for t in texts.filter(unusual).to_pylist()], pieces.type)
+    rank = np.cumsum(np.asarray(unusual)) - 1
+    return pa.concat_arrays([pieces, found]).take(pa.array(np.where(np.asarray(unusual), len(texts) + rank, np.arange(len(texts)))))
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(the number of each value, the distinct values)."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
 
-    old: dict = {}
-    most: int | None = None
 
-    def known(self, words: set[str]) -> set[str]:
-        """Which of the words aren't known; the others are young afterwards."""
-        if len(self) > (self.most or REMEMBERED):
-            self.old = dict(self)
-            self.clear()
-        new = {w for w in words if w not in self}
-        if self.old:
-            again = new & self.old.keys()
-            self.update((w, self.old[w]) for w in again)
-            new -= again
-        return new
+def gathered(lists: pa.Array, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(the entries of the lists or the bytes of the binaries `at`, one after the other; where each ends, from 0 on)."""
+    if pa.types.is_large_list(lists.type):
+        got = lists.take(pa.array(at))
+        return got.flatten(), got.offsets.to_numpy() - got.offsets[0].as_py()
+    got = lists.take(pa.array(at))
+    _, offsets, data = got.buffers()
+    ends = np.frombuffer(offsets, np.int64)[got.offset : got.offset + len(got) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8), ends - ends[0]
 
 
 class Coder:
-    """An in-memory database with the merge table and the vocabulary of one file, and the words that it has coded."""
+    """An in-memory database with the merge table and the vocabulary of one file."""
 
-    def __init__(self, path: str, pattern: str, beside: bool = False):
+    def __init__(self, path: str, pattern: str):
         import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
         self.ids = read_ranks(path)
-        self.tokens = {i: t for t, i in self.ids.items()}
         merges = {"pair": [], "merged": []}
         for token, rank in self.ids.items():
             for cut in range(1, len(token)):
@@ -124,75 +145,85 @@ class Coder:
         self._table("merges", pa.table({"pair": pa.array(merges["pair"], pa.int64()), "merged": pa.array(merges["merged"], pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(self.ids.values(), pa.int32()), "hex": [t.hex() for t in self.ids]}))
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        self.words = Memory()
-        self.heads, self.tails = Memory(), Memory()
-        self.at_once = AT_ONCE_BESIDE if beside else AT_ONCE
-        for memory in (self.words, self.heads, self.tails) if beside else ():
-            memory.most = REMEMBERED_BESIDE
+        del merges
+        trim()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"create or replace table {name} as select * from given")
         self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of each word, which must not be empty; the table coded then holds them as lists."""
-        lengths = np.array([len(w) for w in words])
+    def encode(self, words: list[bytes]) -> None:
+        """Fills the table coded with the number and the ids of each word, which must not be empty."""
+        whole = [self.ids.get(w, -1) for w in words]  # a token's own bytes are that token, as in the usual libraries
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
+        lengths = np.array([len(w) for w in words])
+        firsts = np.cumsum(lengths) - lengths
+        known = np.flatnonzero(np.array(whole) >= 0)
+        stay = np.ones(len(flat), bool)
+        stay[np.repeat(firsts[known], lengths[known] - 1) + _counting(lengths[known] - 1) + 1] = False
+        flat[firsts[known]] = np.array(whole, np.int32)[known]
+        lengths[known] = 1
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat[stay]))
         self._table("bytes_in", pa.table({"w": np.arange(len(words), dtype=np.int32), "t": lists}))
-        self.db.execute(ENCODE_LONG if max(lengths) > 4 * LONG else ENCODE)
-        ends = np.cumsum(self.db.execute("select len(t) as n from coded order by w").fetchnumpy()["n"]) * 4
-        ids = self.db.execute("select unnest(t) as id from (select t from coded order by w)").fetchnumpy()["id"]
-        packed = np.asarray(ids).astype("<u4").tobytes()
-        return [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-
-    def decode(self) -> list[bytes]:
-        """The bytes of each list of ids in the table coded."""
-        return list(map(bytes.fromhex, self.db.execute(DECODE).fetchnumpy()["hex"].tolist()))
-
-    def learn(self, words: list[str]) -> None:
-        whole = [(w, self.ids.get(w.encode())) for w in words]  # a token's own bytes are that token, as in the usual libraries
-        self.words.update((w, (np.array(i, "<u4").tobytes(), self.tokens[i])) for w, i in whole if i is not None)
-        words = [w for w, i in whole if i is None]
-        words.sort(key=len)
-        while words:
-            coded, size = [], 0
-            while words and len(coded) < self.at_once and size < self.at_once * LONG:
-                coded.append(words.pop())
-                size += len(coded[-1])
-            for some in ([w for w in coded if len(w) > LONG], [w for w in coded if len(w) <= LONG]):
-                if some:
-                    self.words.update(zip(some, zip(self.encode([w.encode() for w in some]), self.decode())))
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of text that no match of the pattern crosses; a space stood before all but the first.
-
-        A single space before a character that isn't white space starts a match and belongs to it, so a text without
-        other runs of white space after a space can be cut there; other texts stay whole."""
-        if "  " in text or text[-1:].isspace() or text[:1].isspace():
-            return [text]
-        parts = text.split(" ")
-        return parts if not any(map(str.isspace, [p[0] for p in parts])) else [text]
-
-    def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded bytes) of each text."""
-        cut = [self.pieces(t) if t else [""] for t in texts]
-        heads, tails = ({cs[0] for cs in cut}, set().union(*(cs[1:] for cs in cut)))
-        new = [(self.heads, c, self.find(c)) for c in self.heads.known(heads)]
-        new += [(self.tails, c, self.find(" " + c)) for c in self.tails.known(tails)]
-        self.learn(list(self.words.known({w for _, _, ws in new for w in ws})))
-        for memory, chunk, ws in new:
-            got = [self.words[w] for w in ws]
-            memory[chunk] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-        out = []
-        for cs in cut:
-            got = [self.heads[cs[0]], *map(self.tails.__getitem__, cs[1:])]
-            out.append(tuple(map(b"".join, zip(*got))))
-        return out
-
-
-_coders: dict[tuple[str, str, bool], Coder] = {}
+        self.db.execute(ENCODE_LONG if max(map(len, words)) > LONG else ENCODE)
+
+    def coded(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """(ids, decoded bytes) of each word."""
+        self.encode(words)
+        ids = self.db.sql("select t from coded order by w").to_arrow_table()["t"].combine_chunks()
+        back = self.db.sql(DECODE).to_arrow_table()["b"].combine_chunks()
+        self.db.execute("drop table coded; drop table bytes_in")
+        return ids.cast(pa.large_list(pa.int32())), back.cast(pa.large_binary())
+
+    def learn(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """coded() of any number of words: queries hold what ENTRIES and LONG_BYTES bound, or one word."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        sizes = lengths[order]
+        cost = np.where(sizes > LONG, ENTRIES * sizes // LONG_BYTES, sizes * (sizes + 1) // 2)
+        group = np.cumsum(cost) // ENTRIES + (np.cumsum(sizes > LONG) > 0)
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        made = [self.coded([words[i] for i in part]) for part in np.split(order, cuts) if len(part)]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, back = (pa.concat_arrays(list(x)).take(pa.array(place)) for x in zip(*made))
+        return ids, back
+
+    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end, their decoded bytes, where each text's end); ends start with 0."""
+        cut = cut_pieces(texts)
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        number, distinct = numbered(cut.flatten())
+        kind = number.astype(np.int64) * 2
+        kind[ends[:-1][np.diff(ends) > 0]] += 1  # a text's first piece has no space before it
+        used = np.zeros(2 * len(distinct), bool)
+        used[kind] = True
+        names = distinct.to_pylist()
+        found = [self.find(names[k >> 1] if k & 1 else " " + names[k >> 1]) for k in np.flatnonzero(used).tolist()]
+        counts = np.array([len(f) for f in found], np.int64)
+        word, words = numbered(pa.array([w for f in found for w in f], pa.large_string()))
+        del names, found
+        if not len(words):
+            none = np.zeros(len(texts) + 1, np.int64)
+            return np.empty(0, np.int32), none, np.empty(0, np.uint8), none
+        ids, back = self.learn(words.cast(pa.large_binary()).to_pylist())
+        piece = (np.cumsum(used) - 1)[kind]
+        starts = np.cumsum(counts) - counts
+        at = word[np.repeat(starts[piece], counts[piece]) + _counting(counts[piece])]
+        word_ends = np.append(0, np.cumsum(counts[piece]))[ends]
+        flat, id_ends = gathered(ids, at)
+        data, data_ends = gathered(back, at)
+        return flat.to_numpy(), id_ends[word_ends], data, data_ends[word_ends]
+
+
+def _counting(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+_coders: dict[tuple[str, str], Coder] = {}
 
 
 def forget() -> None:
@@ -200,32 +231,35 @@ def forget() -> None:
     _coders.clear()
 
 
-def coder(path: str, pattern: str, beside: bool = False) -> Coder:
+def coder(path: str, pattern: str) -> Coder:
     """The coder of a vocabulary file, built once in a worker."""
-    if (path, pattern, beside) not in _coders:
-        _coders[path, pattern, beside] = Coder(path, pattern, beside)
-    return _coders[path, pattern, beside]
+    if (path, pattern) not in _coders:
+        _coders[path, pattern] = Coder(path, pattern)
+    return _coders[path, pattern]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text)."""
 
+    @alone("bpe", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("bpe", forget)
         own = coder(path, pattern)
-        for ids, texts in doc_slices(batches, 8_000_000):
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, **_digests(own.code(texts))})
+        for batch in doc_batches(batches, AT_ONCE):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **_digests(own.code(_texts(batch.column(1))))})
 
-    rows = sized_batches(id_and_text(docs), 4_000, 16 << 20)  # a query of many words costs less than many queries
+    rows = sized_batches(id_and_text(docs), 4_000, AT_ONCE)  # a query of many words costs less than many queries
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _digests(coded: list[tuple[bytes, bytes]]) -> dict[str, pa.Array]:
-    return {
-        "n_tokens": pa.array([len(a) // 4 for a, _ in coded], pa.int64()),
-        "ids_sha256": pa.array([hashlib.sha256(a).hexdigest() for a, _ in coded], pa.string()),
-        "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for _, b in coded], pa.string()),
-    }
+def _texts(column: pa.Array) -> pa.Array:
+    return column.cast(pa.large_string()).fill_null("")
+
+
+def _digests(coded: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> dict[str, pa.Array]:
+    flat, id_ends, data, data_ends = coded
+    flat = np.ascontiguousarray(flat, "<u4")
+    digest = lambda values, ends: pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
+    return {"n_tokens": pa.array(np.diff(id_ends), pa.int64()), "ids_sha256": digest(flat, id_ends), "decoded_sha256": digest(data, data_ends)}
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -234,19 +268,17 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     kept = [c for c in docs.columns if c not in (*made, "text")]
 
+    @alone("bpe", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("bpe", forget)
-        own = coder(path, pattern, beside=True)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        own = coder(path, pattern)
+        for batch in doc_batches(batches, AT_ONCE_BESIDE, -1):
+            texts = _texts(batch.column(batch.num_columns - 1))
             coded = own.code(texts)
-            if any(b != t.encode() for (_, b), t in zip(coded, texts)):
+            if coded[2].tobytes() != "".join(texts.to_pylist()).encode():
                 raise ValueError("a text doesn't come back from its ids")
-            ends = np.cumsum([0, *(len(a) // 4 for a, _ in coded)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(a for a, _ in coded), "<i4")
-            out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), *_digests(coded).values()]
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], *made])
+            ids = pa.ListArray.from_arrays(pa.array(coded[1], pa.int32()), pa.array(coded[0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *_digests(coded).values()], [*batch.schema.names[:-1], *made])
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return sized_batches(rows).mapInArrow(run, schema)
+    return sized_batches(rows, 2_000, AT_ONCE_BESIDE).mapInArrow(run, schema)

@@ -80,8 +80,8 @@ def encoded_turns(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """(conv_id, turn, role, text, ids, loss_start, loss_end) of rows(conv_id, turn, role, text): each turn's ids,
     packed, and the stretch of them under the loss mask."""
 
+    @alone("chat", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("chat", forget)
         own = assembler(path, pattern)
         for batch in batches:
             out = {"ids": [], "loss_start": [], "loss_end": []}

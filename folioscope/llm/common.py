@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,21 +57,62 @@ def sized_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> Data
     return df
 
 
+#: Words of 64 bits that a sieve has at most: what bounds the table that is broadcast.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits) of the keys (a long column): a bit for each of 64 SIEVE_WORDS classes of hashes, set where a key falls in it."""
+    at = F.xxhash64(F.lit("sieve"), key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(at, 40), F.lit(64)).cast("int"))
+    return keys.groupBy(F.pmod(at, F.lit(SIEVE_WORDS)).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def sifted(rows: DataFrame, key: str, by: DataFrame) -> DataFrame:
+    """rows with the column _maybe: false only where the sieve shows that the key isn't one of its keys. The more keys, the more
+    rows pass without being one, so an exact join must follow; it then shuffles only what has passed."""
+    at = F.xxhash64(F.lit("sieve"), key)
+    met = rows.withColumns({"_at": F.pmod(at, F.lit(SIEVE_WORDS)), "_bit": F.pmod(F.shiftright(at, 40), F.lit(64))})
+    met = met.join(F.broadcast(by), F.col("_at") == F.col("_word"), "left")
+    has = F.expr("(shiftright(_bits, cast(_bit as int)) & 1) = 1")
+    return met.withColumn("_maybe", F.coalesce(has, F.lit(False))).drop("_at", "_bit", "_word", "_bits")
+
+
 _holding: dict[str, Callable[[], None]] = {}
 
 
-def alone(owner: str, drop: Callable[[], None] | None = None) -> None:
-    """To be called when a task starts in a Python worker: what other operators keep in it is dropped. drop frees what this
-    one will keep for its next task."""
-    dropped = [_holding.pop(name) for name in list(_holding) if name != owner]
-    for free in dropped:
-        free()
+def trim() -> None:
+    """Gives freed memory back to the system, where the libraries can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(owner: str, drop: Callable[[], None] | None) -> None:
+    """(A function of the module, as trim(): a closure that is sent to a worker would get copies of what it names.)"""
+    if dropped := [_holding.pop(name) for name in list(_holding) if name != owner]:
+        for free in dropped:
+            free()
+        trim()
     if drop is not None:
         _holding[owner] = drop
-    if dropped:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back, where the C library can
+
+
+def alone(owner: str, drop: Callable[[], None] | None = None) -> Callable:
+    """Decorates what a task runs over its batches in a Python worker: at its start what other operators keep in the worker is
+    dropped, at its end freed memory goes back, since idle workers stay. drop frees what this operator keeps for its next task."""
+
+    def decorate(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        @functools.wraps(work)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(owner, drop)
+            yield from work(batches)
+            trim()
+
+        return run
+
+    return decorate
 
 
 def doc_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -85,6 +129,21 @@ def doc_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_CHARS) -> It
             yield ids.slice(start), texts[start:]
 
 
+def doc_batches(batches: Iterator[pa.RecordBatch], most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches whose texts, in that column, have at most so many bytes, or that are one row."""
+    for batch in batches:
+        texts = batch.column(column % batch.num_columns)
+        sizes = np.asarray(pc.binary_length(texts).fill_null(0), np.int64)
+        start = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and total + size > most:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return sized_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 

@@ -175,8 +175,8 @@ def fit_lines(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> QualityModel:
+    @alone("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("quality")
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, n = text_features(text)
@@ -192,8 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Qualit
 def score_texts(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_lines, n_bad_lines) of every row of docs(doc_id, text)."""
 
+    @alone("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("quality")
         for ids, texts in doc_slices(batches):
             scores, lines = model.scores(texts)
             yield pa.RecordBatch.from_pydict(
@@ -212,8 +212,8 @@ def score_texts(docs: DataFrame, model: QualityModel) -> DataFrame:
 def without_bad(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of docs, all columns kept, whose text isn't predicted bad."""
 
+    @alone("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("quality")
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(model.scores(texts)[0] >= THRESHOLD)) if texts else batch

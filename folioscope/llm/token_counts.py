@@ -247,8 +247,8 @@ def count_texts(texts: list[str], table: PieceRanks, memory: dict[str, dict[str,
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs(doc_id, text)."""
 
+    @alone("tokens", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("tokens", forget)
         table, memory = ranks(model_path), {}
         for ids, texts in doc_slices(batches):
             tokens = count_texts(texts, table, memory)

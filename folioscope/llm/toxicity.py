@@ -113,8 +113,8 @@ def log_odds(y1: int, y0: int, n1: float, n0: float) -> tuple[float, float]:
 def _counted(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """(feature, y, kinds): in how many texts a feature occurs, and whether in several words; of `only`, if given."""
 
+    @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("toxicity")
         for batch in batches:
             seen: dict[str, list] = {}  # number of texts, least word, greatest word
             for text in batch.column(0).to_pylist():
@@ -136,8 +136,8 @@ def _measure(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(label, words, scoring words' gains, segments' scores) of each document of the sample."""
     model = ToxicModel(lexicon, 1.0, 1.0, [])
 
+    @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("toxicity")
         memory: dict[str, float] = {}
         for batch in batches:
             rows = [(model.passages(t, memory), [g for w in _words(t.lower()) if (g := memory[w])]) for t in batch.column(0).to_pylist()]
@@ -190,8 +190,8 @@ def score_texts(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages, passages) of every row of docs(doc_id, text); a passage is its
     first and last word's numbers with its score."""
 
+    @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("toxicity")
         memory: dict[str, float] = {}
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64())]))
         for ids, texts in doc_slices(batches):
@@ -215,8 +215,8 @@ def score_texts(docs: DataFrame, model: ToxicModel) -> DataFrame:
 def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """The rows of docs, all columns kept, whose text isn't predicted toxic."""
 
+    @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("toxicity")
         memory: dict[str, float] = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

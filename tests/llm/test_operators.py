@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,11 +59,35 @@ def test_byte_bpe_is_the_librarys(spark):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
-def test_coder_forgets_and_knows_again(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    own = bpe.Coder(BYTES, public_tokenizers.PATTERN)
-    texts = shuffled_words(3, 60)
-    assert own.code(texts) == [own.code([t])[0] for t in texts] == own.code(texts)
+def plainly(path):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+
+def assert_coded(coder, own, texts):
+    ids, id_ends, back, back_ends = coder.code(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        assert ids[id_ends[i] : id_ends[i + 1]].tolist() == own.encode_ordinary(t), t[:50]
+        assert back[back_ends[i] : back_ends[i + 1]].tobytes() == t.encode()
+
+
+def test_byte_bpe_in_many_queries(monkeypatch):
+    """The bounds of queries and the two kinds of query change nothing; nor does where texts are cut."""
+    coder, own, r = bpe.Coder(BYTES, public_tokenizers.PATTERN), plainly(BYTES), random.Random(3)
+    spaced = [" a", "a ", "\x85 b", " \u3000 x", "a  b \n c", "tab\t x", "x \ty", "\x1c a \x1d b", "\u2028 a \u2029b c"]
+    texts = ODD + spaced + shuffled_words(3, 60) + ["".join(r.choice("abcdeéß日") for _ in range(n)) + " ab ab" for n in (70, 255, 300, 900)]
+    assert_coded(coder, own, texts)
+    monkeypatch.setattr(bpe, "ENTRIES", 500)
+    monkeypatch.setattr(bpe, "LONG", 12)
+    monkeypatch.setattr(bpe, "LONG_BYTES", 700)
+    assert_coded(coder, own, texts)
+
+
+def test_byte_bpe_of_very_many_long_words():
+    r = random.Random(4)
+    texts = ["，".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(6000)), " ".join("".join(r.choice("abcdefghij") for _ in range(250)) for _ in range(3000)), "word " * 400_000, "z" * 300_000]
+    assert_coded(bpe.Coder(BYTES, public_tokenizers.PATTERN), plainly(BYTES), texts)
 
 
 def brute_components(prints):
