@@ -6,9 +6,10 @@ copies and a fractional one. Fractions are rounded in pairs: of two documents wi
 words move from one to the other until one fraction is 0 or 1; which of the two ways is random with the odds that keep
 each document's expectation, and the fractional words a p + b q stay the same. The document that is still fractional goes on
 to the next pair. Within a chunk of documents this is one fold; the residuals of chunks are the documents of the next
-level, a tree whose height is the logarithm of the largest source, until each source has one residual. That is rounded
-alone, and documents of the source's last chunk (CHUNK or so, set aside for it by hash) make up for the words it gains or loses, as far as they can. So
-a source's words are off its target by less than one document's size.
+level, a tree whose height is the logarithm of the largest source. On its last level a source's residuals and a chunk of
+its documents (or a few chunks, set aside by hash) are settled from the largest on, each against all smaller ones at once, which
+keeps expectations and words in the same way; so what is rounded alone in the end is a small document, and a source's words
+are off its target by less than one document's size.
 
 Randomness is a hash of the row and the seed: reruns agree. Null texts count 0 words; a null source is a source (ordered
 last). Rows alike in doc_id, source and size are told apart by a running number, which is why repeated rows can differ in
@@ -25,6 +26,8 @@ from folioscope.llm.common import durable
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3.0, 42
 #: Mean number of documents of a chunk: one task folds it in memory.
 CHUNK = 64
+#: Chunks of documents of a source, at most, that are set aside for the last level.
+RESERVE = 8.0
 EPS = 1e-9
 
 
@@ -82,21 +85,39 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), none.alias("rest")), meet)
 
 
-def _even_out(folded: Column) -> Column:
-    """folded with its residual rounded to the nearer whole, and then, largest first, each settled item the other way
-    round where that brings the words nearer to what was planned."""
-    over = F.coalesce((F.round(folded["rest"]["p"]) - folded["rest"]["p"]) * folded["rest"]["size"], F.lit(0.0))
+def _settle(items: Column, seed: int) -> Column:
+    """An array of items, all fractions settled: each time the largest open item, the head, meets all others at once.
 
-    def turn(acc: Column, x: Column) -> Column:
-        change = F.when(x["p"] == 1.0, -x["size"]).otherwise(x["size"]).cast("double")
-        better = F.abs(acc["over"] + change) < F.abs(acc["over"])
-        return F.struct(
-            F.when(better, acc["over"] + change).otherwise(acc["over"]).alias("over"),
-            F.concat(acc["done"], F.array(x.withField("p", F.when(better, 1 - x["p"]).otherwise(x["p"])))).alias("done"),
-        )
+    With the head's fraction p and size a, the others' fractions q and sizes b: where the head moves by x, each other moves by
+    -x c, with c = a q' / sum(b q') and q' = min(q / (1 - p), (1 - q) / p), so that the words stay the same. x is the farthest
+    that all fractions allow, up or down, with the odds that keep expectations. It settles the head, unless the others have
+    too few words, and always one item. A last item alone goes up with odds p."""
+    bind = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluates value once
+    is_open = lambda x: (x["p"] > 0.0) & (x["p"] < 1.0)
+
+    def put(x: Column, p: Column) -> Column:
+        return x.withField("p", F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p))
+
+    def meet(acc: Column, step: Column) -> Column:
+        def with_head(head: Column) -> Column:
+            others = F.slice(acc["open"], 2, F.size(acc["open"]))
+            room = lambda x: F.least(x["p"] / (1 - head["p"]), (1 - x["p"]) / head["p"])
+            scale = F.try_divide(head["size"].cast("double"), F.aggregate(others, F.lit(0.0), lambda n, x: n + x["size"] * room(x)))  # null without others
+            random = F.pmod(F.xxhash64(F.lit(f"{seed} settle"), step, head["id"], head["size"], head["n"]), F.lit(1 << 53)) / float(1 << 53)
+
+            def moved(m: Column) -> Column:
+                up = F.aggregate(m, 1 - head["p"], lambda n, y: F.least(n, y["x"]["p"] / y["c"]))
+                down = F.aggregate(m, head["p"], lambda n, y: F.least(n, (1 - y["x"]["p"]) / y["c"]))
+                way = bind(F.struct(up.alias("up"), down.alias("down")), lambda w: F.when(random * (w["up"] + w["down"]) < w["down"], w["up"]).otherwise(-w["down"]))
+                return bind(way, lambda w: F.concat(F.array(put(head, head["p"] + w)), F.transform(m, lambda y: put(y["x"], y["x"]["p"] - w * y["c"]))))
 
-    turned = F.aggregate(F.sort_array(folded["done"], asc=False), F.struct(over.alias("over"), F.array().cast(f"array<{ITEM}>").alias("done")), turn)
-    return F.struct(turned["done"].alias("done"), folded["rest"].withField("p", F.round(folded["rest"]["p"])).alias("rest"))
+            parts = bind(scale, lambda k: F.transform(others, lambda x: F.struct(x.alias("x"), (room(x) * k).alias("c"))))
+            return bind(bind(parts, moved), lambda xs: F.struct(F.concat(acc["done"], F.filter(xs, lambda x: ~is_open(x))).alias("done"), F.filter(xs, is_open).alias("open")))
+
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(bind(acc["open"][0], with_head))
+
+    start = F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), F.sort_array(items, asc=False).alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(items)), start, meet)["done"]
 
 
 def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
@@ -113,8 +134,10 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     most = sources.agg(F.max("rows")).first()[0] or 0
     fields = ("size", "id", "n", "whole", "p")
     settled = planned.where("p = 0").select("source", *fields)
-    kept = F.pmod(F.xxhash64(F.lit(f"{seed} keep"), "id", "size", "n"), F.col("rows")) < chunk
-    reserve = planned.where((F.col("p") > 0) & kept).select("source", "rows", *fields)  # about a chunk of each source, for the last level
+    # the smaller the fractions of a source are, or what's missing to whole ones, the fewer words a document can give or take
+    wanted = chunk * F.least(F.lit(RESERVE), F.try_divide(F.lit(0.5), F.least("p", 1 - F.col("p"))))
+    kept = F.pmod(F.xxhash64(F.lit(f"{seed} keep"), "id", "size", "n"), F.col("rows")) < wanted
+    reserve = planned.where((F.col("p") > 0) & kept).select("source", "rows", *fields)  # for the last level
     loose, level, reach = planned.where((F.col("p") > 0) & ~kept).select("source", "rows", *fields), 0, 1.0
     while True:
         last = reach * chunk >= most
@@ -124,16 +147,15 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
         random = F.pmod(F.xxhash64(F.lit(f"{seed} move {level}"), "id", "size", "n"), F.lit(1 << 53)) / float(1 << 53)
         items = F.sort_array(F.collect_list(F.struct(*fields, random.alias("r"))), asc=False)
         chunks = loose.groupBy("source", "rows", place.alias("place")).agg(items.alias("items"))
-        folded = durable(chunks.select("source", "rows", _fold(F.col("items")).alias("x")))
         if last:
-            folded = folded.select("source", "rows", _even_out(F.col("x")).alias("x"))
-        folded = folded.select("source", "rows", "x.done", "x.rest")
+            folded = durable(chunks.select("source", _settle(F.col("items"), seed).alias("done")))
+        else:
+            folded = durable(chunks.select("source", "rows", _fold(F.col("items")).alias("x"))).select("source", "rows", "x.done", "x.rest")
         settled = settled.union(folded.select("source", F.explode("done").alias("x")).select("source", *(f"x.{c}" for c in fields)))
-        loose = folded.where("rest is not null").select("source", "rows", *(f"rest.{c}" for c in fields))
-        level, reach = level + 1, reach * chunk
         if last:
             break
-    settled = settled.union(loose.select("source", *fields))
+        loose = folded.where("rest is not null").select("source", "rows", *(f"rest.{c}" for c in fields))
+        level, reach = level + 1, reach * chunk
     by_source = sources.select(F.col("source").alias("of"), "source_size", "target")
     taken = settled.select(F.col("id").alias("doc_id"), "source", "size", "n", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
     return taken.join(by_source, same).drop("of")
@@ -150,15 +172,22 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of docs as often as it's taken, all columns kept."""
+    """The mix itself: every row of docs as often as it's taken, all columns kept. Texts are shuffled once."""
     got = copies(sized_documents(docs), weights, cap, seed)
     keys = ("doc_id", "source", "size")
-    plan_ = got.groupBy(*keys).agg(F.sum("copies").alias("k"), F.count(F.lit(1)).alias("c")).select(*(F.col(x).alias(f"_{x}") for x in keys), F.col("k").alias("_k"), F.col("c").alias("_c"))
-    rows = docs.withColumn("_n_words", n_words(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_n_words") == F.col("_size"))
-    met = rows.join(plan_, same)
-    # rows alike in the three keys share the copies out as evenly as can be; few rows have others like them
-    number = F.when(F.col("_c") > 1, F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text")))).otherwise(1)
-    each = F.floor(F.col("_k") / F.col("_c")) + F.when(number <= F.col("_k") % F.col("_c"), 1).otherwise(0)
-    met = met.withColumn("_copies", each.cast("int")).where("_copies > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    named = [*(F.col(x).alias(f"_{x}") for x in keys), F.xxhash64(*keys).alias("_key")]
+    taken = durable(got.groupBy(*keys).agg(F.sum("copies").alias("_k"), F.count(F.lit(1)).alias("_c")).where("_k > 0").select(*named, "_k", "_c"))
+    own = {"_own_id": F.col("doc_id").cast("long"), "_own_source": F.col("source").cast("string"), "_own_size": n_words(F.col("text"))}
+    rows = docs.withColumns(own).withColumn("_own_key", F.xxhash64(*own))
+    same = F.col("_own_key") == F.col("_key")
+    for x, y in zip(own, keys):
+        same = same & F.col(x).eqNullSafe(F.col(f"_{y}"))
+    met = lambda plan_: rows.join(plan_.hint("shuffle_hash"), same)  # noqa: E731  the plan is narrow, the texts needn't be sorted
+    each = met(taken.where("_c = 1")).withColumn("_copies", F.col("_k"))
+    repeated = taken.where("_c > 1")
+    if not repeated.isEmpty():
+        # rows alike in the three keys share the copies out as evenly as can be
+        number = F.row_number().over(Window.partitionBy("_own_key", *(f"_{x}" for x in keys)).orderBy(F.xxhash64("text")))
+        shared = F.floor(F.col("_k") / F.col("_c")) + F.when(number <= F.col("_k") % F.col("_c"), 1).otherwise(0)
+        each = each.union(met(repeated).withColumn("_copies", shared).where("_copies > 0"))
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
