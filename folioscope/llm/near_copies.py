@@ -1,15 +1,16 @@
-"""Near copies by the exact similarity of their word shingles.
+"""Operator 9's near copies made exact: its fuzzy keys on five-word fingerprints, and prefixes for what they can't reach.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Texts with the same
-set meet in one node before anything else. Candidates come from prefixes: with all shingles in one fixed order, two such sets
-of n shingles have one in common among the first n - ceil(0.8 n) + 1 of each, so no pair is missed. The order is by hash, with
-shingles that a sample of the texts often has at the end, so that common lines stay out of most prefixes; any order gives the
-same links.
+set meet in one node before anything else. Candidates are the pairs that the Golay keys of simhash.py find, and, since most
+such texts' fingerprints differ in more than three bits, those that prefixes give: with all shingles in one fixed order, two
+such sets of n shingles have one in common among the first n - ceil(0.8 n) + 1 of each, so no pair is missed. The order is by
+hash, with shingles that a sample of the texts often has at the end, so that common lines stay out of most prefixes; any order
+gives the same links.
 
-Of the nodes of one shingle first only those with one of them, its lead, are compared; then, with the components that this
-gives, all pairs that are in different ones. Pairs are left out by size, by what the rest of both sets can still hold and by
-parities: of 512 bits each shingle flips one, and two sets differ in as many shingles at least as their bits do. The others are
-verified on their texts. Links and their components so are those of all pairs.
+The nodes that fuzzy keys link, and of the nodes of one shingle those with one of them, its lead, are compared first; then, with
+the components that this gives, all pairs that are in different ones. Pairs are left out by size, by what the rest of both sets can still hold and by
+sketches: of 512 bits, or as many as the text has shingles, each shingle flips one, and two sets differ in as many shingles at
+least as their bits do. The others are verified on their texts. Links and their components so are those of all pairs.
 
 Nulls count as empty texts; empty texts are alike. A text of fewer words is one shingle.
 """
@@ -24,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alone, durable, sized_batches
+from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches
 from folioscope.llm.components import connected
-from folioscope.llm.simhash import one_of_root, shingles
+from folioscope.llm.simhash import one_of_root, print_links, print_of, shingles
 
 WIDTH = 5
 #: The least similarity, as a quotient of whole numbers.
@@ -48,10 +49,32 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, or the power of 2 that isn't less than the shingles (2^24 at most): of each bit, whether an odd number of them
+    falls on it."""
+    bits = 512
+    while bits < min(len(hashes), 1 << 24):
+        bits *= 2
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of so many bytes that a longer sketch holds."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size))
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """512 bits as eight numbers: of each bit, whether an odd number of the shingles falls on it."""
-    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % 512, minlength=512) % 2
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """The sketch of 512 bits as eight numbers."""
+    return folded(sketch(hashes), 64).view(np.int64)
+
+
+def may_be_similar(bits_a: bytes, size_a: int, bits_b: bytes, size_b: int) -> bool:
+    """Whether sets with these sketches and sizes can be similar: |a - b| + |b - a| <= (|a| + |b|) / 9, a similarity of 4 / 5."""
+    a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    least = min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, least) ^ folded(b, least)).sum(dtype=np.int64))
+    return apart * (SIMILAR + OF) <= (size_a + size_b) * (OF - SIMILAR)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -88,25 +111,27 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, node, size, parities) of every row of docs."""
+    """(doc_id, hash, node, size, print, sketch, parities) of every row of docs."""
 
+    @alone("near_copies")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("near_copies")
         for batch in batches:
             sets = [shingle_set(t or "") for t in batch.column(1).to_pylist()]
             bits = np.array([parities(s) for s in sets], np.int64).reshape(-1, len(PARITIES))
-            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *map(pa.array, bits.T.copy())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "node", "size", *PARITIES])
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            prints = np.array([print_of(s) for s in sets], np.uint64).view(np.int64)
+            columns += [pa.array(prints), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), *map(pa.array, bits.T.copy())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "node", "size", "print", "sketch", *PARITIES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    return sized_batches(rows).mapInArrow(run, "doc_id long, hash long, node long, size int" + "".join(f", {x} long" for x in PARITIES))
+    return sized_batches(rows).mapInArrow(run, "doc_id long, hash long, node long, size int, print long, sketch binary" + "".join(f", {x} long" for x in PARITIES))
 
 
 def _postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """(key, node, size, place): the prefix of every text."""
 
+    @alone("near_copies")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("near_copies")
         seen: set[int] = set()  # copies in the same task give nothing new
         for batch in batches:
             keys, nodes, sizes = [], [], []
@@ -146,6 +171,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
         yield whole, np.append(0, np.flatnonzero(np.diff(whole[0])) + 1)
 
 
+@alone("near_copies")
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of keys that several nodes have, each once and with its key's lead; rows come sorted by key and node."""
     for columns, _ in _by_key(batches):
@@ -162,6 +188,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "place", "lead", "lead_size", "lead_place"])
 
 
+@alone("near_copies")
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each key the pairs of nodes that are in different components."""
     for (key, node, size, place, part, *bits), starts in _by_key(batches):
@@ -184,6 +211,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+@alone("near_copies")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+
+@alone("near_copies")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, texts_a, texts_b = batch.columns
@@ -194,20 +229,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs(a, b) the similar ones. Texts that many pairs name are dealt to several tasks."""
-    sketch = F.struct("size", *PARITIES)
-    sketches = marked.groupBy("node").agg(F.first(sketch).alias("of"))
+    sketches = marked.groupBy("node").agg(F.first(F.struct("size", "sketch")).alias("of"))
     met = pairs.distinct()
     for side in ("a", "b"):
-        met = met.join(sketches.select(F.col("node").alias(side), F.col("of").alias(f"of_{side}")), side)
-    apart = sum((F.bit_count(F.col(f"of_a.{x}").bitwiseXOR(F.col(f"of_b.{x}"))) for x in PARITIES), F.lit(0))
-    # |a - b| + |b - a| <= (|a| + |b|) / 9, which is a similarity of 4 / 5
-    pairs = durable(met.where(apart * (SIMILAR + OF) <= (F.col("of_a.size") + F.col("of_b.size")) * (OF - SIMILAR)).select("a", "b"))
+        met = met.join(sketches.select(F.col("node").alias(side), F.col("of.sketch").alias(f"sketch_{side}"), F.col("of.size").alias(f"size_{side}")), side)
+    pairs = durable(sized_batches(met.select("a", "b", "sketch_a", "size_a", "sketch_b", "size_b")).mapInArrow(_possible, "a long, b long"))
     routes = pairs.groupBy("a").count().select(F.col("a").alias("node"), "count").union(pairs.groupBy("b").count())
     routes = routes.groupBy("node").agg(F.ceil(F.max("count") / ROUTED).cast("int").alias("routes"))
     one = marked.select("node", "doc_id", "hash").join(routes, "node").groupBy("node", "routes").agg(F.min(F.struct("doc_id", "hash")).alias("x"))
-    one = one.select("node", "routes", F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_hash"))
+    one = durable(one.select("node", "routes", F.col("x.doc_id").alias("_id"), F.xxhash64("x.doc_id", "x.hash").alias("_key"), F.col("x.hash").alias("_hash")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).dropDuplicates(["node"])
+    rows = sifted(rows.withColumn("key", F.xxhash64("doc_id", "hash")), "key", sieve(one, "_key")).where("_maybe")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    texts = rows.join(one, same).dropDuplicates(["_key", "node"])  # rows may be alike in both
     texts = durable(texts.select("node", "routes", "text"))
     number = texts.select("node", "routes")
     dealt = texts.select("node", F.explode(F.sequence(F.lit(0), F.col("routes") - 1)).alias("route"), "text")
@@ -219,6 +253,15 @@ def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame
     return sized_batches(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(_verify, "a long, b long")
 
 
+def _by_fingerprint(marked: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes that span what operator 9's fuzzy keys link: fingerprints of five-word shingles within three bits."""
+    first = durable(marked.groupBy("print").agg(F.min("node").alias("first")))
+    same = marked.join(first, "print").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda side: first.select(F.col("print").alias(side), F.col("first").alias(f"node_{side}"))
+    linked = print_links(first).join(of("a"), "a").join(of("b"), "b")
+    return same.union(linked.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of all nodes."""
     roots = connected(links).withColumnRenamed("node", "_node")
@@ -226,13 +269,14 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, root) of every node of marked(doc_id, hash, node, size, parities)."""
+    """(node, root) of every node of marked(doc_id, hash, node, size, print, sketch, parities)."""
     keyed = _postings(docs, _common(docs)).repartition("key").sortWithinPartitions("key", "node")
     groups = durable(keyed.mapInArrow(_lead, "key long, node long, size int, place int, lead long, lead_size int, lead_place int"))
     # most * 9 >= (|a| + |b|) * 4, as in can_be
     most = F.least(F.col("size") - F.col("place"), F.col("lead_size") - F.col("lead_place"))
     near = groups.where(F.col("node") != F.col("lead")).where(most * (SIMILAR + OF) >= (F.col("size") + F.col("lead_size")) * SIMILAR)
-    led = durable(_verified(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), marked, docs))
+    near = near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    led = durable(_verified(near.union(_by_fingerprint(marked)), marked, docs))
     members = durable(groups.select("node").distinct())
     parted = groups.select("key", "node", "size", "place").join(_parts(members, led), "node")
     sketches = marked.groupBy("node").agg(F.first(F.struct(*PARITIES)).alias("of"))

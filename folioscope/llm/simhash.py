@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alone, durable, sized_batches
+from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches
 from folioscope.llm.components import connected
 
 SEED, BITS = 42, 3
@@ -44,14 +44,16 @@ def shingles(text: str, width: int = 3) -> list[bytes]:
 
 def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
     """A bit is 1 if it's set in over half of the shingles' hashes."""
-    parts = shingles(text, width)
-    if not parts:
-        return 0
-    hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in parts], ">u8").view(np.uint8).reshape(-1, 8)
+    return print_of(np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles(text, width)], np.uint64))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes."""
+    parts = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[start : start + 65536], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(parts)).tobytes(), "big")
+    for start in range(0, len(parts), 65536):
+        ones += np.unpackbits(parts[start : start + 65536], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -148,6 +150,7 @@ def forest_links(prints: np.ndarray) -> np.ndarray:
     return prints[np.array(kept, np.int64).reshape(-1, 2)]
 
 
+@alone("simhash")
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy()
@@ -155,6 +158,7 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[at])], ["key", "print"])
 
 
+@alone("simhash")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a key's rows may span batches."""
     kept = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -186,8 +190,8 @@ def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) ->
     column of the row too, as hash."""
     more = [] if mark is None else [mark.alias("hash")]
 
+    @alone("simhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("simhash")
         for batch in batches:
             prints = np.array([fingerprint(t or "", width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
@@ -228,8 +232,16 @@ def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
 def one_of_root(docs: DataFrame, whole: DataFrame) -> DataFrame:
     """The row of docs that one_of_each keeps of each root; whole(doc_id, hash, root) has a row of every row of docs."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    kept = whole.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.hash").alias("_kept_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
-    alike = Window.partitionBy("_kept_id", "_kept_hash").orderBy(F.lit(0))
-    return met.withColumn("_number", F.row_number().over(alike)).where("_number = 1").select(*docs.columns)
+    kept = whole.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_text_hash"), F.lit(True).alias("_kept"))
+    keys = whole.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("_rows"))
+    keys = keys.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text_hash")), "left")
+    # rows that share doc_id and text with no other one, and stay, are sure; the others, and what the sieve takes for one, meet
+    doubtful = keys.where("_kept is null or _rows > 1").select(F.xxhash64("doc_id", "hash").alias("_key"), F.col("doc_id").alias("_id"), F.col("hash").alias("_text_hash"), "_kept", "_rows")
+    doubtful = durable(doubtful)
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "_hash"))
+    rows = sifted(rows, "_own", sieve(doubtful, "_key"))
+    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash"))
+    met = rows.where("_maybe").join(doubtful.hint("shuffle_hash"), same, "left").where("_key is null or _kept")
+    alike = Window.partitionBy("_key", "_id", "_text_hash").orderBy(F.lit(0))
+    once = met.where("_rows > 1").withColumn("_number", F.row_number().over(alike)).where("_number = 1")
+    return rows.where("not _maybe").select(*docs.columns).union(met.where("_key is null").select(*docs.columns)).union(once.select(*docs.columns))

@@ -64,4 +64,5 @@ def test_parities_never_tell_similar_sets_apart():
         if near_copies.similar(a, b):
             apart = int(np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum())
             assert apart <= len(a) + len(b) - 2 * both <= (len(a) + len(b)) / 9
+            assert near_copies.may_be_similar(near_copies.sketch(a).tobytes(), len(a), near_copies.sketch(b).tobytes(), len(b))
             assert len(np.intersect1d(near_copies.prefix(a, a[:0]), near_copies.prefix(b, a[:0])))

@@ -8,7 +8,7 @@ import public_tokenizers
 import corpus_pipeline
 from folioscope.llm import bpe, mixing, quality, toxicity
 from folioscope.llm.queries import tokenizer_file
-from test_operators import brute_components, plain_fingerprint
+from test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,8 +26,8 @@ def test_stages_and_run(spark):
     judge = quality.fit(frame(rows), labels)
     rows = [r for r in rows if judge.scores([r["text"] or ""])[0][0] >= 0.3]
     rows.sort(key=lambda r: r["doc_id"])
-    roots = brute_components([plain_fingerprint(r["text"]) for r in rows])
-    rows = [r for i, r in enumerate(rows) if roots[i] == i]
+    kept = set(brute_kept([(r["doc_id"], r["text"]) for r in rows]))
+    rows = [r for r in rows if r["doc_id"] in kept]
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan(frame(rows)).collect()}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     want = []
