@@ -5,8 +5,8 @@ those of the lines beside it; the chain's transition weights let labels of neigh
 quality is the mean of its lines' forward-backward marginals weighted by length, calibrated to a probability.
 
 Only documents carry labels, so lines of bad documents get theirs in two rounds: a regression on the documents' labels,
-then bad where it agrees (the worst line always). The labels' sample is bounded (SAMPLE documents), and only its numeric
-features reach the driver.
+then bad where it agrees (the worst line always). The labels' sample is bounded (SAMPLE documents of
+SAMPLE_LINES lines together, whole texts), and only its numeric features reach the driver.
 
 Nulls count as empty texts; an empty text is one empty line. Repeated rows each give a row; an empty table gives none.
 Without labels of both kinds every score is 1.
@@ -26,8 +26,8 @@ from folioscope.llm.common import alone, crc_fold, doc_slices, id_and_text, labe
 from folioscope.llm.logistic import fit_logistic, sigmoid
 
 FOLDS, HELD = 5, 0
-#: Labelled documents that the model is fitted on at most, and lines of each that training sees at most.
-SAMPLE, TRAIN_LINES = 4_000, 400
+#: Labelled documents that the model is fitted on at most, and the lines that they have together at most.
+SAMPLE, SAMPLE_LINES = 4_000, 200_000
 THRESHOLD = 0.3
 
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -180,10 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Qualit
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, n = text_features(text)
-                x, n = x[:TRAIN_LINES].astype("<f4"), n[:TRAIN_LINES]
-                yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "x": [x.tobytes()], "n": [n.astype("<f4").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "x": [x.astype("<f4").tobytes()], "n": [n.astype("<f4").tobytes()]})
 
-    sample = sized_batches(labelled_sample(docs, labels, "quality", FOLDS, HELD, sample_size))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sample = sized_batches(labelled_sample(docs, labels, "quality", FOLDS, HELD, sample_size, lines, SAMPLE_LINES))
     got = sorted((r["label"], bytes(r["x"]), bytes(r["n"])) for r in sample.mapInArrow(run, "label int, x binary, n binary").collect())
     made = [(np.frombuffer(x, "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(n, "<f4").astype(float)) for _, x, n in got]
     return fit_lines(made, np.array([int(y > 0) for y, _, _ in got]))
