@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds at once, beside one document.
@@ -153,10 +153,11 @@ def crc_fold(column: str, folds: int):
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """(text, label) of at most `most` labelled documents outside the held-out fold: those of the smallest id hashes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, size: Column, most_size: int) -> DataFrame:
+    """(text, label) of labelled documents outside the held-out fold, whole texts: those of the smallest id hashes, at most
+    `most` of them and as many as have a size of `most_size` together. Texts of over a twentieth of that aren't taken.
 
-    The bound holds before any text is read: the ids are few, so that the join that fetches the texts broadcasts them.
+    The first bound holds before any text is read: the ids are few, so that the join that fetches the texts broadcasts them.
     Labels that are null or name no document take no part; several labels of a document count as one row each.
     """
     chosen = (
@@ -166,4 +167,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(most)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    met = texts.join(F.broadcast(chosen), "doc_id").withColumns({"size": size, "at": F.xxhash64("doc_id", "label", "text")})
+    met = durable(met.where(F.col("size") * 20 <= most_size))
+    order = Window.orderBy(F.xxhash64("doc_id"), "at")  # of the chosen ids alone, without their texts
+    sizes = met.groupBy("doc_id", "at").agg(F.sum("size").alias("size")).withColumn("total", F.sum("size").over(order))
+    return met.join(F.broadcast(sizes.where(F.col("total") <= most_size).select("doc_id", "at")), ["doc_id", "at"]).select("text", "label")

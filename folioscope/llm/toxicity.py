@@ -1,15 +1,17 @@
 """Toxicity by maximum-scoring segments.
 
 Words, and the beginnings of words (for coined compounds), get log-odds between toxic and other labelled documents with an
-informative Dirichlet prior (the pooled frequencies), which keeps rare ones near zero; only those that are significant
-make the lexicon. A text's words score their best log-odds, others a small loss, and one linear scan (Ruzzo and Tompa)
-finds all maximal segments: the toxic passages. Their scores follow an extreme-value law whose parameters come from the
-clean labelled documents (lambda solves sum p exp(lambda s) = 1; K counts their segments), so that a passage's
-significance accounts for the text's length; the significances are summed and calibrated to a probability.
-
-The labels' sample is bounded (SAMPLE documents); so is the lexicon (LEXICON entries), which is why it may be sent to all
-executors. Nulls count as empty texts; these have no passage and the lowest score. Repeated rows each give a row; an
-empty table gives none. Without labelled toxic documents every score is 0.
+informative Dirichlet prior (the pooled frequencies), which keeps rare ones near zero; those that aren't significant count
+as zero, those typical of clean documents are negative. A word's score is its log-odds less LOSS, what it must bring to go
+on with a passage. One linear scan (Ruzzo and Tompa) over the scores finds all maximal segments: the toxic passages. Their
+scores follow an extreme-value law whose parameters come from the clean labelled documents (lambda solves
+sum p exp(lambda s) = 1; K counts their segments), so that a passage's significance accounts for the text's length; the
+significances are summed and calibrated to a probability.
+
+The labels' sample is bounded (SAMPLE documents of SAMPLE_CHARS characters together, whole texts); so are, with it, the
+significant words, each in LEAST_DOCS documents of the sample or more, which is why they may be sent to all executors. Nulls
+count as empty texts; these have no passage and the lowest score. Repeated rows each give a row; an empty table gives none.
+Without labelled documents of both kinds, or significant words, every score is 0.
 """
 
 from __future__ import annotations
@@ -21,19 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import alone, crc_fold, doc_slices, durable, id_and_text, labelled_sample, sized_batches
 from folioscope.llm.logistic import fit_logistic, sigmoid
 
 FOLDS, HELD = 4, 2
-#: Labelled documents that the model is fitted on at most, and entries of its lexicon at most.
-SAMPLE, LEXICON = 12_000, 20_000
+#: Labelled documents that the model is fitted on at most, and the characters that they have together at most.
+SAMPLE, SAMPLE_CHARS = 12_000, 48_000_000
 #: Lengths of word beginnings that count as features beside the whole word, marked by a trailing hyphen.
 BEGINNINGS = (4, 5, 6, 7)
-#: Weight of the Dirichlet prior, in documents; least z value and least toxic documents of a lexicon entry; loss by other words.
-PRIOR, LEAST_Z, LEAST_DOCS, LOSS = 20.0, 4.0, 4, 0.25
+#: Weight of the Dirichlet prior, in documents; least z value, either way, and least documents of a word with log-odds; what is
+#: taken off each word's log-odds.
+PRIOR, LEAST_Z, LEAST_DOCS, LOSS = 20.0, 4.0, 4, 1.0
 THRESHOLD = 0.3
 
 _words = re.compile(r"\w+").findall
@@ -43,14 +46,14 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
 
 
-def segments(at: list[int], gain: list[float], loss: float = LOSS) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score) of a text in which the words `at` (ascending) score
-    `gain` (positive) and each other word -loss: linear in their number, since runs of losses are taken at once."""
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first word, last word, score) of words with these scores, in linear time. Only positive
+    scores are visited: a segment starts and ends with one, and running sums tell what lies between."""
+    sums = np.cumsum(scores)
+    at = np.flatnonzero(scores > 0)
     found: list[list] = []  # first, last, sum before the segment, sum with it, place of the nearest candidate with a smaller sum before it
-    total, done = 0.0, -1
-    for i, g in zip(at, gain):
-        total -= loss * (i - done - 1)
-        first, before, total, done = i, total, total + g, i
+    for i, before, total in zip(at.tolist(), (sums[at] - scores[at]).tolist(), sums[at].tolist()):
+        first = i
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
@@ -70,19 +73,24 @@ class ToxicModel:
     k: float
     weights: list[float]
 
-    def gain(self, word: str) -> float:
-        return max([self.lexicon.get(f, 0.0) for f in features(word)])
+    def log_odds(self, word: str) -> float:
+        """The highest of the word and its beginnings, if that's positive, else the word's own."""
+        own, *beginnings = (self.lexicon.get(f, 0.0) for f in features(word))
+        return max([x for x in (own, *beginnings) if x > 0], default=own)
+
+    def scores(self, text: str, memory: dict[str, float]) -> list[float]:
+        out = []
+        for w in _words(text.lower()):
+            s = memory.get(w)
+            if s is None:
+                memory[w] = s = self.log_odds(w) - LOSS
+            out.append(s)
+        return out
 
     def passages(self, text: str, memory: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
-        words = _words(text.lower())
-        gains = []
-        for w in words:
-            g = memory.get(w)
-            if g is None:
-                memory[w] = g = self.gain(w)
-            gains.append(g)
-        at = [i for i, g in enumerate(gains) if g]
-        return len(words), segments(at, [gains[i] for i in at])
+        """(number of words, segments)."""
+        scores = self.scores(text, memory)
+        return len(scores), segments(np.array(scores)) if max(scores, default=0.0) > 0 else []
 
     def significance(self, n: int, found: list[tuple[int, int, float]]) -> list[float]:
         """-log of each passage's expected number in a clean text of n words, where that's below one."""
@@ -103,86 +111,117 @@ class ToxicModel:
 MEMORY = 200_000
 
 
-def log_odds(y1: int, y0: int, n1: float, n0: float) -> tuple[float, float]:
+def log_odds(y1: Column, y0: Column, n1: float, n0: float) -> tuple[Column, Column]:
     """(log-odds ratio, its z value) of a feature in y1 of n1 toxic and y0 of n0 other documents, under the Dirichlet prior."""
-    prior = PRIOR * (y1 + y0) / (n1 + n0)
-    odds = math.log((y1 + prior) / max(n1 + PRIOR - y1 - prior, 0.5)) - math.log((y0 + prior) / max(n0 + PRIOR - y0 - prior, 0.5))
-    return odds, odds / math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+    prior = F.lit(PRIOR) * (y1 + y0) / (n1 + n0)
+    side = lambda y, n: F.log(y + prior) - F.log(F.greatest(n + PRIOR - y - prior, F.lit(0.5)))
+    odds = side(y1, n1) - side(y0, n0)
+    return odds, odds / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
 
-def _counted(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(feature, y, kinds): in how many texts a feature occurs, and whether in several words; of `only`, if given."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(feature, y1, y0, kinds): in how many toxic and other texts a feature occurs, and whether in several words."""
 
     @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list] = {}  # number of texts, least word, greatest word
-            for text in batch.column(0).to_pylist():
+            seen: dict[str, list] = {}  # number of toxic and of other texts, least word, greatest word
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own: dict[str, list] = {}
                 for w in set(_words(text.lower())):
                     for f in features(w):
-                        if only is None or f in only:
-                            own.setdefault(f, []).append(w)
+                        own.setdefault(f, []).append(w)
                 for f, ws in own.items():
-                    x = seen.setdefault(f, [0, ws[0], ws[0]])
-                    x[0], x[1], x[2] = x[0] + 1, min(x[1], *ws), max(x[2], *ws)
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.string()), **{k: pa.array([x[i] for x in seen.values()], t) for i, (k, t) in enumerate((("y", pa.int64()), ("low", pa.string()), ("high", pa.string())))}})
+                    x = seen.setdefault(f, [0, 0, ws[0], ws[0]])
+                    x[0 if label else 1] += 1
+                    x[2], x[3] = min(x[2], *ws), max(x[3], *ws)
+            kinds = {"y1": pa.int64(), "y0": pa.int64(), "low": pa.string(), "high": pa.string()}
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.string()), **{k: pa.array([x[i] for x in seen.values()], t) for i, (k, t) in enumerate(kinds.items())}})
 
-    each = texts.select("text").mapInArrow(run, "feature string, y long, low string, high string")
-    return each.groupBy("feature").agg(F.sum("y").alias("y"), (F.min("low") != F.max("high")).alias("kinds"))
+    each = sample.select("text", "label").mapInArrow(run, "feature string, y1 long, y0 long, low string, high string")
+    return each.groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"), (F.min("low") != F.max("high")).alias("kinds"))
 
 
-def _measure(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """(label, words, scoring words' gains, segments' scores) of each document of the sample."""
-    model = ToxicModel(lexicon, 1.0, 1.0, [])
+def rated(sample: DataFrame, n1: float, n0: float) -> DataFrame:
+    """(feature, odds) of the significant features of sample(text, label). The beginning of one word alone says no more than
+    the word; beginnings count only for the toxic side."""
+    odds, z = log_odds(F.col("y1"), F.col("y0"), n1, n0)
+    each = _counted(sample).where(F.col("y1") + F.col("y0") >= LEAST_DOCS).select("feature", "kinds", odds.alias("odds"), z.alias("z"))
+    whole = ~F.col("feature").like("%-")
+    return each.where((F.col("z") >= LEAST_Z) & (F.col("kinds") | whole) | (F.col("z") <= -LEAST_Z) & whole).select("feature", "odds")
+
+
+def _measured(sample: DataFrame, model: ToxicModel) -> DataFrame:
+    """(label, score, words, segments, least) of parts of the sample: how often words score this; with a null score the numbers
+    of words and segments, and the least segment's score."""
 
     @alone("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, float] = {}
         for batch in batches:
-            rows = [(model.passages(t, memory), [g for w in _words(t.lower()) if (g := memory[w])]) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "label": batch.column(1),
-                    "n": pa.array([n for (n, _), _ in rows], pa.int64()),
-                    "gains": pa.array([g for _, g in rows], pa.list_(pa.float64())),
-                    "scores": pa.array([[s for _, _, s in found] for (_, found), _ in rows], pa.list_(pa.float64())),
-                }
-            )
+            counts: dict[tuple[int, float], int] = {}
+            sums: dict[int, list] = {}
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                scores = model.scores(text, memory)
+                for x in scores:
+                    counts[label, x] = counts.get((label, x), 0) + 1
+                own = sums.setdefault(label, [0, 0, math.inf])
+                found = segments(np.array(scores)) if scores else []
+                own[0], own[1], own[2] = own[0] + len(scores), own[1] + len(found), min([own[2], *(s for _, _, s in found)])
+            rows = [(label, x, n, 0, math.inf) for (label, x), n in counts.items()] + [(label, None, *own) for label, own in sums.items()]
+            kinds = {"label": pa.int32(), "score": pa.float64(), "words": pa.int64(), "segments": pa.int64(), "least": pa.float64()}
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
             if len(memory) > MEMORY:
                 memory.clear()
 
-    return sample.mapInArrow(run, "label int, n long, gains array<double>, scores array<double>")
+    each = sample.select("text", "label").mapInArrow(run, "label int, score double, words long, segments long, least double")
+    return each.groupBy("label", "score").agg(F.sum("words").alias("words"), F.sum("segments").alias("segments"), F.min("least").alias("least"))
+
+
+def _evidence(sample: DataFrame, model: ToxicModel) -> DataFrame:
+    """(label, best, total) of each text of the sample."""
+
+    @alone("toxicity")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, float] = {}
+        for batch in batches:
+            rows = [model.evidence(*model.passages(t, memory)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(2))], ["label", "best", "total"])
+            if len(memory) > MEMORY:
+                memory.clear()
+
+    return sample.select("text", "label").mapInArrow(run, "label int, best double, total double")
+
+
+def extreme_value(scores: list[tuple[float, int]], n_segments: int, least: float) -> tuple[float, float]:
+    """(lambda, K) for words that score so much so often and have so many segments, the least of which scores `least`:
+    sum p exp(lambda s) is below one between zero and lambda, and K n exp(-lambda s) segments of n words score s or more."""
+    values, counts = np.array([s for s, _ in scores], float), np.array([n for _, n in scores], float)
+    low, high = 1e-3, 20.0
+    for _ in range(80):
+        rate = (low + high) / 2
+        mean = (counts * np.exp(np.minimum(rate * values, 700))).sum() / counts.sum()
+        low, high = (rate, high) if mean < 1 else (low, rate)
+    return rate, n_segments / max(counts.sum() * math.exp(-rate * least), 1e-9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> ToxicModel:
-    sample = durable(sized_batches(labelled_sample(docs, labels, "toxic", FOLDS, HELD, sample_size)).withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0)))
+    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, sample_size, F.length("text"), SAMPLE_CHARS)
+    sample = sized_batches(durable(sample.withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0))))
     sizes = dict(sample.groupBy("label").count().collect())
     if not sizes.get(1) or not sizes.get(0):
         return ToxicModel({}, 1.0, 1.0, [0.0, 0.0, 0.0])
-    n1, n0 = float(sizes[1]), float(sizes[0])
-    toxic = _counted(sample.where("label = 1")).where(F.col("y") >= LEAST_DOCS)
-    # the beginning of one word alone says no more than the word
-    y1 = {r["feature"]: r["y"] for r in toxic.where("kinds or feature not like '%-'").collect()}
-    y0 = {r["feature"]: r["y"] for r in _counted(sample.where("label = 0"), frozenset(y1)).collect()}
-    rated = sorted(((*log_odds(y, y0.get(f, 0), n1, n0), f) for f, y in y1.items()), key=lambda x: (-x[1], x[2]))
-    lexicon = {f: odds for odds, z, f in rated[:LEXICON] if z >= LEAST_Z and odds > 1}
-    rows = _measure(sample, lexicon).collect()
-    clean = [r for r in rows if not r["label"]]
-    words = sum(r["n"] for r in clean)
-    gains = np.concatenate([np.array(r["gains"], float) for r in clean] or [np.empty(0)])
-    if not len(gains):
-        gains = np.array([max(lexicon.values(), default=1.0)])  # as if the clean documents had one such word
-    low, high = 1e-3, 20.0
-    for _ in range(80):  # sum p exp(lambda s) is below one between zero and lambda
-        rate = (low + high) / 2
-        mean = (np.exp(np.minimum(rate * gains, 700)).sum() + max(words - len(gains), 1) * math.exp(-rate * LOSS)) / max(words, 1)
-        low, high = (rate, high) if mean < 1 else (low, rate)
-    scores = [s for r in clean for s in r["scores"]] or [float(gains[0])]
-    k = len(scores) / max(words * math.exp(-rate * min(scores)), 1e-9)
-    model = ToxicModel(lexicon, rate, k, [])
-    x = np.array([model.evidence(r["n"], [(0, 0, s) for s in r["scores"]]) for r in rows])
-    model.weights = fit_logistic(x, np.array([r["label"] for r in rows], float)).tolist()
+    lexicon = {r["feature"]: r["odds"] for r in rated(sample, float(sizes[1]), float(sizes[0])).collect()}
+    model = ToxicModel(lexicon, 1.0, 1.0, [])
+    clean = _measured(sample, model).where("label = 0").orderBy("score").collect()  # a row for each score that a feature gives
+    scores = [(r["score"], r["words"]) for r in clean if r["score"] is not None]
+    n_segments, least = next(((r["segments"], r["least"]) for r in clean if r["score"] is None), (0, 0.0))
+    if not n_segments:  # as if the clean documents had one word of the highest score
+        least = max([1.0, *lexicon.values()]) - LOSS
+        scores, n_segments = [*scores, (least, 1), (-LOSS, 1)], 1
+    model.rate, model.k = extreme_value(scores, n_segments, least)
+    rows = sorted(tuple(r) for r in _evidence(sample, model).collect())
+    model.weights = fit_logistic(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float)).tolist()
     return model
 
 

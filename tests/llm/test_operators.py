@@ -183,6 +183,24 @@ def test_mixing_meets_targets(spark):
         assert size == source_size and target == pytest.approx(3.0 * size if s in capped else share[s]) and abs(taken - target) <= 400
 
 
+def test_mixing_keeps_expectations(spark):
+    """Over many seeds a document is taken target / source size times, and each source's words stay beside its target."""
+    r, runs = random.Random(9), 40
+    docs = documents(spark, [" ".join(["w"] * r.choice([1, 3, 10, 60, 300])) for _ in range(90)], range(90), ["a" if i % 3 else "b" for i in range(90)])
+    sized = mixing.sized_documents(docs)
+    taken, goal = {}, {}
+    for seed in range(runs):
+        words = {}
+        for x in mixing.copies(sized, seed=seed, chunk=8).collect():
+            goal[x["doc_id"]] = x["target"] / x["source_size"]
+            assert x["copies"] in (int(goal[x["doc_id"]]), int(goal[x["doc_id"]]) + 1)
+            taken[x["doc_id"]] = taken.get(x["doc_id"], 0) + x["copies"]
+            words[x["source"]] = words.get(x["source"], -x["target"]) + x["copies"] * x["size"]
+        assert all(abs(w) <= 300 for w in words.values())
+    off = [(taken[i] / runs - f) / np.sqrt((f % 1) * (1 - f % 1) / runs) for i, f in goal.items()]
+    assert abs(np.mean(off)) < 0.35 and np.mean(np.square(off)) < 1.5 and max(map(abs, off)) < 4.5
+
+
 def test_mixing_repeats_rows(spark):
     docs = documents(spark, ["one two", "one two", "one two", "three", "", None], [1, 1, 1, 2, 3, 4], ["a", "a", "a", "b", "b", None])
     mixed = mixing.mix(docs)
@@ -290,14 +308,13 @@ def test_segments_are_maximal():
     """Against the definition: a segment's the best stretch, the shortest of equally good ones, then those beside it."""
     r = random.Random(11)
     for _ in range(200):
-        gains = {i: r.choice([1.13, 2.37, 4.71]) for i in range(40) if r.random() < 0.25}
-        scores = [gains.get(i, -0.25) for i in range(40)]
-        found = toxicity.segments(sorted(gains), [gains[i] for i in sorted(gains)])
+        scores = [r.choice([1.13, 2.37, 4.71]) if r.random() < 0.25 else r.choice([-0.25, -0.25, -1.9]) for _ in range(40)]
 
         def split(a, b):
             best = max(((sum(scores[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, a, a), key=lambda x: (round(x[0], 9), x[1] - x[2]))
             return [] if best[0] <= 0 else [*split(a, best[1]), (best[1], best[2] - 1, best[0]), *split(best[2], b)]
 
+        found = toxicity.segments(np.array(scores))
         assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in split(0, 40)]
         assert all(s == pytest.approx(sum(scores[a : b + 1])) for a, b, s in found)
 
