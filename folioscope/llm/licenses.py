@@ -2,9 +2,10 @@
 
 The index has a template's words with their places, for templates of two kinds: base phrases, which count wherever their words
 stand consecutively, and passages of well-known licences, which may be worded a little differently. Inverse document
-frequencies of all template words come from one pass over the whole corpus. A text is searched for the rarest words of
-each template; the postings of the rarest give the places where the template could start, and the place stays if the next
-rarest stands at its own relative place (for passages: some of the next ones). There a base phrase is verified word by word,
+frequencies of all template words come from one pass over the whole corpus. A file's licence words are looked up in the order
+of these frequencies, the rarest first, until each template that the file may hold (it has all words of the template's key
+phrase) has its anchors: the rarest of its words in this file. Their places, less their places in the template, give where it
+could start; a start stays if the anchors agree on it (for passages: AGREE of them, SLACK words off at most). There a base phrase is verified word by word,
 and a passage by its mandatory key phrase, which must stand near its place; its coverage is the share of the passage's
 words that stand where they should.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ PASSAGES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived all copyright"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Rarest words of a passage that are looked up, how many must agree on a start, and how far its words may have moved.
+#: Words of a passage that a file is searched for, its rarest, how many must agree on a start, and how far its words may have moved.
 LOOKED_UP, AGREE, SLACK, LEAST_COVERAGE = 4, 2, 2, 0.6
 
 _WORD = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum())
@@ -59,45 +60,52 @@ def words_of(text: str) -> list[bytes]:
 class Template:
     label: str
     words: list[bytes]
-    key: list[bytes]
+    key: list[bytes]  # what a text must hold
     base: bool
-    anchors: list[int] = field(default_factory=list)  # places of its rarest words, rarest first
 
 
 class Index:
+    """Postings (template, places) of each template word, and the words' order by inverse document frequency, highest first."""
+
     def __init__(self, frequency: dict[bytes, int], n_docs: int, base: dict[str, str] = BASE, passages=PASSAGES):
-        self.idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1))
         self.templates = [Template(label, words_of(p), words_of(p), True) for p, label in base.items()]
         self.templates += [Template(label, words_of(p), words_of(k), False) for label, p, k in passages]
-        self.postings: dict[bytes, list[tuple[Template, int]]] = {}
-        for t in self.templates:
-            order = sorted(range(len(t.words)), key=lambda i: (-self.idf(t.words[i]), i))
-            t.anchors = order[: 2 if t.base else LOOKED_UP]
-            for i in t.anchors:
-                self.postings.setdefault(t.words[i], []).append((t, i))
+        self.postings: dict[bytes, list[tuple[int, list[int]]]] = {}
+        for n, t in enumerate(self.templates):
+            for w in dict.fromkeys(t.words):
+                self.postings.setdefault(w, []).append((n, [i for i, x in enumerate(t.words) if x == w]))
+        idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+        self.order = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
+        self.keys = [frozenset(t.key) for t in self.templates]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
         """(base places with labels, in order; passages' places with labels and coverage)."""
-        where: dict[bytes, list[int]] = {}
+        present = self.order.keys() & words
+        possible = {n for n, key in enumerate(self.keys) if key <= present}
+        if not possible:
+            return [], []
+        anchors: dict[int, list[tuple[bytes, list[int]]]] = {n: [] for n in possible}
+        for w in sorted(present, key=self.order.__getitem__):  # the file's licence words, the rarest first
+            for n, places in self.postings[w]:
+                if n in possible and len(anchors[n]) < (2 if self.templates[n].base else LOOKED_UP):
+                    anchors[n].append((w, places))
+        where: dict[bytes, list[int]] = {w: [] for own in anchors.values() for w, _ in own}
         for i, w in enumerate(words):
-            if w in self.postings:
-                where.setdefault(w, []).append(i)
+            if w in where:
+                where[w].append(i)
         base, found = [], []
-        for t in self.templates:
+        for n in sorted(possible):
+            t = self.templates[n]
+            starts = [{i - p for i in where[w] for p in places} for w, places in anchors[n]]
             if t.base:
-                first, *rest = t.anchors
-                starts = {i - first for i in where.get(t.words[first], ())}
-                for a in rest:
-                    starts &= {i - a for i in where.get(t.words[a], ())} if starts else set()
-                base += [(s, t.label) for s in starts if s >= 0 and words[s : s + len(t.words)] == t.words]
+                base += [(s, t.label) for s in set.intersection(*starts) if s >= 0 and words[s : s + len(t.words)] == t.words]
             else:
                 votes: dict[int, int] = {}
-                for a in t.anchors:
-                    near = {i - a + d for i in where.get(t.words[a], ()) for d in range(-SLACK, SLACK + 1)}
-                    for s in near:
+                for own in starts:
+                    for s in {s + d for s in own for d in range(-SLACK, SLACK + 1)}:
                         votes[s] = votes.get(s, 0) + 1
                 done = -len(t.words)
-                for s in sorted(s for s, n in votes.items() if n >= AGREE):
+                for s in sorted(s for s, n_ in votes.items() if n_ >= AGREE):
                     if s - done >= len(t.words) and self._key_near(words, t, s):
                         c = self._coverage(words, t, s)
                         if c >= LEAST_COVERAGE:
