@@ -178,7 +178,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                 x = _vectors(part.column(2))
                 found = own.probe(x, probes)
                 # no result of a query scores less than the (k + 1)th best of the sample, which all vectors include
-                least = -np.partition(-(x @ seen.T), k, axis=1)[:, k] - 1e-9 if len(seen) > k else np.full(len(x), -np.inf)
+                slack = 1e-9 * np.linalg.norm(x, axis=1) * own.longest  # far over what another order of adding up can change
+                least = -np.partition(-(x @ seen.T), k, axis=1)[:, k] - slack if len(seen) > k else np.full(len(x), -np.inf)
                 at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 leaf = pa.array([leaf * TREES + tree for f in found for tree, leaf in f], pa.int64())
                 yield pa.RecordBatch.from_arrays([leaf, *(c.take(at) for c in (part.column(0), part.column(1), _packed(x, kind), pa.array(least)))], ["leaf", "h1", "h2", "vector", "least"])
