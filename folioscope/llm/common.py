@@ -78,6 +78,40 @@ def sifted(rows: DataFrame, key: str, by: DataFrame) -> DataFrame:
     return met.withColumn("_maybe", F.coalesce(has, F.lit(False))).drop("_at", "_bit", "_word", "_bits")
 
 
+#: Keys that a join may find hot: each has one of so many of all rows at least, so there are no more.
+HOT = 1_000
+
+
+def met_by_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to table(key, ..., count), in which each key stands once with the number of its rows (and is dropped here).
+    The few hot keys are broadcast, so that no task gets all rows of one; the others meet by a shuffle."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT >= F.lit(total)
+    few, many = table.where(hot).drop(count), table.where(~hot).drop(count)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(many, key))
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, where keys start) of whole keys; rows come sorted by key, the first column, and a key's rows may span batches."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        if kept and new[0][-1] == kept[-1][0][-1]:
+            kept.append(new)
+            continue
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        whole = [np.concatenate(c) for c in zip(*kept, [c[:cut] for c in new])]
+        kept = [[c[cut:] for c in new]]
+        if len(whole[0]):
+            yield whole, np.append(0, np.flatnonzero(np.diff(whole[0])) + 1)
+    if kept:
+        whole = [np.concatenate(c) for c in zip(*kept)]
+        yield whole, np.append(0, np.flatnonzero(np.diff(whole[0])) + 1)
+
+
 _holding: dict[str, Callable[[], None]] = {}
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import doc_slices, id_and_text, sized_batches, stored
+from folioscope.llm.common import doc_slices, durable, id_and_text, met_by_key, sieve, sifted, sized_batches, stored
 
 WIDTH, PAD = 576, b"\xff"
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -154,10 +154,18 @@ def sequences(pages: DataFrame, with_text: bool = True) -> DataFrame:
     return sized_batches(pages).mapInArrow(run, f"id long, parts {PARTS_SQL}")
 
 
-def resolve(parts: DataFrame, store: DataFrame) -> DataFrame:
-    """parts(id, parts), a row for each media reference in order: id, pos, caption and the columns of store(digest, ...)."""
-    refs = parts.select("id", F.explode("parts").alias("x")).where("x.kind = 'media'").select("id", F.col("x.pos").alias("pos"), F.col("x.digest").alias("digest"), F.col("x.caption").alias("caption"))
-    return refs.join(store, "digest", "left")
+def references(parts: DataFrame) -> DataFrame:
+    """(id, pos, digest, caption): a row for each media reference of parts(id, parts)."""
+    each = parts.select("id", F.explode("parts").alias("x")).where("x.kind = 'media'")
+    return each.select("id", F.col("x.pos").alias("pos"), F.col("x.digest").alias("digest"), F.col("x.caption").alias("caption"))
+
+
+def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """references() with the columns of store(digest, ...), null where it has no such digest. Digests that many references
+    name don't meet in one task."""
+    names = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n_refs")).where("digest is not null")
+    met = met_by_key(refs, durable(names.join(store, "digest", "left")), "digest", "n_refs")
+    return met.unionByName(refs.where("digest is null"), allowMissingColumns=True)
 
 
 def page_of(text: str, digest: str) -> str:
@@ -177,8 +185,18 @@ def pages_of(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "id long, html string")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(n, text) of docs(doc_id, text), each distinct text once; nulls are empty texts, n says nothing. Only texts that a sieve
+    of hashes takes for repeated ones are shuffled."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    repeated = rows.groupBy("hash").count().where("count > 1")
+    rows = sifted(rows, "hash", sieve(durable(repeated.select("hash")), "hash"))
+    once = rows.where("not _maybe").select("text").unionByName(rows.where("_maybe").select("text").distinct())
+    return once.select(F.lit(0).cast("long").alias("n"), "text")
+
+
 def pictures_of(docs: DataFrame) -> DataFrame:
-    """(digest, media) of docs(doc_id, text): the picture of each text under its payload's digest."""
+    """(digest, media) of docs(doc_id, text): the picture of each distinct text under its payload's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in doc_slices(batches):
@@ -186,7 +204,7 @@ def pictures_of(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(p).hexdigest() for p in payloads]
             yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([to_png(p) for p in payloads], pa.binary())], ["digest", "media"])
 
-    return id_and_text(docs).mapInArrow(run, "digest string, media binary")
+    return sized_batches(distinct_texts(docs)).mapInArrow(run, "digest string, media binary")
 
 
 #: What reading a stored picture back gives.
@@ -214,5 +232,5 @@ def document_media(docs: DataFrame) -> DataFrame:
     """(doc_id, SEEN, pos, caption) of every text of docs(doc_id, text): shown as a picture in a page, the picture stored,
     resolved by digest and read back. Narrow rows meet in the join, not pictures."""
     seen = read_back(stored(pictures_of(docs), "media-store"))
-    shown = resolve(sequences(pages_of(docs), with_text=False), seen)
+    shown = resolve(durable(references(sequences(pages_of(docs), with_text=False))), seen)
     return shown.select(F.col("id").alias("doc_id"), *SEEN, "pos", "caption")

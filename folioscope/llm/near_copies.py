@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches
+from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches, whole_keys
 from folioscope.llm.components import connected
-from folioscope.llm.simhash import one_of_root, print_links, print_of, shingles
+from folioscope.llm.simhash import earliest, one_of_root, print_links, print_of, shingles
 
 WIDTH = 5
 #: The least similarity, as a quotient of whole numbers.
@@ -151,30 +151,10 @@ def _postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return sized_batches(docs.select("text")).mapInArrow(run, "key long, node long, size int, place int")
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns, where keys start) of whole keys; rows come sorted by key, and a key's rows may span batches."""
-    kept: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy() for c in batch.columns]
-        if kept and new[0][-1] == kept[-1][0][-1]:
-            kept.append(new)
-            continue
-        cut = int(np.searchsorted(new[0], new[0][-1]))
-        whole = [np.concatenate(c) for c in zip(*kept, [c[:cut] for c in new])]
-        kept = [[c[cut:] for c in new]]
-        if len(whole[0]):
-            yield whole, np.append(0, np.flatnonzero(np.diff(whole[0])) + 1)
-    if kept:
-        whole = [np.concatenate(c) for c in zip(*kept)]
-        yield whole, np.append(0, np.flatnonzero(np.diff(whole[0])) + 1)
-
-
 @alone("near_copies")
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of keys that several nodes have, each once and with its key's lead; rows come sorted by key and node."""
-    for columns, _ in _by_key(batches):
+    for columns, _ in whole_keys(batches):
         once = np.append(True, (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0))
         key, node, size, place = (c[once] for c in columns)
         starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
@@ -191,7 +171,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @alone("near_copies")
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each key the pairs of nodes that are in different components."""
-    for (key, node, size, place, part, *bits), starts in _by_key(batches):
+    for (key, node, size, place, part, *bits), starts in whole_keys(batches):
         bits = np.stack(bits, 1).view(np.uint64)
         for start, end in zip(starts, np.append(starts[1:], len(key))):
             names, which, counts = np.unique(part[start:end], return_inverse=True, return_counts=True)
@@ -236,7 +216,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame
     pairs = durable(sized_batches(met.select("a", "b", "sketch_a", "size_a", "sketch_b", "size_b")).mapInArrow(_possible, "a long, b long"))
     routes = pairs.groupBy("a").count().select(F.col("a").alias("node"), "count").union(pairs.groupBy("b").count())
     routes = routes.groupBy("node").agg(F.ceil(F.max("count") / ROUTED).cast("int").alias("routes"))
-    one = marked.select("node", "doc_id", "hash").join(routes, "node").groupBy("node", "routes").agg(F.min(F.struct("doc_id", "hash")).alias("x"))
+    one = marked.groupBy("node").agg(earliest().alias("x")).join(routes, "node")
     one = durable(one.select("node", "routes", F.col("x.doc_id").alias("_id"), F.xxhash64("x.doc_id", "x.hash").alias("_key"), F.col("x.hash").alias("_hash")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     rows = sifted(rows.withColumn("key", F.xxhash64("doc_id", "hash")), "key", sieve(one, "_key")).where("_maybe")
@@ -256,7 +236,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame
 def _by_fingerprint(marked: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes that span what operator 9's fuzzy keys link: fingerprints of five-word shingles within three bits."""
     first = durable(marked.groupBy("print").agg(F.min("node").alias("first")))
-    same = marked.join(first, "print").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same = marked.select("node", "print").distinct().join(first, "print").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     of = lambda side: first.select(F.col("print").alias(side), F.col("first").alias(f"node_{side}"))
     linked = print_links(first).join(of("a"), "a").join(of("b"), "b")
     return same.union(linked.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
@@ -289,4 +269,5 @@ def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs(doc_id, text, ...) of each component, all columns kept, as simhash.one_of_each chooses it."""
     marked = durable(_nodes(docs))
-    return one_of_root(docs, marked.select("doc_id", "hash", "node").join(components(docs, marked), "node"))
+    first = marked.groupBy("node").agg(earliest().alias("x"))
+    return one_of_root(docs, marked, first.join(components(docs, marked), "node"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches
+from folioscope.llm.common import alone, durable, met_by_key, sieve, sifted, sized_batches, whole_keys
 from folioscope.llm.components import connected
 
 SEED, BITS = 42, 3
@@ -160,29 +160,14 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @alone("simhash")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a key's rows may span batches."""
-    kept = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def of(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        starts, ends = np.append(0, cuts), np.append(cuts, len(keys))
-        unsigned, found = prints.view(np.uint64), []
+    for (_, prints), starts in whole_keys(batches):
+        unsigned, ends = prints.view(np.uint64), np.append(starts[1:], len(prints))
         two = starts[ends - starts == 2]
         near = two[np.bitwise_count(unsigned[two] ^ unsigned[two + 1]) <= BITS]
-        found.append(np.stack([unsigned[near], unsigned[near + 1]], 1))
-        for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-            found.append(forest_links(unsigned[a:b]))
+        found = [np.stack([unsigned[near], unsigned[near + 1]], 1)]
+        found += [forest_links(unsigned[a:b]) for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2])]
         pairs = np.concatenate(found).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        keys, prints = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept))
-        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        kept = keys[last:], prints[last:]
-        if last:
-            yield of(keys[:last], prints[:last])
-    if len(kept[0]):
-        yield of(*kept)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, mark: Column | None = None) -> DataFrame:
@@ -207,18 +192,24 @@ def print_links(prints: DataFrame) -> DataFrame:
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """(print, component_id) of every distinct fingerprint of marked(doc_id, print)."""
-    prints = durable(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
+    """(print, root, component_id, n) of every distinct fingerprint of marked(doc_id, print), with its number of rows."""
+    prints = durable(marked.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = connected(print_links(prints))
-    named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "first")
+    named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "first", "n")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return durable(named.join(least, "root").select("print", "root", "component_id"))
+    return durable(named.join(least, "root").select("print", "root", "component_id", "n"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs: component_id is the smallest doc_id that links reach."""
     marked = durable(fingerprints(docs, width))
-    return marked.join(_components(marked), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    met = met_by_key(marked, _components(marked), "print", "n")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def earliest() -> Column:
+    """Of rows (doc_id, hash) the one that stays of a group."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
 
 
 def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -226,14 +217,15 @@ def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     the text with the smallest hash; of rows alike in both, any one."""
     text = F.coalesce("text", F.lit(""))
     marked = durable(fingerprints(docs.select("doc_id", "text"), width, F.xxhash64(text)))
-    return one_of_root(docs, marked.join(_components(marked), "print"))
+    first = marked.groupBy("print").agg(earliest().alias("x"))
+    return one_of_root(docs, marked, first.join(_components(marked), "print"))
 
 
-def one_of_root(docs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The row of docs that one_of_each keeps of each root; whole(doc_id, hash, root) has a row of every row of docs."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    kept = whole.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_text_hash"), F.lit(True).alias("_kept"))
-    keys = whole.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("_rows"))
+def one_of_root(docs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The row of docs that one_of_each keeps of each root; rows(doc_id, hash) are those of docs, first(root, x) the earliest of
+    each part of a root."""
+    kept = first.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_text_hash"), F.lit(True).alias("_kept"))
+    keys = rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("_rows"))
     keys = keys.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text_hash")), "left")
     # rows that share doc_id and text with no other one, and stay, are sure; the others, and what the sieve takes for one, meet
     doubtful = keys.where("_kept is null or _rows > 1").select(F.xxhash64("doc_id", "hash").alias("_key"), F.col("doc_id").alias("_id"), F.col("hash").alias("_text_hash"), "_kept", "_rows")

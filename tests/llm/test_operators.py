@@ -249,7 +249,7 @@ def test_interleaved_pages(spark):
     ]
     pages = spark.createDataFrame([(1, page), (2, None), (3, "<img src=media:zz")], "id long, html string")
     store = spark.createDataFrame([("d1", b"1"), ("d2", b"2")], "digest string, media binary")
-    got = [tuple(r) for r in media.resolve(media.sequences(pages), store).orderBy("id", "pos").select("id", "pos", "digest", "media", "caption").collect()]
+    got = [tuple(r) for r in media.resolve(media.references(media.sequences(pages)), store).orderBy("id", "pos").select("id", "pos", "digest", "media", "caption").collect()]
     assert [(g[0], g[1], g[2], g[4]) for g in got if g[0] == 1] == [(1, 2, "d1", "cap"), (1, 4, "d2", "alt")] and [bytes(g[3]) for g in got if g[0] == 1] == [b"1", b"2"]
 
 
