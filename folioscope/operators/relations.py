@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text as tx
 from folioscope.operators.search import asked
@@ -323,12 +324,22 @@ def study_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Tasks of a study at most: each participant's row holds them all for a moment.
+STUDY_TASKS = 10_000
+
+
 def study_assignment(participants: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Tasks of each participant in a hashed order, conditions alternating from a hashed start."""
-    met = participants.crossJoin(tasks).withColumn("h", F.sha2(F.concat_ws(":", "participant_id", "task_id"), 256))
-    place = F.row_number().over(Window.partitionBy("participant_id").orderBy("h", "task_id"))
+    """All tasks of each participant in a hashed order, conditions alternating from a hashed start. The list of tasks, of a
+    checked size, goes to the participants, each of whom is ordered in their own row."""
+    listed = [r[0] for r in tasks.select("task_id").limit(STUDY_TASKS + 1).collect()]
+    if len(listed) > STUDY_TASKS:
+        raise ValueError(f"a study has {STUDY_TASKS} tasks at most")
+    all_ = F.broadcast(participants.sparkSession.createDataFrame([(listed,)], T.StructType([T.StructField("tasks", T.ArrayType(tasks.schema["task_id"].dataType))])))
+    key = lambda t: F.struct(F.sha2(F.concat_ws(":", F.col("participant_id").cast("string"), t.cast("string")), 256).alias("h"), t.alias("task_id"))
+    met = participants.crossJoin(all_).select("participant_id", F.posexplode(F.array_sort(F.transform("tasks", key))).alias("at", "x"))
+    place = F.col("at") + 1
     start = F.conv(F.substring(F.sha2(F.col("participant_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
-    return met.select("participant_id", "task_id", place.alias("place"), F.when(F.pmod(place + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))
+    return met.select("participant_id", "x.task_id", place.alias("place"), F.when(F.pmod(place + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))
 
 
 def perf_gate(baseline: DataFrame, candidate: DataFrame, limits: DataFrame, most: float = 0.10) -> DataFrame:

@@ -62,6 +62,24 @@ def test_readability(text, label):
     assert ("readable" if score >= 0.72 else "partial" if score >= 0.45 else "low") == label
 
 
+def letters(start, n=30):
+    return "".join(map(chr, range(ord(start), ord(start) + n)))
+
+
+@pytest.mark.parametrize(
+    ("text", "score"),
+    [
+        (letters("A", 26) + "abcd" + letters("一") + letters("あ") + letters("ア"), 0.64),  # four scripts, none of them dominant: 1 - 0.14 - 0.22
+        (letters("A", 26) + "abcd" + "".join(chr(c) for c in range(0xE0, 0x100) if c not in (0xF7, 0xFF)) + letters("α", 25) + letters("а"), 0.6317),  # accented Latin is another script; 115 characters
+        (letters("ა") + letters("ก") + letters("א", 27) + letters("а", 33), 0.64),
+        (letters("A", 26) + "abcd" + letters("一") + letters("あ", 60), 1.0),  # three scripts
+        (letters("一", 100) + "A" + letters("а", 2) + letters("א", 2) + letters("あ", 2) + letters("α", 13), 0.72),  # five scripts with two letters or more: 2 * 0.14
+    ],
+)
+def test_readability_of_mixed_scripts(text, score):
+    assert udfs.readability(text) == pytest.approx(score, abs=0.0001)
+
+
 def test_sniffing_and_names():
     assert udfs.sniffed("é".encode("utf-16")) == "é" and udfs.sniffed(b"\xef\xbb\xbfa") == "a"
     assert udfs.sniffed("中文".encode("gb18030")) == "中文" and udfs.sniffed(None) == ""

@@ -12,11 +12,12 @@ def put_documents(spark, folder, texts):
 
 
 def test_retrieval_metrics(spark, tmp_path):
+    """A document is right if it holds the whole item; its rank is that of the search."""
     start = "the same sixty characters and more at the start of both of the texts "
-    put_documents(spark, tmp_path, [start + "one", start + "two"])
-    put(spark, tmp_path, "benchmark", [(1, start + "none")], "item_id long, text string")
+    put_documents(spark, tmp_path, [start * 2 + "one", "other words, and " + start + "two", "nothing", "else", "and more"])
+    put(spark, tmp_path, "benchmark", [(1, start + "none"), (2, start + "two"), (3, start + "one")], "item_id long, text string")
     row = catalog.retrieval_metrics(spark, str(tmp_path)).first()
-    assert (row["n"], row["hit_at_5"], row["mrr"]) == (1, 0.0, 0.0)
+    assert (row["n"], row["hit_at_1"], row["hit_at_5"], row["mrr"]) == (3, 0.333333, 0.666667, 0.5)
 
 
 def test_evidence_dedup(spark, tmp_path):
