@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         where = found.get() if found.isDefined() else os.path.join(tempfile.gettempdir(), "folioscope-shared")
     return where
 
