@@ -12,6 +12,7 @@ from folioscope.operators import evidence as ev
 from folioscope.operators import relations as rel
 from folioscope.operators import search as se
 from folioscope.sources import corpus
+from folioscope.sources.corpus import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,6 +162,25 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.ranked(hits, [F.desc("bm25"), F.asc("document_id")], 10).select("query_id", "rank", "document_id", F.round("bm25", 6).alias("score"))
 
 
+_EDITED = "docs2 as (select document_id, title, body || ' lighthouse' as body from docs where document_id % 9 <> 4)"
+
+
+@query(f"""with {DOCS}, {_EDITED}, {asked_sql(3)}, {terms_sql()}, {bm25_sql('docs2', 'document_id', {'title': 1, 'body': 1})},
+r as (select query_id, row_number() over (partition by query_id order by bm25 desc, document_id) as rank, document_id, round(bm25, 6) as score from scored)
+select query_id, rank::int as rank, document_id, score from r where rank <= 10""")
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents, of which every ninth is then removed and every other one edited; searched as it is."""
+    import uuid
+
+    from folioscope.operators.search_index import SearchIndex
+
+    docs, i = corpus.documents(spark, sf_dir).select("document_id", "title", "body"), F.col("document_id")
+    index = SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "document_id", {"title": 1.0, "body": 1.0})
+    index.refresh(docs)
+    index.refresh(docs.where(i % 9 != 4).withColumn("body", F.concat("body", F.lit(" lighthouse"))), docs.where(i % 9 == 4))
+    return se.ranked(index.search(corpus.queries(spark, sf_dir)), [F.desc("bm25"), F.asc("document_id")], 10).select("query_id", "rank", "document_id", F.round("bm25", 6).alias("score"))
+
+
 @query(f"""with {DOCS}, asked as (select 1 as query_id, 'nation ounded the' as query), {terms_sql()}, {bm25_sql('docs', 'document_id', {'body': 1})}
 select document_id, round(bm25, 6) as score, n_matched from scored order by bm25 desc, document_id limit 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -711,14 +731,12 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots as a stream: the change events that it appends."""
-    import tempfile
     import uuid
 
     from folioscope.sources.sinks import VersionedTables
     from folioscope.streaming.changes import change_feed, snapshot_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{shared.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     old, new = corpus.snapshots(spark, sf_dir)
     new = new.withColumn("document_id", F.abs(F.hash("path")).cast("long") + 10_000_000)
     for generation, rows in enumerate((old, new), 1):

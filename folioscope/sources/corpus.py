@@ -5,6 +5,9 @@ States that the tables don't have are rules on doc_id, plain arithmetic, so that
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. A local one only where none is set and Spark itself is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
+        where = os.path.join(tempfile.gettempdir(), "folioscope-shared")
+    return where.rstrip("/")
+
+
 def by_residue(key: Column, *cases: tuple[int, int, str], otherwise: str) -> Column:
     out = F
     for modulus, residue, value in cases:

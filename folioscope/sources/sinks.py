@@ -5,49 +5,81 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.functions import text as tx
 
 
+class OutdatedWriter(RuntimeError):
+    """Another writer has published a version since this one began."""
+
+
 class VersionedTables:
-    """Tables below a root: data go to a new version's folder, and one small pointer row, appended last, makes them current. A
-    writer that dies before that leaves the former version as it was; readers take the highest version that's complete."""
+    """Tables below a root: data go to a folder of the writer's own, and one small pointer file makes them current. It's named
+    by the version and created only if there is none of that name, so that of two writers one fails and neither loses data. A
+    writer that dies before that leaves the former version as it was; a pointer that it left half written is passed over."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("version long, schema_version string, algorithm string, tables string").json(f"{self.root}/_meta")
+    def _files(self):
+        """(file system, pointer folder, the pointers' versions)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return fs, path, [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+
+    def _pointers(self) -> list[dict]:
+        fs, _, numbers = self._files()
+        if not numbers:
+            return []
+        rows = self.spark.read.schema("version long, schema_version string, algorithm string, folder string, tables string, schemas string").json(f"{self.root}/_meta")
+        return [r.asDict() for r in rows.where("tables is not null").orderBy("version").collect()]
 
     def current(self) -> dict | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        row = self._pointers().orderBy(F.desc("version")).limit(1).collect()
-        return row[0].asDict() if row else None
-
-    def commit(self, tables: dict[str, DataFrame], schema_version: str = "1", algorithm: str = "1") -> int:
-        last = self.current()
-        version = (last["version"] if last else 0) + 1
+        return (self._pointers() or [None])[-1]
+
+    def commit(self, tables: dict[str, DataFrame], schema_version: str = "1", algorithm: str = "1", partitioned: dict[str, list[str]] | None = None) -> int:
+        fs, meta, numbers = self._files()
+        version = max(numbers, default=0) + 1
+        folder = f"v{version}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        pointer = self.spark.createDataFrame([(version, schema_version, algorithm, ",".join(sorted(tables)))], "version long, schema_version string, algorithm string, tables string")
-        pointer.coalesce(1).write.mode("append").json(f"{self.root}/_meta")
+            df.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(f"{self.root}/{folder}/{name}")
+        pointer = json.dumps({"version": version, "schema_version": schema_version, "algorithm": algorithm, "folder": folder, "tables": ",".join(sorted(tables)), "schemas": json.dumps({n: d.schema.jsonValue() for n, d in tables.items()})})
+        jvm = self.spark._jvm
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(meta, f"{version}.json"), False)
+        except Exception as e:
+            raise OutdatedWriter(f"version {version} is there already") from e
+        out.write(bytearray(pointer.encode()))
+        out.close()
         return version
 
+    def _table(self, pointer: dict, name: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(pointer["schemas"])[name])  # a table without rows may have no file
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{pointer['folder']}/{name}").select(*schema.names)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.current()['version']}/{name}")
+        return self._table(self.current(), name)
 
-    def history(self, name: str) -> DataFrame:
+    def history(self, name: str, with_version: bool = False) -> DataFrame:
         """An append-only table: what each committed version added."""
-        versions = sorted(r["version"] for r in self._pointers().select("version").collect())
-        return self.spark.read.parquet(*(f"{self.root}/v{v}/{name}" for v in versions))
+        out = None
+        for p in self._pointers():
+            if name in p["tables"].split(","):
+                one = self._table(p, name)
+                one = one.withColumn("version", F.lit(p["version"])) if with_version else one
+                out = one if out is None else out.unionByName(one)
+        if out is None:
+            raise FileNotFoundError(f"{self.root} has no {name}")
+        return out
 
     def stale(self, schema_version: str = "1", algorithm: str = "1") -> bool:
         """Whether the derived tables must be rebuilt: there are none, or they're of another schema or algorithm."""
