@@ -124,6 +124,21 @@ def positions(ids: Column) -> Column:
     return F.map_from_arrays(once, F.transform(once, lambda i: F.array_position(ids, i).cast("int")))
 
 
+REFERENCE = "kind string, workspace_path string, virtual_path string, container_path string, member_path string, member_chain array<string>, archive_depth int, stable_id string"
+
+
+def source_reference(stored: Column, path: Column, kind: Column, container: Column, member: Column, document_id: Column) -> Column:
+    """A document's reference as stored JSON has it; where that's missing or broken, made of the older columns."""
+    parsed = F.from_json(stored, REFERENCE)
+    kind, own = F.coalesce(kind, F.lit("physical")), document_id.cast("string")
+    inner = F.coalesce(member, F.element_at(F.split(path, "/"), -1))
+    whole = lambda *x: F.struct(*(v.alias(f.split()[0]) for v, f in zip(x, REFERENCE.replace("array<string>", "list").split(", "))))
+    none = F.lit(None).cast("string")
+    inside = whole(F.lit("archive_member"), F.coalesce(container, F.lit("")), path, F.coalesce(container, F.lit("")), inner, F.array(inner), F.lit(1), own)
+    file = whole(F.when(kind == "archive", "archive").otherwise("physical"), path, path, none, none, F.array().cast("array<string>"), F.lit(0), own)
+    return F.when(parsed["kind"].isNotNull() & parsed["workspace_path"].isNotNull(), parsed).when(kind == "archive_member", inside).otherwise(file)
+
+
 # Moves and migrations
 
 

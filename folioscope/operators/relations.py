@@ -251,6 +251,23 @@ def matched_items(items: DataFrame, docs: DataFrame) -> DataFrame:
     return three.select(*items.columns, F.coalesce("a_id", "b_id", "c_id").alias("found_id"), F.coalesce("a_hash", "b_hash", "c_hash").alias("found_hash"), how.alias("found_by"))
 
 
+def matched_in_scope(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """As matched_items, for items and documents that also have source_kind, container and member: only the same kind matches,
+    a member's place is that in its container, and its content counts there alone and only at its own place."""
+    inside = F.col("source_kind") == "archive_member"
+    place = F.when(inside, F.concat_ws("\x1f", F.lower("container"), "member")).otherwise(F.lower("path"))
+    named = lambda d, p: d.select(F.col("document_id").alias(f"{p}_id"), F.col("content_hash").alias(f"{p}_hash"), F.col("source_kind").alias(f"{p}_kind"), place.alias(f"{p}_place"), F.when(inside, F.lower("container")).otherwise("").alias(f"{p}_scope"))
+    alone = lambda d, *keys: d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
+    mine = items.withColumns({"_kind": F.col("source_kind"), "_place": place, "_scope": F.when(inside, F.lower("container")).otherwise("")})
+    a, b, c = (named(docs, p) for p in "abc")
+    met = mine.join(a, (F.col("document_id") == F.col("a_id")) & (F.col("_kind") == F.col("a_kind")), "left")
+    met = met.join(alone(b, "b_kind", "b_place"), (F.col("_kind") == F.col("b_kind")) & (F.col("_place") == F.col("b_place")), "left")
+    there = (F.col("_kind") != "archive_member") | (F.col("_place") == F.col("c_place"))
+    met = met.join(alone(c, "c_kind", "c_scope", "c_hash"), (F.col("_kind") == F.col("c_kind")) & (F.col("_scope") == F.col("c_scope")) & (F.col("content_hash") == F.col("c_hash")) & there, "left")
+    how = F.when(F.col("a_id").isNotNull(), "id").when(F.col("b_id").isNotNull(), "path").when(F.col("c_id").isNotNull(), "hash").otherwise("none")
+    return met.select(*items.columns, F.coalesce("a_id", "b_id", "c_id").alias("found_id"), F.coalesce("a_hash", "b_hash", "c_hash").alias("found_hash"), how.alias("found_by"))
+
+
 def reconfirmed(items: DataFrame, docs: DataFrame) -> DataFrame:
     """Items with their freshness now: current, changed, missing or unverified; changed and missing ones go back to review."""
     m = matched_items(items, docs)
@@ -422,6 +439,7 @@ def integrity(docs: DataFrame, children: DataFrame, cached: DataFrame) -> DataFr
         ("cache_missing", "warning", docs.join(cached, "document_id", "left_anti")),
         ("cache_orphan", "warning", cached.join(docs, "document_id", "left_anti")),
         ("cache_outdated", "error", met.where("content_hash <> now")),
+        ("cache_invalid", "error", cached.where("content_hash is null or document_id is null")),
         ("failed", "warning", docs.where("status = 'failed'")),
     ]
     out = None
@@ -431,9 +449,22 @@ def integrity(docs: DataFrame, children: DataFrame, cached: DataFrame) -> DataFr
     return out
 
 
-def node_faults(nodes: DataFrame, indexes: DataFrame, raw: DataFrame, roots: DataFrame) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
+    """The edges(node, needed) between nodes of which each is needed by, and needs, another one of them: cycles, and what leads
+    from one to another. Each round drops what no longer has a predecessor or a successor, and is checkpointed."""
+    from folioscope.sources.corpus import durable
+
+    left, before = durable(edges.select("node", "needed").distinct()), -1
+    while (n := left.count()) not in (0, before):
+        before = n
+        left = left.join(left.select(F.col("node").alias("needed")).distinct(), "needed", "left_semi")
+        left = durable(left.join(left.select(F.col("needed").alias("node")).distinct(), "node", "left_semi").select("node", "needed"))
+    return left
+
+
+def node_faults(nodes: DataFrame, indexes: DataFrame, raw: DataFrame, roots: DataFrame, shortcuts: DataFrame | None = None) -> DataFrame:
     """(code, severity, key) of a tree of nodes(node_id, path, node_type, depends_on), its written indexes(path, node_id,
-    header_ok), the raw files(path, generated) and the registered roots(root)."""
+    header_ok), the raw files(path, generated), the registered roots(root) and the shortcuts(path, text)."""
     leaf = nodes.where("node_type in ('leaf', 'foldernode')")
     met = leaf.join(indexes.select("path", F.col("node_id").alias("written_id"), "header_ok"), "path")
     needs = nodes.select("path", F.explode("depends_on").alias("needed"))
@@ -444,10 +475,13 @@ def node_faults(nodes: DataFrame, indexes: DataFrame, raw: DataFrame, roots: Dat
         ("id_mismatch", "error", met.where("header_ok and written_id <> node_id").select("path")),
         ("index_untracked", "warning", indexes.join(leaf, "path", "left_anti").select("path")),
         ("dependency_unknown", "error", needs.join(nodes.select(F.col("node_id").alias("needed")), "needed", "left_anti").select("path").distinct()),
+        ("dependency_cycle", "error", nodes.join(cyclic(nodes.select(F.col("node_id").alias("node"), F.explode("depends_on").alias("needed")).where("needed is not null")).select(F.col("node").alias("node_id")).distinct(), "node_id", "left_semi").select("path")),
         ("raw_missing", "warning", nodes.where("node_type <> 'foldernode'").join(raw, "path", "left_anti").select("path")),
         ("generated_in_raw", "error", raw.where("generated").select("path")),
         ("roots_overlap", "error", a.join(b, F.startswith("b", F.concat(F.col("a"), F.lit("/")))).select(F.col("b").alias("path")).distinct()),
     ]
+    if shortcuts is not None:
+        faults.append(("invalid_shortcut", "warning", shortcuts.where(~F.startswith(F.coalesce("text", F.lit("")), F.lit("[InternetShortcut]\nURL=file:"))).select("path")))
     out = None
     for code, severity, rows in faults:
         one = rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("path").alias("key"))

@@ -657,6 +657,7 @@ cached as (select document_id, case when document_id % 41 = 0 then 'old' else co
 select 'missing_child' as code, 'error' as severity, count(*) as n from kids where path not in (select path from docs) union all select 'orphan', 'warning', count(*) from docs where path not in (select path from kids)
 union all select 'duplicate_id', 'error', count(*) from (select document_id from docs group by 1 having count(*) > 1) union all select 'cache_missing', 'warning', count(*) from docs where document_id not in (select document_id from cached)
 union all select 'cache_orphan', 'warning', count(*) from cached where document_id not in (select document_id from docs) union all select 'cache_outdated', 'error', count(*) from cached c join docs d using (document_id) where c.content_hash <> d.content_hash
+union all select 'cache_invalid', 'error', count(*) from cached where content_hash is null or document_id is null
 union all select 'failed', 'warning', count(*) from docs where status = 'failed'""")
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = corpus.documents(spark, sf_dir), F.col("document_id")
@@ -986,18 +987,22 @@ def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_cost(corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")), 0.5)
 
 
-@query(f"""with {DOCS}, n as (select document_id as node_id, path, node_type, document_id + case when document_id % 90 = 0 then 1000000 else 0 end as needs from docs),
+@query(f"""with {DOCS}, n as (select document_id as node_id, path, node_type, case document_id % 90 when 0 then document_id + 1000000 when 7 then document_id + 1 when 8 then document_id - 1 end as needs from docs),
 x as (select path, document_id + case when document_id % 44 = 1 then 1 else 0 end as node_id, document_id % 38 <> 0 as header_ok from docs where node_type <> 'text' and document_id % 30 <> 0 union all select 'lost/' || document_id, document_id, true from docs where document_id % 99 = 0),
 r as (select path, document_id % 77 = 0 as generated from docs where document_id % 61 <> 0), leaf as (select * from n where node_type in ('leaf', 'foldernode')), m as (select leaf.path, leaf.node_id, x.node_id as w, header_ok from leaf join x using (path))
 select 'index_missing' as code, 'error' as severity, path as key from leaf where path not in (select path from x) union all select 'index_invalid', 'error', path from m where not header_ok
 union all select 'id_mismatch', 'error', path from m where header_ok and w <> node_id union all select 'index_untracked', 'warning', path from x where path not in (select path from leaf)
-union all select 'dependency_unknown', 'error', path from n where needs not in (select node_id from n) union all select 'raw_missing', 'warning', path from n where node_type <> 'foldernode' and path not in (select path from r)
-union all select 'generated_in_raw', 'error', path from r where generated union all select 'roots_overlap', 'error', 'src1/en'""")
+union all select 'dependency_unknown', 'error', path from n where needs not in (select node_id from n) union all select 'dependency_cycle', 'error', a.path from n a join n b on a.needs = b.node_id and b.needs = a.node_id
+union all select 'raw_missing', 'warning', path from n where node_type <> 'foldernode' and path not in (select path from r)
+union all select 'generated_in_raw', 'error', path from r where generated union all select 'roots_overlap', 'error', 'src1/en'
+union all select 'invalid_shortcut', 'warning', path || '.url' from docs where document_id % 7 <> 0 and document_id % 2 = 0""")
 def node_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = corpus.documents(spark, sf_dir), F.col("document_id")
-    nodes = docs.select(i.alias("node_id"), "path", "node_type", F.array(i + F.when(i % 90 == 0, 1_000_000).otherwise(0)).alias("depends_on"))
+    nodes = docs.select(i.alias("node_id"), "path", "node_type", F.array_compact(F.array(F.when(i % 90 == 0, i + 1_000_000).when(i % 90 == 7, i + 1).when(i % 90 == 8, i - 1))).alias("depends_on"))
     written = docs.where((F.col("node_type") != "text") & (i % 30 != 0)).select("path", (i + F.when(i % 44 == 1, 1).otherwise(0)).alias("node_id"), (i % 38 != 0).alias("header_ok"))
     lost = docs.where(i % 99 == 0).select(F.concat(F.lit("lost/"), i).alias("path"), i.alias("node_id"), F.lit(True).alias("header_ok"))
     raw = docs.where(i % 61 != 0).select("path", (i % 77 == 0).alias("generated"))
     roots = spark.createDataFrame([("src1",), ("src1/en",), ("src10",)], "root string")
-    return rel.node_faults(nodes, written.unionByName(lost), raw, roots)
+    link = F.when(i % 7 == 0, F.lit("[InternetShortcut]\nURL=file:///x")).otherwise("URL=file:///x")
+    shortcuts = docs.where(i % 2 == 0).select(F.concat("path", F.lit(".url")).alias("path"), link.alias("text"))
+    return rel.node_faults(nodes, written.unionByName(lost), raw, roots, shortcuts)

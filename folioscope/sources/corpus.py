@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: its lineage is cut, and a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def by_residue(key: Column, *cases: tuple[int, int, str], otherwise: str) -> Column:
     out = F
     for modulus, residue, value in cases:

@@ -1,15 +1,17 @@
 """Files as relations: scans of trees, archives exploded to members, extraction to pages with locators.
 
 Content is read by Spark's binaryFile source and parsed on the executors, a file at a time; what can't be parsed gets an
-error code, not an exception. PDF and image text needs libraries that may be missing: such files stay metadata-only unless
-an extractor is registered for their extension.
+error code, not an exception. Of PDF files the text pages are read (pdf.py); image text needs libraries that may be missing:
+such files stay metadata-only unless an extractor is registered for their extension.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import os
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -190,6 +192,37 @@ def over_budget(rows: DataFrame, key: str, order: str, size: str, most: int) ->
     return rows.withColumn("running", total).withColumn("allowed", F.col("running") <= most)
 
 
+def stable_snapshot(path: str, attempts: int = 3, wait: float = 0.05) -> tuple[int, int, str, bool]:
+    """(size, time of change in ns, SHA-256, whether it stayed as it was while it was read) of a file, the last of so many tries."""
+    for left in range(attempts - 1, -1, -1):
+        before, digest = os.stat(path), hashlib.sha256()
+        with open(path, "rb") as f:
+            while part := f.read(1 << 20):
+                digest.update(part)
+        after = os.stat(path)
+        stable = (before.st_size, before.st_mtime_ns) == (after.st_size, after.st_mtime_ns)
+        if stable or not left:
+            return after.st_size, after.st_mtime_ns, digest.hexdigest(), stable
+        time.sleep(wait)
+    raise ValueError("at least one attempt")
+
+
+def stable_snapshots(paths: DataFrame, attempts: int = 3) -> DataFrame:
+    """path, size, mtime_ns, content_hash, stable, error_code of paths(path) on a file system that all executors mount."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    rows.append((path, *stable_snapshot(path, attempts), None))
+                except OSError:
+                    rows.append((path, None, None, None, False, "unreadable"))
+            yield pd.DataFrame(rows, columns=["path", "size", "mtime_ns", "content_hash", "stable", "error_code"]).astype({"size": "Int64", "mtime_ns": "Int64"})
+
+    return paths.select("path").mapInPandas(run, "path string, size long, mtime_ns long, content_hash string, stable boolean, error_code string")
+
+
 # Extraction: bytes to (page number, text, locator kind, locator label)
 
 Page = tuple[int | None, str, str, str]
@@ -201,6 +234,13 @@ def read_text(data: bytes) -> list[Page]:
     return [(None, sniffed(data, MOST_CHARS) or "", "document", "")]
 
 
+def read_pdf(data: bytes) -> list[Page]:
+    """Pages with the text that they hold; a page without one stays empty, and so is low in readability: recognition's part."""
+    from folioscope.sources.pdf import page_texts
+
+    return [(i, t[:MOST_CHARS], "page", f"p. {i}") for i, t in enumerate(page_texts(data), 1)]
+
+
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
     return ElementTree.fromstring(z.read(name))
 
@@ -279,7 +319,7 @@ class Registry:
         self.by_extension: dict[str, tuple[str, str, Callable[[bytes], list[Page]]]] = {}
         for e in TEXT_KINDS:
             self.register(e, "text", "1", read_text)
-        for e, f in ((".docx", read_docx), (".xlsx", read_xlsx), (".xlsm", read_xlsx), (".pptx", read_pptx)):
+        for e, f in ((".docx", read_docx), (".xlsx", read_xlsx), (".xlsm", read_xlsx), (".pptx", read_pptx), (".pdf", read_pdf)):
             self.register(e, e[1:], "1", f)
 
     def register(self, extension: str, key: str, version: str, read: Callable[[bytes], list[Page]]) -> None:

@@ -116,7 +116,7 @@ def test_office_formats():
     assert fs.read_xlsx(xlsx) == [(None, "hello | 7", "sheet", "S A1:B1")]
     pptx = zipped(("ppt/slides/slide1.xml", '<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>Hi</a:t></a:r></a:p></p:sld>'), ("ppt/notesSlides/notesSlide1.xml", '<p:n xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>note</a:t></a:r></a:p></p:n>'))
     assert fs.read_pptx(pptx) == [(1, "Hi\n[Notes]\nnote", "slide", "1")]
-    assert fs.Registry().extract(".docx", b"junk")[3] == "parse_failed" and fs.Registry().extract(".pdf", b"")[3] == "metadata_only"
+    assert fs.Registry().extract(".docx", b"junk")[3] == "parse_failed" and fs.Registry().extract(".png", b"")[3] == "metadata_only"
 
 
 def test_scan_extract_and_passages(spark, tmp_path):
