@@ -362,5 +362,45 @@ def test_awkward_tables(spark, name):
     assert OVER_DOCUMENTS[name](docs.limit(0)).collect() == []
 
 
+def test_awkward_vectors(spark):
+    """Nothing but nulls; columns that clash with those of the search."""
+    kind = "vec_id long, embedding array<float>, id string, h1 string, leaf string, score string, vector string"
+    none = spark.createDataFrame([(None, None, *"abcde"), (20, None, *"abcde")], kind)
+    assert ann.search(none).collect() == []
+    some = spark.createDataFrame([(i, [1.0, float(i)], *"abcde") for i in range(30)] + [(0, [1.0, 0.0], *"abcde")], kind)
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(some).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(0, i, i) for i in range(1, 21)]  # the same product with all: ties go by id
+    large = spark.createDataFrame([(i, [1e6 * x for x in (1.0, float(i % 7), float(i % 11))]) for i in range(60)], "vec_id long, embedding array<double>")
+    rows = [(r["vec_id"], np.array(r["embedding"])) for r in large.collect()]
+    for q in (0, 20, 40):
+        want = sorted(((-float((rows[q][1] * v).sum()), i) for i, v in rows if i != q))[:20]
+        assert [(r["vec_id"], r["score"]) for r in ann.search(large).where(f"query_id = {q}").orderBy("rank").collect()] == [(i, -s) for s, i in want]
+
+
+def test_awkward_conversations(spark):
+    kind = "conv_id long, turn long, role string, text string, ids string, place string, start string"
+    back = lambda rows: chat.read_back(chat.assemble(spark.createDataFrame(rows, kind), CHAT, public_tokenizers.PATTERN), CHAT, public_tokenizers.PATTERN).collect()
+    assert back([]) == []
+    (only,) = back([(None, None, None, None, "a", "b", "c")] * 2)
+    assert (only["conv_id"], only["n_turns"], only["loss_chars"]) == (None, 2, 0) and only["turns_sha256"] == hashlib.sha256(b"\n\n" * 2).hexdigest()
+    long = "word <|end|> \x1b" * 60_000 + "z" * 30_000
+    (one,) = back([(1, i, "assistant" if i % 2 else "user", long, "a", "b", "c") for i in range(4)])
+    assert one["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest() and one["loss_chars"] == 2 * len(long)
+
+
+def test_long_and_repeated_media(spark):
+    texts = ["é" * 900_000 + "z"] * 3 + ["a"] * 40 + [None, ""]
+    got = media.document_media(documents(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["n_bytes"], r["payload_sha256"]) == (len(data), hashlib.sha256(media.payload_of(texts[r["doc_id"]] or "")).hexdigest())
+
+
+def test_texts_are_pictured_once(spark):
+    docs = documents(spark, ["same"] * 50 + [None, "", "other", "same "])
+    assert sorted(r["text"] for r in media.distinct_texts(docs).collect()) == ["", "other", "same", "same "]
+
+
 def test_queries_run(spark):
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}

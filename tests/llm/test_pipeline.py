@@ -45,3 +45,32 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(60), SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, repeats, ties and clashing columns: a stage gives back whole rows of its own, in its own columns."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, node string, _hash string, size string"
+    good = " ".join(f"word{i} of a quiet day" for i in range(60))
+    rows = [(None, None), (None, good), (1, ""), (2, good), (2, good), (2, good), (3, good + " more"), (4, "x" * 5_000), (5, "long text " * 40_000), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", None if (i or 0) % 2 else "s", 0, "a", "b", "c", "d", "e") for i, t in rows], kind)
+    own = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "encoding":
+            assert out.columns == docs.columns
+            assert {(r["doc_id"], r["text"]) for r in out.collect()} <= own
+        else:
+            assert out.count() == len(rows) and "score" in out.columns
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "4", "5"]  # empty ones with 1, which has the least id; good ones with 2
+    again = docs.where("false")
+    assert all(stage(spark, again, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_one_of_each_fingerprint(spark):
+    """Operator 9's own choice of rows: one of each component, the least id's."""
+    from folioscope.llm import simhash
+
+    docs = spark.createDataFrame([(None, "a b c d", "n"), (3, "A b C d", "x"), (3, "A b C d", "y"), (2, "a b c d", "z"), (7, "other words stand here", "w"), (8, None, "v"), (1, "", "u")], "doc_id long, text string, more string")
+    got = simhash.one_of_each(docs).collect()
+    assert sorted((r["doc_id"], r["more"]) for r in got) == [(1, "u"), (2, "z"), (7, "w")]
