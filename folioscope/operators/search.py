@@ -71,8 +71,8 @@ def ranked(rows: DataFrame, order: list[Column], k: int, by: str = "query_id", n
 
 def all_else_any(hits: DataFrame) -> DataFrame:
     """Rows that match all terms of their query; of queries without such rows, those that match any."""
-    most = F.max((F.col("n_matched") == F.col("n_terms")).cast("int")).over(Window.partitionBy("query_id"))
-    return hits.withColumn("full", most).where("full = 0 or n_matched = n_terms").drop("full")
+    full = hits.groupBy("query_id").agg(F.max(F.col("n_matched") == F.col("n_terms")).alias("full"))  # aggregated before any shuffle
+    return hits.join(full, "query_id").where("not full or n_matched = n_terms").drop("full")
 
 
 def metadata_hits(docs: DataFrame, queries: DataFrame, fuzzy: bool = False) -> DataFrame:
