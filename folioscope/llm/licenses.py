@@ -105,14 +105,22 @@ class Index:
                     for s in {s + d for s in own for d in range(-SLACK, SLACK + 1)}:
                         votes[s] = votes.get(s, 0) + 1
                 done = -len(t.words)
-                for s in sorted(s for s, n_ in votes.items() if n_ >= AGREE):
-                    if s - done >= len(t.words) and self._key_near(words, t, s):
-                        c = self._coverage(words, t, s)
-                        if c >= LEAST_COVERAGE:
-                            found.append((max(s, 0), t.label, c))
-                            done = s
+                close: list[int] = []  # starts that the same passage may have given
+                for s in [*sorted(s for s, n_ in votes.items() if n_ >= AGREE), None]:
+                    if close and (s is None or s - close[0] > 2 * SLACK):
+                        best = max(close, key=lambda x: (self._in_place(words, t, x), -x))
+                        close = []
+                        if best - done >= len(t.words) and self._key_near(words, t, best) and (c := self._coverage(words, t, best)) >= LEAST_COVERAGE:
+                            found.append((max(best, 0), t.label, c))
+                            done = best
+                    if s is not None:
+                        close.append(s)
         return sorted(base), sorted(found)
 
+    @staticmethod
+    def _in_place(words: list[bytes], t: Template, start: int) -> int:
+        return sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
+
     @staticmethod
     def _key_near(words: list[bytes], t: Template, start: int) -> bool:
         part = words[max(0, start - SLACK) : start + len(t.words) + SLACK]

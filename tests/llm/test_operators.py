@@ -229,6 +229,39 @@ def test_licences(spark):
     assert got[1]["labels"] == "apache-2.0" and got[4]["labels"] == "mit" and got[5]["labels"] == ""
 
 
+@pytest.mark.parametrize(("label", "passage", "key"), licenses.PASSAGES)
+def test_every_licence_passage(label, passage, key):
+    """Found as it is, in capitals, between punctuation and with a word changed; not by its key phrase or its words alone."""
+    common = {w: 900 for w in (b"the", b"of", b"to", b"and", b"any", b"this", b"is", b"a", b"in")}
+    index, filler = licenses.Index(common, 1000), "plain words saying nothing about those things "
+    found = lambda text: {x[1]: x for x in index.scan(licenses.words_of(text))[1]}
+    words, at = passage.split(), len(licenses.words_of(filler))
+    for text in (passage, passage.upper(), ", ".join(words) + ";"):
+        assert found(filler + text + " and more " + filler)[label] == (at, label, 1.0)
+    held = key.split()
+    free = [i for i in range(len(words)) if not any(words[j : j + len(held)] == held and j <= i < j + len(held) for j in range(len(words)))]
+    if free:
+        changed = " ".join("altered" if i == free[0] else w for i, w in enumerate(words))
+        got = found(filler + changed)
+        assert (label in got) == ((len(words) - 1) / len(words) >= licenses.LEAST_COVERAGE and len(words) > 2)
+    if len(held) / len(words) < licenses.LEAST_COVERAGE:
+        assert label not in found(filler + key + " " + filler)
+    if len(set(words)) > 3:
+        assert label not in found(" far apart from one another indeed ".join(words))
+    assert found(filler) == {} and index.scan([]) == ([], [])
+
+
+def test_a_picture_s_feature():
+    r = random.Random(8)
+    for size in (1, 3, 40):
+        payload = bytes(r.randrange(256) for _ in range(576 * size))
+        n, mean = len(payload), sum(payload) / (576 * size)
+        cuts = [i * n // 64 for i in range(65)]
+        bits = "".join(str(int(sum(payload[a:b]) / (b - a) > mean)) for a, b in zip(cuts, cuts[1:]))
+        spread = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        assert media.feature(payload) == f"{mean:.4f}:{spread:.4f}:{int(bits, 2):016x}" and media.from_png(media.to_png(payload)) == payload
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "é" * 287, "x" * 576, "y" * 577, "<p>&amp; \xa0 z", "x" * 576]
     got = {r["doc_id"]: r for r in media.document_media(documents(spark, texts)).collect()}
