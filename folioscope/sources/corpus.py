@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. A local one only where none is set and Spark itself is local."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors see")
