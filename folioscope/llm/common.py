@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import functools
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.corpus import durable, shared_dir
+
 #: Characters of text that a Python worker holds at once, beside one document.
 SLICE_CHARS = 2_000_000
 
@@ -25,25 +25,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a local one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
-        where = found.get() if found.isDefined() else os.path.join(tempfile.gettempdir(), "folioscope-shared")
-    return where
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of its own in the shared folder, reread: column pruning works on it, as it doesn't on checkpoint()."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
