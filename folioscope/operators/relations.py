@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -320,25 +322,33 @@ def step_reduction(steps: DataFrame) -> DataFrame:
     return steps.agg(F.sum("search_steps").alias("search_steps"), F.sum("baseline_steps").alias("baseline_steps"), F.round(1 - F.sum("search_steps") / F.sum("baseline_steps"), 6).alias("reduction"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at place round((n - 1) p), ties to even, of the collected values."""
-    s = F.array_sort(values)
-    return F.element_at(s, (F.bround((F.size(s) - 1) * F.lit(p)) + 1).cast("int"))
+def nearest_rank(n: Column, p: float) -> Column:
+    """The place, from 1, of n sorted values that is nearest to p: round((n - 1) p) + 1, ties to even."""
+    return F.bround((n - 1) * F.lit(p)) + 1
+
 
+def ceiling_rank(n: Column, p: float) -> Column:
+    """The place ceil(p n), 1 at least."""
+    return F.greatest(F.lit(1), F.ceil(n * F.lit(p)))
 
-def ceiling_rank(values: Column, p: float) -> Column:
-    """The value at place ceil(p n) - 1 of the collected values."""
-    s = F.array_sort(values)
-    return F.element_at(s, F.greatest(F.lit(1), F.ceil(F.size(s) * F.lit(p)).cast("int")))
+
+def values_at(rows: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, names of places): of each group the values at places among its sorted non-null values, as functions of their number.
+    Equal values are counted before any shuffle; running counts find the places, so no group is held in memory."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = counted.groupBy(by).agg(F.sum("_c").alias("_n"))
+    met = counted.withColumn("_upto", upto).join(total, by)
+    return met.groupBy(by).agg(*(F.min(F.when(F.col("_upto") >= place(F.col("_n")), F.col(value))).alias(name) for name, place in places.items()))
 
 
 def study_summary(rows: DataFrame) -> DataFrame:
     """rows(condition, duration_ms, success): attempts, successes, rate, median and 95th of the durations of successes."""
-    ms = F.collect_list(F.when(F.col("success"), F.col("duration_ms")))
-    return rows.groupBy("condition").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"), F.round(F.avg(F.col("success").cast("double")), 6).alias("rate"),
-        F.round(F.median(F.when(F.col("success"), F.col("duration_ms"))), 6).alias("p50"), F.round(nearest_rank(ms, 0.95), 6).alias("p95"),
-    )
+    counts = rows.groupBy("condition").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"), F.round(F.avg(F.col("success").cast("double")), 6).alias("rate"))
+    places = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1, "p95": lambda n: nearest_rank(n, 0.95)}
+    at = values_at(rows.where("success"), "condition", "duration_ms", places)
+    p50 = F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50")
+    return counts.join(at, "condition", "left").select("condition", "attempts", "successes", "rate", p50, F.round("p95", 6).alias("p95"))
 
 
 #: Tasks of a study at most: each participant's row holds them all for a moment.

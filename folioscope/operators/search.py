@@ -32,17 +32,17 @@ def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
     return queries.select("query_id", terms.alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
-def postings(rows: DataFrame, key: str, fields: dict[str, float], tokens=tx.fts_tokens) -> DataFrame:
-    """(key, dl, postings): of each row its number of tokens and its terms, each with the field's weight, as often as it stands."""
+def tokenized(rows: DataFrame, key: str, fields: dict[str, float], tokens=tx.fts_tokens) -> DataFrame:
+    """(key, fields, dl): each row's tokens by field, and their number."""
     split = rows.select(key, *(tokens(F.col(f)).alias(f) for f in fields))
-    with_weight = lambda f, w: F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    each = F.flatten(F.array(*(with_weight(f, w) for f, w in fields.items())))
-    return split.select(key, sum((F.size(f) for f in fields), F.lit(0)).alias("dl"), each.alias("postings"))
+    return split.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
 
 
-def frequencies(held: DataFrame, key: str, terms: DataFrame | None = None, small=lambda d: d) -> DataFrame:
-    """(key, dl, term, f) of postings(), of the given terms only: how often a term stands, weighted by field."""
-    said = held.select(key, "dl", F.explode("postings").alias("x")).select(key, "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+def frequencies(split: DataFrame, key: str, fields: dict[str, float], terms: DataFrame | None = None, small=lambda d: d) -> DataFrame:
+    """(key, dl, term, f) of tokenized(), of the given terms only: how often a term stands, weighted by field."""
+    with_weight = lambda f, w: F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+    each = F.flatten(F.array(*(with_weight(f, w) for f, w in fields.items())))
+    said = split.select(key, "dl", F.explode(each).alias("x")).select(key, "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
     said = said if terms is None else said.join(small(terms.select("term").distinct()), "term", "left_semi")
     return said.groupBy(key, "dl", "term").agg(F.sum("w").alias("f"))
 
@@ -59,10 +59,10 @@ def bm25_of(tf: DataFrame, key: str, stats: DataFrame, terms: DataFrame, small=l
 def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, tokens=tx.fts_tokens) -> DataFrame:
     """(query_id, key, n_terms, n_matched, bm25) of all rows that hold a term of a query in any field. A term's frequency is
     weighted by field, a row's length isn't; statistics are those of all rows."""
-    held = postings(rows, key, fields, tokens)
-    stats = held.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
+    split = tokenized(rows, key, fields, tokens)
+    stats = split.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
     terms, small = query_terms(queries), F.broadcast if few(queries) else lambda d: d  # a query has a few terms
-    return bm25_of(frequencies(held, key, terms, small), key, stats, terms, small)
+    return bm25_of(frequencies(split, key, fields, terms, small), key, stats, terms, small)
 
 
 def ranked(rows: DataFrame, order: list[Column], k: int, by: str = "query_id", name: str = "rank") -> DataFrame:

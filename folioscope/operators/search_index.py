@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators.search import bm25_of, few, frequencies, postings, query_terms
+from folioscope.operators.search import bm25_of, few, frequencies, query_terms, tokenized
 from folioscope.sources.sinks import VersionedTables
 
 #: Folders that postings are dealt to by term; few enough that a generation's files aren't tiny.
@@ -33,11 +33,11 @@ class SearchIndex:
 
     def refresh(self, changed: DataFrame, removed: DataFrame | None = None) -> int:
         """Adds or replaces the rows of changed(key, fields) and drops those of removed(key); gives the generation."""
-        made = postings(changed, self.key, self.fields, self.tokens)
+        made = tokenized(changed, self.key, self.fields, self.tokens)
         lengths = made.select(self.key, F.col("dl").cast("int").alias("dl"), F.lit(True).alias("live"))
         if removed is not None:
             lengths = lengths.union(removed.select(self.key, F.lit(0), F.lit(False)))
-        return self._commit(lengths, frequencies(made, self.key).drop("dl"))
+        return self._commit(lengths, frequencies(made, self.key, self.fields).drop("dl"))
 
     def _live(self) -> DataFrame:
         """(key, dl, version) of the rows that are there, each of its latest generation."""

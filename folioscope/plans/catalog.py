@@ -560,8 +560,9 @@ def study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with o as (select user_id % 10 as g, value, row_number() over (partition by user_id % 10 order by value) as rn, count(*) over (partition by user_id % 10) as n from events)
 select g, round(min(value) filter (rn = round_even((n - 1) * 0.95::double, 0) + 1), 6) as nearest, round(min(value) filter (rn = greatest(1, ceil(n * 0.95::double))), 6) as ceiling from o group by g""")
 def nearest_rank_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.collect_list("value")
-    return corpus.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("g")).agg(F.round(rel.nearest_rank(v, 0.95), 6).alias("nearest"), F.round(rel.ceiling_rank(v, 0.95), 6).alias("ceiling"))
+    rows = corpus.table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("g"), "value")
+    at = rel.values_at(rows, "g", "value", {"nearest": lambda n: rel.nearest_rank(n, 0.95), "ceiling": lambda n: rel.ceiling_rank(n, 0.95)})
+    return at.select("g", F.round("nearest", 6).alias("nearest"), F.round("ceiling", 6).alias("ceiling"))
 
 
 @query("""with m as (select c_custkey as participant_id, item_id as task_id, sha256(c_custkey || ':' || item_id) as h from customer, benchmark),

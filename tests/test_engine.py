@@ -70,9 +70,19 @@ def test_failed_keep_last_good(spark):
 
 
 def test_percentiles(spark):
-    d = spark.createDataFrame([(v,) for v in range(1, 12)], "v int")
-    got = d.agg(rel.nearest_rank(F.collect_list("v"), 0.95).alias("a"), rel.ceiling_rank(F.collect_list("v"), 0.5).alias("b")).first()
-    assert tuple(got) == (sorted(range(1, 12))[round(10 * 0.95)], 6)
+    import statistics
+
+    groups = {"a": list(range(1, 12)), "b": [5], "c": [2, 2, 2, 9], "d": [1.5, 7.25, 3.0, None, 3.0, 8.0], "e": [None]}
+    d = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r["g"]: r for r in rel.values_at(d, "g", "v", {"near": lambda n: rel.nearest_rank(n, 0.95), "up": lambda n: rel.ceiling_rank(n, 0.5)}).collect()}
+    assert set(got) == set("abcd")
+    for g, r in got.items():
+        s = sorted(v for v in groups[g] if v is not None)
+        assert (r["near"], r["up"]) == (s[round((len(s) - 1) * 0.95)], s[max(1, -(-len(s) // 2)) - 1])
+    rows = d.select(F.col("g").alias("condition"), F.col("v").alias("duration_ms"), F.col("v").isNotNull().alias("success"))
+    for r in rel.study_summary(rows).collect():
+        s = [v for v in groups[r["condition"]] if v is not None]
+        assert (r["attempts"], r["successes"], r["p50"]) == (len(groups[r["condition"]]), len(s), statistics.median(s) if s else None)
 
 
 def test_office_locks(spark):
