@@ -449,8 +449,11 @@ def removed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select event_id, event_type, user_id from events where ts > timestamp '2024-01-20 00:00:00' and event_id % 5 <> 0 order by ts desc, event_id desc limit 1000""")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = corpus.table(spark, sf_dir, "events").where((F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")) & (F.col("event_id") % 5 != 0))
-    return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id", "event_type", "user_id")
+    """The events after a time without those acknowledged (every fifth)."""
+    from folioscope.streaming.changes import events_since
+
+    e = corpus.table(spark, sf_dir, "events")
+    return events_since(e, "2024-01-20 00:00:00", e.where("event_id % 5 = 0")).select("event_id", "event_type", "user_id")
 
 
 @query(f"""with {DOCS}, {SNAPSHOTS}, {DIFF}, {ITEMS}, m as (select distinct kind, c.path, task_id from changes c join items i on c.document_id = i.document_id or lower(i.path) = lower(c.path) or lower(i.path) = lower(c.previous_path))

@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.functions.udfs import recovered_name, sniffed
+from folioscope.functions.udfs import MOST_CHARS, recovered_name, sniffed
 
 # Folders that a scan leaves out, and limits of extraction.
 SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build", "target")
-MOST_TEXT, MOST_CHARS, MOST_CELLS, MOST_PARAGRAPHS, MOST_SLIDES = 100 << 20, 2_000_000, 100_000, 50_000, 5_000
+MOST_TEXT, MOST_CELLS, MOST_PARAGRAPHS, MOST_SLIDES = 100 << 20, 100_000, 50_000, 5_000
 TEXT_KINDS = (".txt", ".md", ".csv", ".json", ".py", ".html", ".xml", ".log", ".yaml", ".tex", ".rst")
 
 PAGE = "struct<number:int,text:string,kind:string,label:string>"

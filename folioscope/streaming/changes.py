@@ -20,8 +20,8 @@ def snapshot_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame
     return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def change_feed(stream: DataFrame, root: str, checkpoint: str):
-    """Runs what's available: each batch's newest snapshot is compared with the state table, whose new version holds the
+def change_feed(stream: DataFrame, root: str, checkpoint: str, every: str | None = None):
+    """Runs what's available, or, given an interval such as "15 minutes", goes on reconciling at it: each batch's newest snapshot is compared with the state table, whose new version holds the
     snapshot and this batch's events (history() has all). A batch that comes again after a failure finds its generation there and adds nothing."""
 
     def step(batch: DataFrame, _: int) -> None:
@@ -42,7 +42,22 @@ def change_feed(stream: DataFrame, root: str, checkpoint: str):
             state = new.join(ids, "path", "left").join(moved, "path", "left").withColumn("document_id", F.coalesce("old_id", "moved_id", "document_id")).drop("old_id", "moved_id").withColumn("generation", F.lit(generation))
             tables.commit({"state": state, "events": found})
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+def parser_warnings(extracted: DataFrame, before: DataFrame) -> DataFrame:
+    """Events (kind, path, error_code) of files that couldn't be read, or no longer, or for another reason than before; both are
+    extracted(path, error_code)."""
+    was = before.select("path", F.col("error_code").alias("_was"))
+    new = extracted.where("error_code is not null").join(was, "path", "left").where("not error_code <=> _was")
+    return new.select(F.lit("parser_warning").alias("kind"), "path", "error_code")
+
+
+def events_since(events: DataFrame, since, acknowledged: DataFrame, limit: int = 1_000, time: str = "ts", key: str = "event_id") -> DataFrame:
+    """The latest events after a time (all, if it's null) that aren't among the acknowledged ones, newest first."""
+    later = events if since is None else events.where(F.col(time) > F.lit(since).cast(events.schema[time].dataType))
+    return later.join(acknowledged.select(key), key, "left_anti").orderBy(F.desc(time), F.desc(key)).limit(limit)
 
 
 def debounced(events: DataFrame, seconds: int = 5) -> DataFrame:

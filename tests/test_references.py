@@ -58,6 +58,19 @@ def test_cycles(spark):
     assert rel.cyclic(spark.createDataFrame([], "node long, needed long")).count() == 0
 
 
+def test_warnings_and_feeds(spark):
+    from folioscope.streaming.changes import events_since, parser_warnings
+
+    kind = "path string, error_code string"
+    before = spark.createDataFrame([("a", None), ("b", "parse_failed"), ("c", "encrypted")], kind)
+    now = spark.createDataFrame([("a", "parse_failed"), ("b", "parse_failed"), ("c", None), ("d", "encrypted"), ("e", None)], kind)
+    assert {tuple(r) for r in parser_warnings(now, before).collect()} == {("parser_warning", "a", "parse_failed"), ("parser_warning", "d", "encrypted")}
+    events = spark.range(10).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    done = events.where("event_id in (7, 9)")
+    assert [r["event_id"] for r in events_since(events, "1970-01-01 00:04:00", done, limit=3).collect()] == [8, 6, 5]
+    assert events_since(events, None, done).count() == 8
+
+
 def pdf_file(contents, fonts=b"", more=b""):
     """A file of a page for each content stream, packed."""
     out, n = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n", len(contents)

@@ -80,6 +80,12 @@ def test_readability_of_mixed_scripts(text, score):
     assert udfs.readability(text) == pytest.approx(score, abs=0.0001)
 
 
+def test_decoded_says_what_is_missing(spark):
+    rows = [(1, b"abc"), (2, b"x" * (udfs.MOST_CHARS + 5)), (3, "é".encode("utf-16")), (4, None)]
+    d = spark.createDataFrame(rows, "id int, data binary").select("id", udfs.decoded("data").alias("x")).select("id", F.length("x.text").alias("n"), "x.truncated")
+    assert {tuple(r) for r in d.collect()} == {(1, 3, False), (2, udfs.MOST_CHARS, True), (3, 1, False), (4, 0, False)}
+
+
 def test_sniffing_and_names():
     assert udfs.sniffed("é".encode("utf-16")) == "é" and udfs.sniffed(b"\xef\xbb\xbfa") == "a"
     assert udfs.sniffed("中文".encode("gb18030")) == "中文" and udfs.sniffed(None) == ""
