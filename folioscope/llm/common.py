@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -189,3 +190,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     order = Window.orderBy(F.xxhash64("doc_id"), "at")  # of the chosen ids alone, without their texts
     sizes = met.groupBy("doc_id", "at").agg(F.sum("size").alias("size")).withColumn("total", F.sum("size").over(order))
     return met.join(F.broadcast(sizes.where(F.col("total") <= most_size).select("doc_id", "at")), ["doc_id", "at"]).select("text", "label")
+
+
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
+_gap = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, most: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces that end before a space, of about so many bytes or of one word."""
+    start = 0
+    while len(data) - start > most and (cut := _gap.search(data, start + most)):
+        yield data[start : cut.start()]
+        start = cut.start()
+    yield data[start:] if start else data
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The rows in batches of bounded text size, with the texts' bytes (null: empty)."""
+    for batch in doc_batches(batches, most, column):
+        yield batch, [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
