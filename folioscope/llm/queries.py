@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm import oracles
 from folioscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_resampling": oracles.resampling_sql(), "op12_repeats": oracles.repeats_sql(), "op13_clusters": oracles.clusters_sql()}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,3 +102,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text").unionByName(extra)
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     return read_back(assemble(rows, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.resampling import resample
+
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.repeats import without_repeats
+
+    return without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.clusters import cluster
+
+    return cluster(read(spark, sf_dir, "embeddings"))
