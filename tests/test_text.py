@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,4 +93,21 @@ def test_sniffing_and_names():
     assert udfs.sniffed("中文".encode("gb18030")) == "中文" and udfs.sniffed(None) == ""
     assert udfs.recovered_name("中文.txt".encode("cp936").decode("cp437")) == "中文.txt" and udfs.recovered_name("plain.txt") == "plain.txt"
     assert udfs.normalize_unicode("Ｆｕｌｌ Straße!") == "full strasse"
-    assert udfs.ratio("report", "reports") > 0.9
+
+
+def test_chunks_by_rule():
+    """Each passage against the rule itself, looked up mark by mark."""
+    r = random.Random(7)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "bc", ". ", "; ", "\n", "\n\n", "。", "；", " ", ".", "word "]) for _ in range(r.randrange(300)))
+        target, overlap = r.choice([(20, 5), (37, 11), (100, 18)])
+        whole, at, want = text.strip(), 0, []
+        while at + target < len(whole):
+            cuts = [p for p in range(at + target // 2, at + target) if any(whole.startswith(m, p) and p + len(m) <= at + target for m in udfs.MARKS)]
+            stop = cuts[-1] + 1 if cuts else at + target
+            want.append(whole[at:stop].strip())
+            at = max(at + 1, stop - overlap)
+        want.append(whole[at:].strip())
+        assert udfs.chunks(text, target, overlap) == [w for w in want if w]
+    assert udfs.chunks("  ") == [] and udfs.chunks("one\ntwo") == ["one\ntwo"]
+    assert [len(c) for c in udfs.chunks("x" * 4000)] == [1600, 1600, 1160]
