@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.operators.numbering import accumulated
 
 # Pages and passages
 
@@ -212,8 +213,8 @@ def confirmed(proposals: DataFrame, items: DataFrame, task_id: str) -> DataFrame
     in order after those it has."""
     last = items.where(F.col("task_id") == task_id).agg(F.coalesce(F.max("position"), F.lit(0)).alias("last"))
     new = proposals.join(items.where(F.col("task_id") == task_id).select("item_id"), F.col("candidate_id") == F.col("item_id"), "left_anti")
-    place = F.row_number().over(Window.orderBy("slot_id", "candidate_id"))
-    return new.crossJoin(F.broadcast(last)).select(F.lit(task_id).alias("task_id"), F.col("candidate_id").alias("item_id"), "slot_id", "document_id", "excerpt", F.lit("pending").alias("review_state"), (place + F.col("last")).alias("position"))
+    placed = accumulated(new, ["slot_id", "candidate_id"], "place")
+    return placed.crossJoin(F.broadcast(last)).select(F.lit(task_id).alias("task_id"), F.col("candidate_id").alias("item_id"), "slot_id", "document_id", "excerpt", F.lit("pending").alias("review_state"), (F.col("place") + F.col("last")).alias("position"))
 
 
 # Extraction budgets

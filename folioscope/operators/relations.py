@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.functions import text as tx
+from folioscope.operators import digests as dg
+from folioscope.operators.numbering import accumulated
 from folioscope.operators.search import asked
 
 # Filters and lookups
@@ -207,27 +208,35 @@ def folder_rollup(docs: DataFrame) -> DataFrame:
     )
 
 
+def availability_line() -> Column:
+    return F.concat_ws("|", "path", "content_hash", F.when(F.col("status") == "current", "available").otherwise("other"))
+
+
 def folder_digest(docs: DataFrame) -> DataFrame:
-    """Digest of a folder's direct files: over (path, content, availability), by path."""
-    line = F.concat_ws("|", "path", "content_hash", F.when(F.col("status") == "current", "available").otherwise("other"))
-    return docs.groupBy(F.col("parent").alias("folder")).agg(F.sha2(F.expr("listagg(line, '\n') within group (order by path)"), 256).alias("digest")) if "line" in docs.columns else folder_digest(docs.withColumn("line", line))
+    """Digest of a folder's direct files: over (path, content, availability)."""
+    return dg.digests(dg.sums(docs.select(F.col("parent").alias("folder"), availability_line().alias("line")), "folder")).select("folder", "digest")
+
+
+def fingerprint_lines(docs: DataFrame) -> DataFrame:
+    """(folder, line) of every file and each folder above it: id, content and path."""
+    return docs.select(F.explode(tx.ancestors(F.col("path"))).alias("folder"), F.concat_ws("|", "document_id", "content_hash", "path").alias("line"))
 
 
 def folder_fingerprint(docs: DataFrame) -> DataFrame:
     """Digest over id, content and path of all files below a folder, at any depth."""
-    rows = docs.select(F.explode(tx.ancestors(F.col("path"))).alias("folder"), "path", F.concat_ws("|", "document_id", "content_hash", "path").alias("line"))
-    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sha2(F.expr("listagg(line, '\n') within group (order by path)"), 256).alias("fingerprint"))
+    return dg.digests(dg.sums(fingerprint_lines(docs), "folder")).select("folder", F.col("n").alias("files"), F.col("digest").alias("fingerprint"))
 
 
 def tree_digest(docs: DataFrame) -> DataFrame:
-    """Merkle digests, bottom-up: a folder's is over its children's paths and digests, by path; one round a level."""
+    """Merkle digests, bottom-up: a folder's is over its children's paths and digests; one round a level."""
     leaves = docs.select("path", F.col("content_hash").alias("digest"))
     nodes = leaves.withColumn("depth", tx.depth(F.col("path")))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     out = None
     for level in range(deepest, 0, -1):
         here = nodes.where(F.col("depth") == level)
-        made = here.select(tx.parent(F.col("path")).alias("folder"), "path", F.concat_ws("|", "path", "digest").alias("line")).groupBy("folder").agg(F.sha2(F.expr("listagg(line, '\n') within group (order by path)"), 256).alias("digest"))
+        lines = here.select(tx.parent(F.col("path")).alias("folder"), F.concat_ws("|", "path", "digest").alias("line"))
+        made = dg.digests(dg.sums(lines, "folder")).select("folder", "digest")
         nodes = nodes.where(F.col("depth") < level).unionByName(made.select(F.col("folder").alias("path"), "digest", F.lit(level - 1).alias("depth")))
         out = made if out is None else out.unionByName(made)
     return out
@@ -351,22 +360,14 @@ def study_summary(rows: DataFrame) -> DataFrame:
     return counts.join(at, "condition", "left").select("condition", "attempts", "successes", "rate", p50, F.round("p95", 6).alias("p95"))
 
 
-#: Tasks of a study at most: each participant's row holds them all for a moment.
-STUDY_TASKS = 10_000
-
-
 def study_assignment(participants: DataFrame, tasks: DataFrame) -> DataFrame:
-    """All tasks of each participant in a hashed order, conditions alternating from a hashed start. The list of tasks, of a
-    checked size, goes to the participants, each of whom is ordered in their own row."""
-    listed = [r[0] for r in tasks.select("task_id").limit(STUDY_TASKS + 1).collect()]
-    if len(listed) > STUDY_TASKS:
-        raise ValueError(f"a study has {STUDY_TASKS} tasks at most")
-    all_ = F.broadcast(participants.sparkSession.createDataFrame([(listed,)], T.StructType([T.StructField("tasks", T.ArrayType(tasks.schema["task_id"].dataType))])))
-    key = lambda t: F.struct(F.sha2(F.concat_ws(":", F.col("participant_id").cast("string"), t.cast("string")), 256).alias("h"), t.alias("task_id"))
-    met = participants.crossJoin(all_).select("participant_id", F.posexplode(F.array_sort(F.transform("tasks", key))).alias("at", "x"))
-    place = F.col("at") + 1
+    """All tasks of each participant in a hashed order, conditions alternating from a hashed start. Every participant has every
+    task, so there are as many rows; each participant's are sorted by themselves."""
+    met = participants.select("participant_id").crossJoin(tasks.select("task_id"))
+    order = F.sha2(F.concat_ws(":", F.col("participant_id").cast("string"), F.col("task_id").cast("string")), 256)
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("participant_id").orderBy(order, "task_id")))
     start = F.conv(F.substring(F.sha2(F.col("participant_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
-    return met.select("participant_id", "x.task_id", place.alias("place"), F.when(F.pmod(place + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))
+    return placed.select("participant_id", "task_id", "place", F.when(F.pmod(F.col("place") + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))
 
 
 def perf_gate(baseline: DataFrame, candidate: DataFrame, limits: DataFrame, most: float = 0.10) -> DataFrame:
@@ -422,7 +423,7 @@ def bibliography(cites: DataFrame, style: str = "apa") -> DataFrame:
     """(number, entry) of distinct citations in order."""
     once = distinct_citations(cites)
     entry = {"apa": apa, "gb": gb_t_7714}[style](once)
-    return once.select(F.row_number().over(Window.orderBy("position")).alias("number"), entry.alias("entry"))
+    return accumulated(once.select("position", entry.alias("entry")), ["position"], "number").select(F.col("number").cast("int").alias("number"), "entry")
 
 
 def bibtex(cites: DataFrame) -> DataFrame:
