@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -18,56 +20,121 @@ from folioscope.functions import text as tx
 
 
 class OutdatedWriter(RuntimeError):
-    """Another writer has published a version since this one began."""
+    """Another writer has published a version since this one read its own, or is about to."""
 
 
-class VersionedTables:
-    """Tables below a root: data go to a folder of the writer's own, and one small pointer file makes them current. It's named
-    by the version and created only if there is none of that name, so that of two writers one fails and neither loses data. A
-    writer that dies before that leaves the former version as it was; a pointer that it left half written is passed over."""
+#: Seconds after which a pointer without contents, or a folder without a pointer, is taken for a dead writer's.
+GRACE = 3_600.0
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _files(self):
-        """(file system, pointer folder, the pointers' versions)."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        return fs, path, [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+class VersionedTables:
+    """Tables below a root: data go to a folder of the writer's own, and one small pointer file makes them current.
+
+    A pointer is named by its version and created only if there is none of that name, so that of two writers one fails (the file
+    system must refuse to create a file that's there, as HDFS and local ones do). A commit that names the version it was computed
+    from is refused if that isn't the latest one any more. A writer that dies before its pointer is whole leaves the former
+    version as it was: recover() closes such pointers and removes the folders that no pointer names; a commit does the former."""
+
+    def __init__(self, spark: SparkSession, root: str, grace: float = GRACE):
+        self.spark, self.root, self.grace = spark, root.rstrip("/"), grace
+
+    def _fs(self):
+        path = self._path("_meta")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _files(self) -> dict[int, float]:
+        """The age in seconds of each version's pointer, whole or not."""
+        fs, meta = self._fs()
+        listed = fs.listStatus(meta) if fs.exists(meta) else []
+        now = time.time()
+        return {int(f.getPath().getName().removesuffix(".json")): now - f.getModificationTime() / 1e3 for f in listed if f.getPath().getName().endswith(".json")}
+
+    def _whole(self) -> dict[int, dict]:
+        """The pointers that can be read, closed ones too."""
+        if not self._files():
+            return {}
+        kind = "version long, base long, closed boolean, schema_version string, algorithm string, folder string, tables string, schemas string"
+        rows = self.spark.read.schema(kind).json(f"{self.root}/_meta").where("tables is not null or closed").orderBy("version").collect()
+        return {r["version"]: r.asDict() for r in rows}
 
     def _pointers(self) -> list[dict]:
-        fs, _, numbers = self._files()
-        if not numbers:
-            return []
-        rows = self.spark.read.schema("version long, schema_version string, algorithm string, folder string, tables string, schemas string").json(f"{self.root}/_meta")
-        return [r.asDict() for r in rows.where("tables is not null").orderBy("version").collect()]
+        return [p for p in self._whole().values() if not p["closed"]]
 
     def current(self) -> dict | None:
         return (self._pointers() or [None])[-1]
 
-    def commit(self, tables: dict[str, DataFrame], schema_version: str = "1", algorithm: str = "1", partitioned: dict[str, list[str]] | None = None) -> int:
-        fs, meta, numbers = self._files()
-        version = max(numbers, default=0) + 1
-        folder = f"v{version}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(f"{self.root}/{folder}/{name}")
-        pointer = json.dumps({"version": version, "schema_version": schema_version, "algorithm": algorithm, "folder": folder, "tables": ",".join(sorted(tables)), "schemas": json.dumps({n: d.schema.jsonValue() for n, d in tables.items()})})
-        jvm = self.spark._jvm
+    def version(self) -> int:
+        """The latest version, 0 before the first one: what a commit that is computed from it names as its base."""
+        return (self.current() or {"version": 0})["version"]
+
+    def _publish(self, version: int, pointer: dict) -> None:
+        fs, meta = self._fs()
+        path, text = self.spark._jvm.org.apache.hadoop.fs.Path(meta, f"{version}.json"), json.dumps({"version": version} | pointer)
         try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(meta, f"{version}.json"), False)
+            out = fs.create(path, False)
+            out.write(bytearray(text.encode()))
+            out.close()
         except Exception as e:
-            raise OutdatedWriter(f"version {version} is there already") from e
-        out.write(bytearray(pointer.encode()))
-        out.close()
+            raise OutdatedWriter(f"version {version} is another writer's") from e
+        if self._whole().get(version, {}).get("folder") != pointer.get("folder"):
+            raise OutdatedWriter(f"version {version} was closed before it was whole")
+
+    def _close_torn(self) -> list[int]:
+        """Closes pointers that were left without contents; young ones may be a writer's that is at it just now."""
+        fs, meta = self._fs()
+        files, whole = self._files(), self._whole()
+        torn = sorted(set(files) - set(whole))
+        if any(files[v] < self.grace for v in torn):
+            raise OutdatedWriter("another writer is publishing")
+        for v in torn:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(meta, f"{v}.json"), False)
+            self._publish(v, {"closed": True})
+        return torn
+
+    def recover(self) -> dict[str, list]:
+        """Closes torn pointers and removes the folders of writers that died: those that no pointer names, without a new file in
+        the grace time."""
+        closed = self._close_torn()
+        fs, _ = self._fs()
+        named, removed = {p["folder"] for p in self._pointers()}, []
+        for f in fs.listStatus(self._path("")) if fs.exists(self._path("")) else []:
+            name = f.getPath().getName()
+            if re.fullmatch(r"v\d+-[0-9a-f]{32}", name) and name not in named:
+                files, last = fs.listFiles(f.getPath(), True), f.getModificationTime()
+                while files.hasNext():
+                    last = max(last, files.next().getModificationTime())
+                if time.time() - last / 1e3 >= self.grace:
+                    fs.delete(f.getPath(), True)
+                    removed.append(name)
+        return {"closed": closed, "removed": sorted(removed)}
+
+    def commit(self, tables: dict[str, DataFrame], schema_version: str = "1", algorithm: str = "1", partitioned: dict[str, list[str]] | None = None, base: int | None = None) -> int:
+        """Publishes tables as a new version. base: the version that they were computed from; with None they stand for themselves,
+        as what an append-only table adds does."""
+
+        def check() -> int:
+            if base is not None and self.version() != base:
+                raise OutdatedWriter(f"computed from version {base}, the latest is {self.version()}")
+            self._close_torn()
+            return max(self._files(), default=0) + 1
+
+        folder = f"v{check()}-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(f"{self.root}/{folder}/{name}")
+        version = check()  # writing takes its time
+        about = {"schema_version": schema_version, "algorithm": algorithm, "folder": folder, "tables": ",".join(sorted(tables))}
+        self._publish(version, about | {"base": base, "schemas": json.dumps({n: d.schema.jsonValue() for n, d in tables.items()})})
         return version
 
     def _table(self, pointer: dict, name: str) -> DataFrame:
         schema = StructType.fromJson(json.loads(pointer["schemas"])[name])  # a table without rows may have no file
         return self.spark.read.schema(schema).parquet(f"{self.root}/{pointer['folder']}/{name}").select(*schema.names)
 
-    def read(self, name: str) -> DataFrame:
-        return self._table(self.current(), name)
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._table(self.current() if version is None else self._whole()[version], name)
 
     def history(self, name: str, with_version: bool = False) -> DataFrame:
         """An append-only table: what each committed version added."""
@@ -167,8 +234,7 @@ def diagnostics(nodes: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
 
 def evictable(cache: DataFrame, most_bytes: int, now: str, ttl_hours: int) -> DataFrame:
     """Cache entries(path, size, used_at) to delete: too old, or beyond the bytes that the most recently used ones take."""
-    from pyspark.sql import Window
+    from folioscope.operators.numbering import accumulated
 
-    total = F.sum("size").over(Window.orderBy(F.desc("used_at"), "path").rowsBetween(Window.unboundedPreceding, 0))
     old = F.col("used_at") < F.lit(now).cast("timestamp") - F.expr(f"interval {ttl_hours} hours")
-    return cache.withColumn("total", total).where(old | (F.col("total") > most_bytes)).select("path")
+    return accumulated(cache, [F.desc("used_at"), "path"], "_total", value=F.col("size")).where(old | (F.col("_total") > most_bytes)).select("path")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,37 +11,96 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.operators import relations as rel
+from folioscope.sources.corpus import durable
 from folioscope.sources.sinks import VersionedTables
 
 SNAPSHOT = "generation long, document_id long, path string, source_kind string, size long, mtime long, content_hash string"
 
 
+ANNOUNCED = "generation long, folder string"
+
+
 def snapshot_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Snapshots that arrive as Parquet files, so many at a time."""
+    """Snapshots that arrive as Parquet files, a whole one in each, so many at a time."""
     return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def change_feed(stream: DataFrame, root: str, checkpoint: str, every: str | None = None):
-    """Runs what's available, or, given an interval such as "15 minutes", goes on reconciling at it: each batch's newest snapshot is compared with the state table, whose new version holds the
-    snapshot and this batch's events (history() has all). A batch that comes again after a failure finds its generation there and adds nothing."""
+def announce(snapshot: DataFrame, root: str, generation: int) -> None:
+    """Writes a snapshot of any size to a folder of its own, then a small file that says so."""
+    spark, folder = snapshot.sparkSession, f"{root.rstrip('/')}/snapshots/{generation}-{uuid.uuid4().hex}"
+    snapshot.withColumn("generation", F.lit(generation).cast("long")).write.parquet(folder)
+    spark.createDataFrame([(generation, folder)], ANNOUNCED).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/announced")
+
+
+def announced_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The snapshots that announce() wrote, as their folders: what goes through the stream is a row for each."""
+    path = f"{root.rstrip('/')}/announced"
+    return spark.readStream.schema(ANNOUNCED).json(path)
+
+
+def with_ids(new: DataFrame, old: DataFrame, found: DataFrame) -> DataFrame:
+    """The new snapshot's files with ids: a known or moved file keeps its id, others have their own."""
+    ids = old.select("path", F.col("document_id").alias("old_id"))
+    moved = found.where("kind = 'moved'").select("path", F.col("document_id").alias("moved_id"))
+    met = new.join(ids, "path", "left").join(moved, "path", "left")
+    return met.withColumn("document_id", F.coalesce("old_id", "moved_id", "document_id")).drop("old_id", "moved_id")
+
+
+def ingested(state: DataFrame, found: DataFrame, before: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(path, document_id, content_hash, body, freshness, error_code) of every file of the new state. Only files that were added or
+    modified, or couldn't be read before, are extracted; one that can't be read any more keeps its last good text, marked stale."""
+    known = before.select("path", "content_hash", "body", "freshness", "error_code")
+    moved = found.where("kind = 'moved'").select("path", F.col("previous_path").alias("was"))
+    placed = state.select("path", "document_id", "content_hash").join(moved, "path", "left").withColumn("was", F.coalesce("was", "path"))
+    met = placed.join(known.withColumnsRenamed({c: f"k_{c}" for c in known.columns}), F.col("was") == F.col("k_path"), "left")
+    fresh = F.coalesce((F.col("k_content_hash") == F.col("content_hash")) & F.col("k_error_code").isNull(), F.lit(False))
+    met = durable(met.withColumn("fresh", fresh))
+    read = extract(met.where(~F.col("fresh")).select("path", "document_id", "content_hash")).select("path", F.col("body").alias("n_body"), F.col("error_code").alias("n_error"))
+    last = met.join(read, "path", "left")
+    failed = ~F.col("fresh") & (F.col("n_error").isNotNull() | F.col("n_body").isNull())
+    return last.select(
+        "path", "document_id", "content_hash",
+        F.when(F.col("fresh") | failed, F.col("k_body")).otherwise(F.col("n_body")).alias("body"),
+        F.when(failed, F.when(F.col("k_body").isNull(), "failed").otherwise("stale")).otherwise("current").alias("freshness"),
+        F.when(failed, F.coalesce("n_error", F.lit("unreadable"))).alias("error_code"),
+    )
+
+
+def change_feed(stream: DataFrame, root: str, checkpoint: str, every: str | None = None, extract: Callable[[DataFrame], DataFrame] | None = None):
+    """Runs what's available, or, given an interval such as "15 minutes", goes on reconciling at it. Each of a batch's snapshots,
+    whole ones (snapshot_stream) or named by folder (announced_stream), is compared with the state table, in order; a new version
+    holds the state and the events (history() has all), and says which version it was computed from, so that a writer who
+    publishes in between isn't overwritten. A batch that comes again after a failure finds its generation there and adds nothing.
+
+    With extract, which takes files(path, document_id, content_hash) and gives (path, body, error_code), the version also holds
+    the contents, and a file that can't be read, or no longer, or for another reason than before, makes a parser_warning event."""
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         tables = VersionedTables(spark, root)
-        for (generation,) in sorted(batch.select("generation").distinct().collect()):
-            new = batch.where(F.col("generation") == generation).drop("generation")
-            started = tables.current() is not None
-            if started:
-                done = tables.read("state").agg(F.max("generation")).first()[0]
+        by_folder = "folder" in batch.columns
+        for row in sorted(batch.select("generation", *(["folder"] if by_folder else [])).distinct().collect()):
+            generation = row["generation"]
+            new = spark.read.schema(SNAPSHOT).parquet(row["folder"]) if by_folder else batch.where(F.col("generation") == generation)
+            new, base = new.drop("generation"), tables.version()
+            if base:
+                done = tables.read("state", base).agg(F.max("generation")).first()[0]
                 if done is not None and generation <= done:
                     continue
-            old = tables.read("state").drop("generation") if started else new.limit(0)
-            found = rel.diff(old, new.drop("document_id")).withColumn("generation", F.lit(generation))
-            # a moved or known file keeps its id
-            ids = old.select("path", F.col("document_id").alias("old_id"))
-            moved = found.where("kind = 'moved'").select("path", F.col("document_id").alias("moved_id"))
-            state = new.join(ids, "path", "left").join(moved, "path", "left").withColumn("document_id", F.coalesce("old_id", "moved_id", "document_id")).drop("old_id", "moved_id").withColumn("generation", F.lit(generation))
-            tables.commit({"state": state, "events": found})
+            old = tables.read("state", base).drop("generation") if base else new.limit(0)
+            found = rel.diff(old, new.drop("document_id")).select("kind", "document_id", "path", "previous_path")
+            state = with_ids(new, old, found)
+            events, out = found.withColumn("error_code", F.lit(None).cast("string")), {}
+            if extract is not None:
+                none = spark.createDataFrame([], "path string, document_id long, content_hash string, body string, freshness string, error_code string")
+                before = tables.read("contents", base) if base else none
+                contents = durable(ingested(durable(state), durable(found), before, extract))
+                moved = found.where("kind = 'moved'").select("path", F.col("previous_path").alias("was"))
+                was = before.select("path", "error_code").join(moved.withColumnsRenamed({"path": "now", "was": "path"}), "path", "left").select(F.coalesce("now", "path").alias("path"), "error_code")
+                warned = parser_warnings(contents, was).join(contents.select("path", "document_id"), "path")
+                events = events.unionByName(warned.withColumn("previous_path", F.lit(None).cast("string")))
+                out["contents"] = contents
+            tables.commit(out | {"state": state.withColumn("generation", F.lit(generation)), "events": events.withColumn("generation", F.lit(generation))}, base=base)
 
     when = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**when).start()
@@ -76,19 +136,91 @@ def debounced(events: DataFrame, seconds: int = 5) -> DataFrame:
     return events.select("workspace_id", F.col("at").cast("timestamp").alias("at")).groupBy("workspace_id").applyInPandas(run, "workspace_id long, first_at timestamp, events long")
 
 
-def stable_files(scans: DataFrame, times: int = 2) -> DataFrame:
-    """The streaming form of stability: (path, unchanged, state) whenever a file is seen; scans(path, generation, content_hash)."""
+def _timers(event_time: bool) -> tuple[str, Callable[[GroupState], int]]:
+    """The kind of timers, and the clock in milliseconds that they go by: the watermark's or the machine's."""
+    if event_time:
+        return GroupStateTimeout.EventTimeTimeout, lambda state: state.getCurrentWatermarkMs()
+    return GroupStateTimeout.ProcessingTimeTimeout, lambda state: state.getCurrentProcessingTimeMs()
+
+
+def _wake(state: GroupState, at: int, now: int, event_time: bool) -> None:
+    if event_time:
+        state.setTimeoutTimestamp(max(at, now + 1))
+    else:
+        state.setTimeoutDuration(max(at - now, 1))
+
+
+def debounced_stream(events: DataFrame, seconds: int = 5, event_time: bool = False, late: str = "0 seconds") -> DataFrame:
+    """The streaming form of debounced(): a workspace's window is emitted `seconds` after its first event, by a timer, whether or
+    not another one comes. By event time the watermark, `late` behind the newest event, is the clock; else the machine's."""
+    kind, clock = _timers(event_time)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, n = state.get if state.exists else (None, 0)
+        out, span = [], seconds * 1000
+        for pdf in batches:
+            for at in sorted(pdf["ms"].tolist()):
+                if first is not None and at >= first + span:
+                    out.append((first, n))
+                    first, n = None, 0
+                first, n = (at, 1) if first is None else (min(first, at), n + 1)
+        now = clock(state)
+        if first is not None and (state.hasTimedOut or now >= first + span):
+            out.append((first, n))
+            first, n = None, 0
+        if first is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first, n))
+            _wake(state, first + span, now, event_time)
+        yield pd.DataFrame([(key[0], x, n) for x, n in out], columns=["workspace_id", "first", "events"])
+
+    e = events.select("workspace_id", F.col("at").cast("timestamp").alias("at"))
+    e = (e.withWatermark("at", late) if event_time else e).withColumn("ms", F.unix_millis("at"))
+    found = e.groupBy("workspace_id").applyInPandasWithState(step, "workspace_id long, first long, events long", "first long, n long", "append", kind)
+    return found.select("workspace_id", F.timestamp_millis("first").alias("first_at"), "events")
+
+
+def stability_stream(scans: DataFrame, times: int = 2, quiet: int = 120, deadline: int = 86_400, forget: int = 7 * 86_400, event_time: bool = False, late: str = "0 seconds") -> DataFrame:
+    """The streaming form of relations.stability(): (path, unchanged, state, at) after each batch that saw a file of scans(path,
+    generation, at, mtime, content_hash, locked), at and mtime in seconds. A timer turns a file that stays locked stale when its
+    deadline passes, without a new scan; another one drops what isn't seen for `forget` seconds, as state expired."""
+    kind, clock = _timers(event_time)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        digest, unchanged = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("generation")
-        for now in rows["content_hash"]:
-            unchanged = unchanged + 1 if now == digest else 0
-            digest = now
-        state.update((digest, unchanged))
-        yield pd.DataFrame({"path": [key[0]], "unchanged": [unchanged], "state": ["queued" if unchanged >= times else "pending_stable"]})
-
-    return scans.groupBy("path").applyInPandasWithState(step, "path string, unchanged int, state string", "digest string, unchanged int", "update", GroupStateTimeout.NoTimeout)
+        digest, unchanged, since, locked, seen, mtime, told = state.get if state.exists else (None, -1, None, False, 0, 0, "")
+        now = clock(state) // 1000
+        if state.hasTimedOut:
+            if now >= seen + forget:
+                state.remove()
+                found = "expired"
+            else:
+                found = "stale" if locked and now >= since + deadline else told
+            rows = [] if found == told else [(key[0], unchanged, found, now)]
+        else:
+            every = pd.concat(list(batches)).sort_values("generation")
+            for row in every.itertuples():
+                unchanged = unchanged + 1 if isinstance(digest, str) and row.content_hash == digest else 0
+                digest, locked, seen, mtime = row.content_hash, bool(row.locked), int(row.at), int(row.mtime)
+                since = int(row.at) if locked and since is None else since
+            if locked:
+                found = "stale" if seen - since >= deadline else "pending_edit"
+            else:
+                found = "queued" if unchanged >= times and seen - mtime >= quiet else "pending_stable"
+            rows = [(key[0], unchanged, found, seen)]
+        if found != "expired":
+            state.update((digest, unchanged, since, locked, seen, mtime, found))
+            due = seen + forget
+            if locked and found != "stale":
+                due = min(due, since + deadline)
+            _wake(state, due * 1000, clock(state), event_time)
+        yield pd.DataFrame(rows, columns=["path", "unchanged", "state", "at"])
+
+    s = scans.withColumn("moment", F.timestamp_seconds("at"))
+    s = s.withWatermark("moment", late) if event_time else s
+    kept = "digest string, unchanged int, since long, locked boolean, seen long, mtime long, told string"
+    return s.groupBy("path").applyInPandasWithState(step, "path string, unchanged int, state string, at long", kept, "append", kind)
 
 
 def to_refresh(cards: DataFrame, items: DataFrame, retry: bool = False) -> DataFrame:
