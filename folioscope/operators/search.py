@@ -5,20 +5,29 @@ Queries are a relation: any number of them run in one job. Only postings of the
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.operators import grams as gr
+from folioscope.sources.corpus import durable
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries that are sent to all executors at most; more are joined by a shuffle.
-BROADCAST_QUERIES = 10_000
+#: Queries, and their bytes, that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 16 << 20
 PASSAGE_LIMIT = 250
+#: Least ratio of a similar name.
+SIMILAR = 0.72
 
 
 def few(queries: DataFrame) -> bool:
-    """Whether there are few enough queries to send them to all executors."""
-    return len(queries.select("query_id").limit(BROADCAST_QUERIES + 1).collect()) <= BROADCAST_QUERIES
+    """Whether the queries are few and small enough to send them to all executors."""
+    some = queries.limit(BROADCAST_QUERIES + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("size"))
+    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n <= BROADCAST_QUERIES and size <= BROADCAST_BYTES
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -33,8 +42,8 @@ def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
 
 
 def tokenized(rows: DataFrame, key: str, fields: dict[str, float], tokens=tx.fts_tokens) -> DataFrame:
-    """(key, fields, dl): each row's tokens by field, and their number."""
-    split = rows.select(key, *(tokens(F.col(f)).alias(f) for f in fields))
+    """(key, fields, dl): each row's tokens by field, and their number; a null field has none."""
+    split = rows.select(key, *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields))
     return split.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
 
 
@@ -75,29 +84,51 @@ def all_else_any(hits: DataFrame) -> DataFrame:
     return hits.join(full, "query_id").where("not full or n_matched = n_terms").drop("full")
 
 
+def name_rows(docs: DataFrame) -> DataFrame:
+    """(document_id, name, stem, title, path), normalised."""
+    return docs.select("document_id", *(tx.normalized(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "stem", "title", "path")))
+
+
+def name_strings(names: DataFrame) -> DataFrame:
+    """(document_id, field, text, stem): what a query may be a part of."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("name", "title", "path")))
+    return names.select("document_id", "stem", F.inline(each))
+
+
+#: Of the reasons for which a document is found by its names the first counts; with their tiers.
+REASONS = {"exact name": 0, "name starts with query": 1, "name contains query": 1, "name is similar": 1, "title contains query": 2, "path contains query": 2}
+
+
 def metadata_hits(docs: DataFrame, queries: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """(query_id, document_id, tier, score, reason) by name, title and path."""
+    """(query_id, document_id, tier, score, reason) by name, title and path, by looking up grams."""
     q = queries.select("query_id", tx.normalized(F.col("query")).alias("q")).where("q <> ''")
-    names = docs.select("document_id", *(tx.normalized(F.col(c)).alias(c) for c in ("name", "stem", "title", "path")))
-    met = names.crossJoin(asked(q))
-    rest = (F.length("name") - F.length("q")) / 1e4
-    at = F.expr("instr(name, q)")
-    out = [
-        (F.expr("q = name or q = stem"), 0, F.lit(0.0), "exact name"),
-        (at == 1, 1, rest, "name starts with query"),
-        (at > 1, 1, 1 + (at - 1) / 1e3 + rest, "name contains query"),
-        (F.expr("instr(title, q) > 0"), 2, F.lit(0.0), "title contains query"),
-        (F.expr("instr(path, q) > 0"), 2, F.lit(0.2), "path contains query"),
-    ]
+    names, small = durable(name_rows(docs)), F.broadcast if few(q) else lambda d: d
+    return metadata_found(names, gr.contained(name_strings(names), "text", q, small), q, small, fuzzy)
+
+
+def metadata_found(names: DataFrame, parts: DataFrame, q: DataFrame, small: Callable[[DataFrame], DataFrame], fuzzy: bool) -> DataFrame:
+    """metadata_hits from name_rows(), and the rows (query_id, q, document_id, field, text, stem) whose text contains q."""
+    hit = lambda rows, reason, score: rows.select("query_id", "document_id", reason.alias("reason"), score.cast("double").alias("score"))
+    exact = [names.join(small(q), F.col(c) == F.col("q")) for c in ("name", "stem")]
+    target = F.when(F.contains("stem", F.col("q")), F.col("stem")).otherwise(F.col("text"))
+    at, rest = F.instr(target, F.col("q")), (F.length(target) - F.length("q")) / 1e4
+    by_name = F.struct(F.when(at == 1, "name starts with query").otherwise("name contains query").alias("reason"), (F.when(at == 1, 0.0).otherwise(1 + (at - 1) / 1e3) + rest).alias("score"))
+    other = F.struct(F.concat("field", F.lit(" contains query")).alias("reason"), F.when(F.col("field") == "path", 0.2).otherwise(0.0).alias("score"))
+    met = parts.withColumn("x", F.when(F.col("field") == "name", by_name).otherwise(other))
+    hits = [*(hit(e, F.lit("exact name"), F.lit(0.0)) for e in exact), hit(met, F.col("x.reason"), F.col("x.score"))]
     if fuzzy:
-        from folioscope.functions.udfs import fuzzy_ratio
+        near = gr.similar(names, ["document_id"], "stem", q, SIMILAR, small)
+        hits.append(hit(near, F.lit("name is similar"), 2 + (1 - F.col("near"))))
+    order = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
+    tier = F.element_at(F.array(*map(F.lit, REASONS.values())), order.cast("int"))
+    every = functools.reduce(DataFrame.unionByName, hits).select("query_id", "document_id", F.struct(order.alias("order"), "score", "reason", tier.alias("tier")).alias("x"))
+    return every.groupBy("query_id", "document_id").agg(F.min("x").alias("x")).select("query_id", "document_id", "x.tier", "x.score", "x.reason")
 
-        met = met.withColumn("near", fuzzy_ratio("q", "stem"))
-        out.insert(3, (F.col("near") >= 0.72, 1, 2 + (1 - F.col("near")), "name is similar"))
-    best = F
-    for test, tier, score, reason in out:
-        best = best.when(test, F.struct(F.lit(tier).alias("tier"), score.cast("double").alias("score"), F.lit(reason).alias("reason")))
-    return met.withColumn("x", best).where("x is not null").select("query_id", "document_id", "x.*")
+
+def by_tier(heading: Column, body: Column) -> Column:
+    """struct(tier, reason) of a passage whose heading, or body, holds all parts of the query."""
+    of = lambda tier, reason: F.struct(F.lit(tier).alias("tier"), F.lit(reason).alias("reason"))
+    return F.when(heading, of(2, "heading holds all parts")).when(body, of(3, "text holds all parts"))
 
 
 def passage_hits(passages: DataFrame, names: DataFrame, queries: DataFrame, limit: int = PASSAGE_LIMIT) -> DataFrame:
@@ -108,9 +139,8 @@ def passage_hits(passages: DataFrame, names: DataFrame, queries: DataFrame, limi
     top = ranked(hits, [F.desc("bm25"), F.asc("passage_id")], limit, name="place").select("query_id", "passage_id", "bm25")
     parts = queries.select("query_id", F.split(tx.normalized(F.col("query")), " ").alias("parts"))
     met = rows.join(top, "passage_id").join(asked(parts), "query_id")
-    holds = lambda c: tx.once(tx.normalized(F.col(c)), lambda t: F.forall("parts", lambda p: F.contains(t, p)))
-    best = F.when(holds("heading"), F.struct(F.lit(2).alias("tier"), F.lit("heading holds all parts").alias("reason"))).when(holds("body"), F.struct(F.lit(3).alias("tier"), F.lit("text holds all parts").alias("reason")))
-    return met.withColumn("x", best).where("x is not null").select("query_id", "document_id", "passage_id", "x.tier", (-F.col("bm25")).alias("score"), "x.reason")
+    holds = lambda c: tx.once(tx.normalized(F.coalesce(c, F.lit(""))), lambda t: F.forall("parts", lambda p: F.contains(t, p)))
+    return met.withColumn("x", by_tier(holds("heading"), holds("body"))).where("x is not null").select("query_id", "document_id", "passage_id", "x.tier", (-F.col("bm25")).alias("score"), "x.reason")
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -119,14 +149,18 @@ def merged(hits: DataFrame) -> DataFrame:
     return best.select("query_id", "document_id", "x.tier", "x.score", "x.reason", "n_evidence")
 
 
-def search_tiered(docs: DataFrame, passages: DataFrame, queries: DataFrame, k: int = 10, fuzzy: bool = False) -> DataFrame:
-    """(query_id, rank, document_id, name, tier, score, reason, n_evidence): the flagship search."""
-    found = passage_hits(passages, docs, queries).drop("passage_id")
-    best = merged(metadata_hits(docs, queries, fuzzy).unionByName(found)).join(docs.select("document_id", "name"), "document_id")
+def tiered(named: DataFrame, found: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """The best k documents of metadata_hits() and passage_hits(); names is (document_id, name)."""
+    best = merged(named.unionByName(found.drop("passage_id"))).join(names, "document_id")
     top = ranked(best, [F.asc("tier"), F.asc(F.round("score", 9)), F.asc(F.lower("name")), F.asc("document_id")], k)
     return top.select("query_id", "rank", "document_id", "name", "tier", F.round("score", 6).alias("score"), "reason", "n_evidence")
 
 
+def search_tiered(docs: DataFrame, passages: DataFrame, queries: DataFrame, k: int = 10, fuzzy: bool = False) -> DataFrame:
+    """(query_id, rank, document_id, name, tier, score, reason, n_evidence): the flagship search."""
+    return tiered(metadata_hits(docs, queries, fuzzy), passage_hits(passages, docs, queries), docs.select("document_id", "name"), k)
+
+
 def with_excerpts(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     return results.join(docs.select("document_id", "body"), "document_id").join(asked(queries), "query_id").withColumn("excerpt", tx.excerpt(F.col("body"), F.col("query"))).drop("body", "query")
 
@@ -147,24 +181,20 @@ def search_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def search_weighted(rows: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
-    """(query_id, rank, document_id, name, score, coverage): candidates by weighted BM25 over the fields' term sets, a limit,
-    then filters, then rescoring."""
-    sets = rows.select("document_id", *(F.array_join(tx.analyzed_terms(F.col(f)), " ").alias(f) for f in FIELDS))
-    q = queries.withColumn("terms", tx.analyzed_terms(F.col("query"))).where(F.size("terms") > 0)
-    hits = bm25(sets, "document_id", FIELDS, q.withColumn("query", F.array_join("terms", " ")))
-    top = ranked(hits, [F.desc("bm25"), F.asc("document_id")], min(500, max(5 * k, 50)), name="place")
-    met = rows.join(top.select("query_id", "document_id", "bm25"), "document_id").join(asked(q.select("query_id", F.lower("query").alias("q"), "terms")), "query_id")
-    met = met.where(where) if where is not None else met
-    met = met.select("*", *(tx.analyzed_terms(F.col(f)).alias(f"{f}_terms") for f in FIELDS))  # of the candidates alone
-    n = F.size("terms")
-    union = F.array_distinct(F.flatten(F.array(*(f"{f}_terms" for f in FIELDS))))
-    met = met.withColumn("coverage", F.size(F.array_intersect("terms", union)) / n)
+def candidates(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, document_id, bm25) of the rows that the weighted ranker looks at."""
+    return ranked(hits, [F.desc("bm25"), F.asc("document_id")], min(500, max(5 * k, 50)), name="place").select("query_id", "document_id", "bm25")
+
+
+def rescored(met: DataFrame, coverage: Column, by_field: dict[str, Column], k: int) -> DataFrame:
+    """(query_id, rank, document_id, name, score, coverage) of candidates with the columns of search_documents(), bm25 and the query
+    q in lower case; coverage is the share of the query's terms that a candidate has, in all and by field."""
+    met = met.withColumn("coverage", coverage)
     score = F.col("bm25") + 4 * F.col("coverage") + F.when(F.col("coverage") == 1, 1.0).otherwise(0.0)
     for f, w in PHRASES.items():
-        score = score + F.when(F.contains(F.lower(f), F.col("q")), w).otherwise(0.0)
+        score = score + F.when(F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("q")), w).otherwise(0.0)
     for f, w in COVERAGE.items():
-        score = score + w * F.size(F.array_intersect("terms", f"{f}_terms")) / n
+        score = score + w * by_field[f]
     score = score + F.when(F.col("node_type").isin("text", "leaf"), 5.0).otherwise(0.0)
     loss = F
     for s, p in PENALTY.items():
@@ -174,6 +204,21 @@ def search_weighted(rows: DataFrame, queries: DataFrame, k: int = 10, where: Col
     return final.select("query_id", "rank", "document_id", "name", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
+def search_weighted(rows: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, document_id, name, score, coverage): candidates by weighted BM25 over the fields' term sets, a limit,
+    then filters, then rescoring."""
+    rows = rows.withColumns({f: F.coalesce(f, F.lit("")) for f in FIELDS})
+    sets = rows.select("document_id", *(F.array_join(tx.analyzed_terms(F.col(f)), " ").alias(f) for f in FIELDS))
+    q = queries.withColumn("terms", tx.analyzed_terms(F.col("query"))).where(F.size("terms") > 0)
+    hits = bm25(sets, "document_id", FIELDS, q.withColumn("query", F.array_join("terms", " ")))
+    met = rows.join(candidates(hits, k), "document_id").join(asked(q.select("query_id", F.lower("query").alias("q"), "terms")), "query_id")
+    met = met.where(where) if where is not None else met
+    met = met.select("*", *(tx.analyzed_terms(F.col(f)).alias(f"{f}_terms") for f in FIELDS))  # of the candidates alone
+    union = F.array_distinct(F.flatten(F.array(*(f"{f}_terms" for f in FIELDS))))
+    share = lambda terms: F.size(F.array_intersect("terms", terms)) / F.size("terms")
+    return rescored(met, share(union), {f: share(f"{f}_terms") for f in FIELDS}, k)
+
+
 def expanded(results: DataFrame, children: DataFrame) -> DataFrame:
     """Direct children of matched folders that aren't results themselves: (query_id, folder_id, document_id); children is
     (folder_id, document_id)."""

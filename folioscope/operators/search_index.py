@@ -1,69 +1,235 @@
-"""A stored search index: postings as Parquet, refreshed by document, searched without reading any text.
+"""Stored search indexes: postings as Parquet, refreshed by document, searched without reading any text.
 
-A generation adds the rows that changed: their lengths, and their postings in folders by term hash, so that a search reads the
-folders of its own terms alone. A row's latest generation counts; removed rows get one without postings. Nothing is rewritten
-until merge(), and a generation is seen only once its commit is published. The lengths of all rows, narrow, are read by every
-search: they say which postings count, and give the statistics.
+A generation adds the rows that changed: their lengths and narrow columns, and their postings in folders by term hash, so that a
+search reads the folders of its own terms alone. A row's latest generation counts; removed rows get one without postings. Nothing
+is rewritten until merge(), and a generation is seen only once its commit is published. The lengths of all rows, narrow, are read
+by every search: they say which postings count, and give the statistics.
+
+SearchIndex serves BM25 and the older weighted ranker, TieredIndex the tiered search: names and the words of passages are looked up
+by grams, so that substrings are found in the index too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators.search import bm25_of, few, frequencies, query_terms, tokenized
+from folioscope.operators import grams as gr
+from folioscope.operators import search as se
+from folioscope.sources.corpus import durable
 from folioscope.sources.sinks import VersionedTables
 
 #: Folders that postings are dealt to by term; few enough that a generation's files aren't tiny.
 BUCKETS = 64
 
 
-class SearchIndex:
-    def __init__(self, spark: SparkSession, root: str, key: str, fields: dict[str, float], buckets: int = BUCKETS, tokens=tx.fts_tokens):
-        self.spark, self.key, self.fields, self.buckets, self.tokens = spark, key, fields, buckets, tokens
-        self.tables = VersionedTables(spark, root)
+class _Folders:
+    """Tables by generation, some of them dealt to folders by the hash of a term."""
 
-    def _bucket(self, term: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int):
+        self.spark, self.buckets, self.tables = spark, buckets, VersionedTables(spark, root)
+
+    def bucket(self, term: str) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _commit(self, lengths: DataFrame, held: DataFrame) -> int:
-        dealt = held.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
-        return self.tables.commit({"lengths": lengths, "postings": dealt}, algorithm=f"{self.buckets} buckets", partitioned={"postings": ["bucket"]})
+    def commit(self, plain: dict[str, DataFrame], by_term: dict[str, tuple[DataFrame, str, str]]) -> int:
+        """by_term: each table with its term and its other key; the rows of one term may be dealt to several tasks."""
+        dealt = {name: df.withColumn("bucket", self.bucket(term)).repartitionByRange("bucket", term, key).sortWithinPartitions("bucket", term, key) for name, (df, term, key) in by_term.items()}
+        return self.tables.commit(plain | dealt, algorithm=f"{self.buckets} buckets", partitioned={name: ["bucket"] for name in by_term})
+
+    def of_terms(self, table: str, term: str, wanted: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The rows of every generation that have one of wanted(term), from the folders of these alone; with their version."""
+        wanted = wanted.select(term).distinct()
+        folders = sorted(r[0] for r in wanted.select(self.bucket(term)).distinct().collect())  # as many numbers as folders at most
+        rows = self.tables.history(table, with_version=True)
+        return rows.where(F.col("bucket").isin(folders) if folders else F.lit(False)).join(small(wanted), term, "left_semi").drop("bucket")
+
+    def latest(self, table: str, key: str) -> DataFrame:
+        """The rows of a table with a column live that are there, each of its latest generation; with its version."""
+        every = self.tables.history(table, with_version=True)
+        more = [c for c in every.columns if c not in (key, "version")]
+        last = every.groupBy(key).agg(F.max_by(F.struct("version", *more), "version").alias("x"))
+        return last.where("x.live").select(key, "x.*").drop("live")
+
+
+def by_field(split: DataFrame, fields: list[str], what: str, *key: str) -> DataFrame:
+    """(what, key, counts) of the arrays in the fields of split(key, fields); counts has a number for each field."""
+
+    def marked(i: int) -> Column:
+        return F.transform(fields[i], lambda t: F.struct(t.alias(what), F.lit(i).alias("field")))
+
+    n = range(len(fields))
+    each = split.select(*key, F.explode(F.flatten(F.array(*map(marked, n)))).alias("x"))
+    counts = F.array(*(F.count_if(F.col("x.field") == i).cast("int") for i in n))
+    return each.groupBy(F.col(f"x.{what}").alias(what), *key).agg(counts.alias("counts"))
+
+
+def dead(removed: DataFrame | None, key: str, like: DataFrame) -> DataFrame:
+    """Rows that say that those of removed(key) are gone, in like's columns."""
+    if removed is None:
+        return like.limit(0)
+    kinds = {f.name: f.dataType for f in like.schema.fields}
+    return removed.select(*(F.col(key) if c == key else F.lit(False).alias(c) if c == "live" else F.lit(None).cast(kinds[c]).alias(c) for c in like.columns))
+
+
+class SearchIndex:
+    """Postings by field of rows(key, fields). tokens gives a field's tokens; with terms, which gives a field's distinct terms, these
+    are kept too, by field, and the tokens are those of the terms. `kept` columns stay with the rows."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str, fields: dict[str, float], buckets: int = BUCKETS, tokens=tx.fts_tokens, terms: Callable[[Column], Column] | None = None, kept: tuple[str, ...] = ()):
+        self.spark, self.key, self.fields, self.tokens, self.terms, self.kept = spark, key, fields, tokens, terms, kept
+        self.folders = _Folders(spark, root, buckets)
+
+    def _by_field(self, split: DataFrame, what: str) -> DataFrame:
+        """(what, key, counts) of the arrays in a row's fields; counts has a number for each field."""
+        return by_field(split, list(self.fields), what, self.key)
 
     def refresh(self, changed: DataFrame, removed: DataFrame | None = None) -> int:
-        """Adds or replaces the rows of changed(key, fields) and drops those of removed(key); gives the generation."""
-        made = tokenized(changed, self.key, self.fields, self.tokens)
-        lengths = made.select(self.key, F.col("dl").cast("int").alias("dl"), F.lit(True).alias("live"))
-        if removed is not None:
-            lengths = lengths.union(removed.select(self.key, F.lit(0), F.lit(False)))
-        return self._commit(lengths, frequencies(made, self.key, self.fields).drop("dl"))
-
-    def _live(self) -> DataFrame:
-        """(key, dl, version) of the rows that are there, each of its latest generation."""
-        every = self.tables.history("lengths", with_version=True)
-        last = every.groupBy(self.key).agg(F.max(F.struct("version", "dl", "live")).alias("x"))
-        return last.where("x.live").select(self.key, "x.dl", "x.version")
-
-    def _postings(self) -> DataFrame:
-        return self.tables.history("postings", with_version=True)
+        """Adds or replaces the rows of changed(key, fields, kept) and drops those of removed(key); gives the generation."""
+        rows = changed.select(self.key, *self.kept, *(F.col(f).alias(f"_{i}") for i, f in enumerate(self.fields)))
+        names = {f: f"_{i}" for i, f in enumerate(self.fields)}  # kept columns may be fields too
+        by_term = {}
+        if self.terms is not None:
+            sets = rows.select(self.key, *(self.terms(F.coalesce(n, F.lit(""))).alias(f) for f, n in names.items()))
+            by_term["terms"] = (self._by_field(sets, "term"), "term", self.key)
+            made = sets.select(self.key, *(self.tokens(F.array_join(f, " ")).alias(f) for f in names))
+        else:
+            made = rows.select(self.key, *(self.tokens(F.coalesce(n, F.lit(""))).alias(f) for f, n in names.items()))
+        by_term["postings"] = (self._by_field(made, "term"), "term", self.key)
+        dl = sum((F.size(f) for f in self.fields), F.lit(0)).cast("int")
+        lengths = made.select(self.key, dl.alias("dl"), F.lit(True).alias("live"))
+        if self.kept:
+            lengths = lengths.join(rows.select(self.key, F.struct(*self.kept).alias("kept")), self.key)
+        return self.folders.commit({"lengths": lengths.unionByName(dead(removed, self.key, lengths))}, by_term)
+
+    def live(self) -> DataFrame:
+        """(key, dl, kept, version) of the rows that are there."""
+        return self.folders.latest("lengths", self.key)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """What search.bm25 gives for the rows that the index holds: (query_id, key, n_terms, n_matched, bm25)."""
-        live = self._live()
+        live = self.live().select(self.key, "dl", "version")
         stats = live.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
-        terms, small = query_terms(queries), F.broadcast if few(queries) else lambda d: d
-        asked = terms.select("term").distinct().withColumn("bucket", self._bucket("term"))
-        found = self._postings()
-        wanted = sorted(r[0] for r in asked.select("bucket").distinct().collect())  # BUCKETS numbers at most
-        found = found.where(F.col("bucket").isin(wanted) if wanted else F.lit(False))
-        tf = found.join(small(asked.select("term")), "term", "left_semi").join(live, [self.key, "version"]).select(self.key, "dl", "term", "f")
-        return bm25_of(tf, self.key, stats, terms, small)
+        terms, small = se.query_terms(queries), F.broadcast if se.few(queries) else lambda d: d
+        f = functools.reduce(Column.__add__, (F.col("counts")[i] * F.lit(float(w)) for i, w in enumerate(self.fields.values())))
+        found = self.folders.of_terms("postings", "term", terms, small).join(live, [self.key, "version"])
+        return se.bm25_of(found.select(self.key, "dl", "term", f.alias("f")), self.key, stats, terms, small)
+
+    def coverage(self, hits: DataFrame, terms: DataFrame, small: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+        """(query_id, key, any_, fields) of hits(query_id, key): how many of its query's terms(query_id, term) a row has at all, and
+        in each field."""
+        live = self.live().select(self.key, "version")
+        found = self.folders.of_terms("terms", "term", terms, small).join(live, [self.key, "version"])
+        met = found.join(small(terms.select("query_id", "term").distinct()), "term").join(hits.select("query_id", self.key), ["query_id", self.key])
+        fields = F.array(*(F.count_if(F.col("counts")[i] > 0) for i in range(len(self.fields))))
+        return met.groupBy("query_id", self.key).agg(F.count(F.lit(1)).alias("any_"), fields.alias("fields"))
 
     def merge(self, into: str) -> SearchIndex:
         """The same index with one generation, in another folder."""
-        new = SearchIndex(self.spark, into, self.key, self.fields, self.buckets, self.tokens)
-        live = self._live()
-        held = self._postings().join(live.select(self.key, "version"), [self.key, "version"]).select(self.key, "term", "f")
-        new._commit(live.select(self.key, "dl", F.lit(True).alias("live")), held)
+        new = SearchIndex(self.spark, into, self.key, self.fields, self.folders.buckets, self.tokens, self.terms, self.kept)
+        live = self.live()
+        held = {}
+        for name in ("postings", *(("terms",) if self.terms is not None else ())):
+            rows = self.folders.tables.history(name, with_version=True).join(live.select(self.key, "version"), [self.key, "version"])
+            held[name] = (rows.select("term", self.key, "counts"), "term", self.key)
+        new.folders.commit({"lengths": live.drop("version").withColumn("live", F.lit(True))}, held)
         return new
+
+
+#: What the weighted ranker's scores look at beside the terms.
+WEIGHTED = ("name", "path", "summary", "node_type", "status", "quality_flags", "modified_at", "source", "truncated")
+
+
+def weighted_index(spark: SparkSession, root: str, buckets: int = BUCKETS) -> SearchIndex:
+    """An index of search.search_documents() for search_weighted()."""
+    return SearchIndex(spark, root, "document_id", se.FIELDS, buckets, terms=tx.analyzed_terms, kept=WEIGHTED)
+
+
+def search_weighted(index: SearchIndex, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+    """What search.search_weighted gives, from weighted_index()."""
+    q = queries.withColumn("terms", tx.analyzed_terms(F.col("query"))).where(F.size("terms") > 0)
+    small = F.broadcast if se.few(queries) else lambda d: d
+    hits = index.search(q.select("query_id", F.array_join("terms", " ").alias("query")))
+    top = durable(se.candidates(hits, k))
+    covered = index.coverage(top, q.select("query_id", F.explode("terms").alias("term")), small)
+    met = top.join(index.live().select("document_id", "kept.*"), "document_id").join(small(q.select("query_id", F.lower("query").alias("q"), F.size("terms").alias("n"))), "query_id")
+    met = (met.where(where) if where is not None else met).join(covered, ["query_id", "document_id"], "left")
+    by_field = {f: F.coalesce(F.col("fields")[i], F.lit(0)) / F.col("n") for i, f in enumerate(se.FIELDS)}
+    return se.rescored(met, F.coalesce("any_", F.lit(0)) / F.col("n"), by_field, k)
+
+
+class TieredIndex:
+    """The tiered search over documents(document_id, name, stem, title, path) and passages(passage_id, document_id, heading, body).
+
+    Words of a passage are kept by field as they stand in the lower-cased text; the full-text tokens and the normalised words follow
+    from them. Every distinct word of a generation has its grams, and so have the documents' names, titles and paths."""
+
+    FIELDS = ("name", "path", "heading", "body")
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.folders = spark, _Folders(spark, root, buckets)
+
+    def refresh(self, docs: DataFrame, passages: DataFrame, removed: DataFrame | None = None) -> int:
+        """Adds or replaces documents with all of their passages, and drops those of removed(document_id)."""
+        docs = docs.select("document_id", "name", "stem", "title", "path")
+        rows = passages.select("passage_id", "document_id", "heading", "body").join(docs.select("document_id", "name", "path"), "document_id")
+        words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+        split = durable(rows.select("passage_id", "document_id", *(words(F.col(f)).alias(f) for f in self.FIELDS)))
+        held = by_field(split, list(self.FIELDS), "word", "passage_id", "document_id")
+        tokens = functools.reduce(Column.__add__, (F.size(F.flatten(F.transform(f, tx.fts_tokens))) for f in self.FIELDS))
+        lengths = split.select("passage_id", "document_id", tokens.cast("int").alias("dl"))
+        new = split.select(F.explode(F.array_distinct(F.concat(*self.FIELDS))).alias("word")).distinct()
+        by_word = gr.postings(new.withColumn("text", tx.folded(F.col("word"))), "text").select("gram", "word", "text")
+        names = se.name_rows(docs)
+        by_name = gr.postings(se.name_strings(names), "text").select("gram", "document_id", "field", "text", "stem")
+        by_token = new.select("word", F.explode(F.array_distinct(tx.fts_tokens(F.col("word")))).alias("term"))
+        known = names.join(docs.select("document_id", F.col("name").alias("shown")), "document_id").withColumn("live", F.lit(True))
+        return self.folders.commit(
+            {"documents": known.unionByName(dead(removed, "document_id", known)), "passages": lengths},
+            {"words": (held, "word", "passage_id"), "word_grams": (by_word, "gram", "word"), "tokens": (by_token, "term", "word"), "name_grams": (by_name, "gram", "document_id")},
+        )
+
+    def _contained(self, table: str, q: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of a table of grams, of all generations, whose text contains q(query_id, q)."""
+        wanted = q.where("q <> ''").select(F.explode(gr.own_grams(F.col("q"))).alias("gram"))
+        held = self.folders.of_terms(table, "gram", wanted, small)
+        return gr.looked_up(held, q, small).where(F.contains("text", F.col("q")))
+
+    def passage_hits(self, live: DataFrame, queries: DataFrame, limit: int = se.PASSAGE_LIMIT) -> DataFrame:
+        """What search.passage_hits gives, of the live(document_id, version) documents."""
+        small = F.broadcast if se.few(queries) else lambda d: d
+        lengths = durable(self.folders.tables.history("passages", with_version=True).join(live, ["document_id", "version"]).select("passage_id", "document_id", "version", "dl"))
+        stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
+        terms = se.query_terms(queries)
+        by_term = self.folders.of_terms("tokens", "term", terms, small).select("term", "word").distinct()
+        parts = queries.select("query_id", F.explode(F.array_distinct(F.split(tx.normalized(F.col("query")), " "))).alias("q")).where("q <> ''")
+        of_part = parts.select(F.col("q").alias("query_id"), "q").distinct()
+        by_part = self._contained("word_grams", of_part, small).select(F.col("q").alias("part"), "word").distinct()
+        by_term, by_part = durable(by_term), durable(by_part)
+        words = by_term.select("word").union(by_part.select("word"))
+        found = durable(self.folders.of_terms("words", "word", words, lambda d: d).join(lengths, ["passage_id", "document_id", "version"]))
+        # a word may hold a token twice, and several words the same one
+        times = F.size(F.filter(tx.fts_tokens(F.col("word")), lambda t: t == F.col("term")))
+        f = F.aggregate("counts", F.lit(0), lambda a, x: a + x) * times
+        tf = found.join(by_term, "word").groupBy("passage_id", "dl", "term").agg(F.sum(f).cast("double").alias("f"))
+        hits = se.all_else_any(se.bm25_of(tf, "passage_id", stats, terms, small))
+        top = durable(se.ranked(hits, [F.desc("bm25"), F.asc("passage_id")], limit, name="place").select("query_id", "passage_id", "bm25"))
+        held = found.join(by_part, "word").select("passage_id", "document_id", "part", (F.col("counts")[2] > 0).alias("h"), (F.col("counts")[3] > 0).alias("b"))
+        held = held.groupBy("passage_id", "document_id", "part").agg(F.max("h").alias("h"), F.max("b").alias("b"))
+        met = held.join(small(parts.select("query_id", F.col("q").alias("part"))), "part").join(top, ["query_id", "passage_id"])
+        n = parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        met = met.groupBy("query_id", "document_id", "passage_id", "bm25").agg(F.count_if("h").alias("h"), F.count_if("b").alias("b")).join(small(n), "query_id")
+        return met.select("query_id", "document_id", "passage_id", se.by_tier(F.col("h") == F.col("n"), F.col("b") == F.col("n")).alias("x"), (-F.col("bm25")).alias("score")).where("x is not null").select("query_id", "document_id", "passage_id", "x.tier", "score", "x.reason")
+
+    def search(self, queries: DataFrame, k: int = 10, fuzzy: bool = False) -> DataFrame:
+        """What search.search_tiered gives for the documents that the index holds."""
+        live = durable(self.folders.latest("documents", "document_id"))
+        small = F.broadcast if se.few(queries) else lambda d: d
+        q = queries.select("query_id", tx.normalized(F.col("query")).alias("q")).where("q <> ''")
+        parts = self._contained("name_grams", q, small).join(live.select("document_id", "version"), ["document_id", "version"])
+        named = se.metadata_found(live, parts, q, small, fuzzy)
+        return se.tiered(named, self.passage_hits(live.select("document_id", "version"), queries), live.select("document_id", F.col("shown").alias("name")), k)

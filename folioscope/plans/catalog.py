@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.operators import digests as dg
 from folioscope.operators import evidence as ev
 from folioscope.operators import relations as rel
 from folioscope.operators import search as se
+from folioscope.operators.numbering import accumulated
 from folioscope.sources import corpus
 from folioscope.sources.corpus import shared_dir
 
@@ -117,11 +119,11 @@ hits_p as (select query_id, passage_id as document_id, case when list_bool_and(l
 names as (select document_id, {_norm('name')} as name, {_norm('stem')} as stem, {_norm('title')} as title, {_norm('path')} as path from docs),
 hits_m as (select query_id, document_id,
     case when q = name or q = stem then 0 when instr(name, q) > 0 then 1 else 2 end as tier,
-    case when q = name or q = stem then 0.0 when instr(name, q) = 1 then (length(name) - length(q)) / 1e4
-        when instr(name, q) > 1 then 1 + (instr(name, q) - 1) / 1e3 + (length(name) - length(q)) / 1e4 when instr(title, q) > 0 then 0.0 else 0.2 end as score,
-    case when q = name or q = stem then 'exact name' when instr(name, q) = 1 then 'name starts with query' when instr(name, q) > 1 then 'name contains query'
+    case when q = name or q = stem then 0.0 when instr(target, q) = 1 then (length(target) - length(q)) / 1e4
+        when instr(target, q) > 1 then 1 + (instr(target, q) - 1) / 1e3 + (length(target) - length(q)) / 1e4 when instr(title, q) > 0 then 0.0 else 0.2 end as score,
+    case when q = name or q = stem then 'exact name' when instr(target, q) = 1 then 'name starts with query' when instr(target, q) > 1 then 'name contains query'
         when instr(title, q) > 0 then 'title contains query' else 'path contains query' end as reason
-    from names, parts where q <> '' and (q = stem or instr(name, q) > 0 or instr(title, q) > 0 or instr(path, q) > 0)),
+    from (select *, case when contains(stem, q) then stem else name end as target from names, parts) where q <> '' and (q = stem or instr(name, q) > 0 or instr(title, q) > 0 or instr(path, q) > 0)),
 every as (select * from hits_p union all select * from hits_m),
 one as (select query_id, document_id, min(struct_pack(tier := tier, score := score, reason := reason)) as x, count(*) as n_evidence from every group by all),
 ranked as (select query_id, row_number() over (partition by query_id order by x.tier, round(x.score, 9), lower(name), document_id) as rank, document_id, name, x.tier as tier,
@@ -143,8 +145,8 @@ def search_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {DOCS}, asked as (select document_id as query_id, case document_id % 80 when 0 then name when 20 then stem when 40 then left(stem, length(stem) - 1) else 'oc-' || document_id end as query from docs where document_id % 20 = 0),
 parts as (select query_id, {_norm('query')} as q from asked), names as (select document_id, {_norm('name')} as name, {_norm('stem')} as stem from docs)
 select query_id, document_id, case when q = name or q = stem then 0 else 1 end as tier,
-    round(case when q = name or q = stem then 0.0 when instr(name, q) = 1 then (length(name) - length(q)) / 1e4 else 1 + (instr(name, q) - 1) / 1e3 + (length(name) - length(q)) / 1e4 end, 6) as score
-from names, parts where q = stem or instr(name, q) > 0""")
+    round(case when q = name or q = stem then 0.0 when instr(target, q) = 1 then (length(target) - length(q)) / 1e4 else 1 + (instr(target, q) - 1) / 1e3 + (length(target) - length(q)) / 1e4 end, 6) as score
+from (select *, case when contains(stem, q) then stem else name end as target from names, parts) where q = stem or instr(name, q) > 0""")
 def search_exact_prefix_infix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
     i, s = F.col("document_id"), F.col("stem")
@@ -162,6 +164,17 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.ranked(hits, [F.desc("bm25"), F.asc("document_id")], 10).select("query_id", "rank", "document_id", F.round("bm25", 6).alias("score"))
 
 
+#: Every ninth document is gone, the others have one more word.
+_LATER = DOCS.replace("docs as (", "docs0 as (") + ", docs as (select * replace (body || ' lighthouse' as body) from docs0 where document_id % 9 <> 4)"
+
+
+def _refreshed(index, docs: DataFrame) -> None:
+    """All documents, of which every ninth is then removed and every other one edited; what a refresh takes is made of them."""
+    i = F.col("document_id")
+    index(docs, None)
+    index(docs.where(i % 9 != 4).withColumn("body", F.concat("body", F.lit(" lighthouse"))), docs.where(i % 9 == 4))
+
+
 _EDITED = "docs2 as (select document_id, title, body || ' lighthouse' as body from docs where document_id % 9 <> 4)"
 
 
@@ -174,13 +187,23 @@ def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from folioscope.operators.search_index import SearchIndex
 
-    docs, i = corpus.documents(spark, sf_dir).select("document_id", "title", "body"), F.col("document_id")
     index = SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "document_id", {"title": 1.0, "body": 1.0})
-    index.refresh(docs)
-    index.refresh(docs.where(i % 9 != 4).withColumn("body", F.concat("body", F.lit(" lighthouse"))), docs.where(i % 9 == 4))
+    _refreshed(index.refresh, corpus.documents(spark, sf_dir).select("document_id", "title", "body"))
     return se.ranked(index.search(corpus.queries(spark, sf_dir)), [F.desc("bm25"), F.asc("document_id")], 10).select("query_id", "rank", "document_id", F.round("bm25", 6).alias("score"))
 
 
+@query(_TIERED.replace("list_bool_and(", "list_aggregate(").replace(", p)))", ", p)), 'bool_and')").replace(DOCS, _LATER))
+def search_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiered search in a stored index, after an edit and a removal."""
+    import uuid
+
+    from folioscope.operators.search_index import TieredIndex
+
+    index = TieredIndex(spark, f"{shared_dir(spark)}/tiers-{uuid.uuid4().hex}")
+    _refreshed(lambda docs, removed: index.refresh(docs, corpus.passages(docs, whole=True), removed), corpus.documents(spark, sf_dir))
+    return index.search(_tiered_queries(spark, sf_dir), k=10)
+
+
 @query(f"""with {DOCS}, asked as (select 1 as query_id, 'nation ounded the' as query), {terms_sql()}, {bm25_sql('docs', 'document_id', {'body': 1})}
 select document_id, round(bm25, 6) as score, n_matched from scored order by bm25 desc, document_id limit 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +262,18 @@ def search_v1_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.search_weighted(se.search_documents(corpus.documents(spark, sf_dir)), corpus.queries(spark, sf_dir), where=where)
 
 
+@query(_weighted_sql("node_type in ('text', 'leaf') and modified_at >= '2024-02-01'").replace(DOCS, _LATER))
+def search_weighted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older ranker in a stored index, after an edit and a removal, with filters."""
+    import uuid
+
+    from folioscope.operators.search_index import search_weighted, weighted_index
+
+    index = weighted_index(spark, f"{shared_dir(spark)}/weights-{uuid.uuid4().hex}")
+    _refreshed(lambda docs, removed: index.refresh(se.search_documents(docs), removed), corpus.documents(spark, sf_dir))
+    return search_weighted(index, corpus.queries(spark, sf_dir), where=rel.post_filter(types=["text", "leaf"], after="2024-02-01"))
+
+
 @query(f"""with {DOCS} select document_id, path from docs where (lower(path) = 'src1' or starts_with(lower(path), 'src1/')) and extension in ('.txt', '.md')
 and readability in ('readable', 'partial') and indexing_state in ('indexed') and source_kind in ('physical') and modified_at >= '2024-01-15' and modified_at <= '2024-12-01'""")
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,20 +395,40 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.folder_rollup(corpus.documents(spark, sf_dir))
 
 
-@query(f"with {DOCS} select parent as folder, sha256(string_agg(path || '|' || content_hash || '|' || case when status = 'current' then 'available' else 'other' end, chr(10) order by path)) as digest from docs group by parent")
+def _set_digest(line: str, n: str = "count(*)") -> str:
+    """The digest of a set of lines: the sums of nine numbers of 28 bits of each line's own digest."""
+    parts = ", ".join(f"sum(('0x' || substr(sha256({line}), {1 + 7 * i}, 7))::bigint)" for i in range(9))
+    return f"sha256(concat_ws(',', count(*), {parts}))"
+
+
+@query(f"with {DOCS} select parent as folder, {_set_digest("path || '|' || content_hash || '|' || case when status = 'current' then 'available' else 'other' end")} as digest from docs group by parent")
 def folder_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.folder_digest(corpus.documents(spark, sf_dir))
 
 
-@query(f"""with {DOCS}, a as (select unnest(['.', source, source || '/' || lang]) as folder, path, document_id || '|' || content_hash || '|' || path as line from docs)
-select folder, count(*) as files, sha256(string_agg(line, chr(10) order by path)) as fingerprint from a group by folder""")
+_LINES = "a as (select unnest(['.', source, source || '/' || lang]) as folder, path, document_id || '|' || content_hash || '|' || path as line from docs)"
+
+
+@query(f"with {DOCS}, {_LINES} select folder, count(*) as files, {_set_digest('line')} as fingerprint from a group by folder")
 def folder_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.folder_fingerprint(corpus.documents(spark, sf_dir))
 
 
-@query(f"""with {DOCS}, one as (select parent as folder, source, sha256(string_agg(path || '|' || content_hash, chr(10) order by path)) as digest from docs group by parent, source),
-two as (select source as folder, sha256(string_agg(folder || '|' || digest, chr(10) order by folder)) as digest from one group by source)
-select folder, digest from one union all select folder, digest from two union all select '.', sha256(string_agg(folder || '|' || digest, chr(10) order by folder)) from two""")
+@query(f"""with {DOCS.replace("docs as (", "docs0 as (")}, docs as (select * replace (case when document_id % 5 = 1 then sha256(content_hash) else content_hash end as content_hash) from docs0 where document_id % 7 <> 2),
+{_LINES} select folder, count(*) as files, {_set_digest('line')} as fingerprint from a group by folder""")
+def folder_fingerprint_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sums of all folders, updated by the files that are gone or changed alone."""
+    docs, i = corpus.documents(spark, sf_dir), F.col("document_id")
+    held = corpus.durable(dg.sums(rel.fingerprint_lines(docs), "folder"))
+    edited = docs.where((i % 5 == 1) & (i % 7 != 2)).withColumn("content_hash", F.sha2("content_hash", 256))
+    gone = rel.fingerprint_lines(docs.where((i % 7 == 2) | (i % 5 == 1)))
+    now = dg.updated(held, "folder", gone, rel.fingerprint_lines(edited))
+    return dg.digests(now).select("folder", F.col("n").alias("files"), F.col("digest").alias("fingerprint"))
+
+
+@query(f"""with {DOCS}, one as (select parent as folder, source, {_set_digest("path || '|' || content_hash")} as digest from docs group by parent, source),
+two as (select source as folder, {_set_digest("folder || '|' || digest")} as digest from one group by source)
+select folder, digest from one union all select folder, digest from two union all select '.', {_set_digest("folder || '|' || digest")} from two""")
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.tree_digest(corpus.documents(spark, sf_dir))
 
@@ -594,7 +649,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
 
 
-@query("""with e as (select conv_id, turn, left(text, 12) as excerpt, role from conversations), o as (select *, row_number() over (partition by conv_id, role, excerpt order by turn) as n from e),
+@query("""with o as (select conv_id, turn, left(text, 12) as excerpt, role, row_number() over (partition by conv_id, role, text order by turn) as n from conversations),
 p as (select conv_id, role, excerpt, turn, row_number() over (partition by conv_id order by turn) as place from o where n = 1) select conv_id, role, excerpt, turn, place::int as place from p where place <= 3""")
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
@@ -652,8 +707,8 @@ def bibtex_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DOCS} select document_id, modified_at, name, source, row_number() over (partition by source order by modified_at, name)::int as place from docs")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source").orderBy("modified_at", "name"))
-    return corpus.documents(spark, sf_dir).select("document_id", "modified_at", "name", "source", place.alias("place"))
+    rows = corpus.documents(spark, sf_dir).select("document_id", "modified_at", "name", "source")
+    return accumulated(rows, ["modified_at", "name"], "place", within=["source"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"""with {DOCS}, kids as (select parent as folder, path from docs where document_id % 50 <> 7 union all select 'x', 'x/' || document_id from docs where document_id % 100 = 0),
@@ -739,14 +794,14 @@ def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from folioscope.sources.sinks import VersionedTables
-    from folioscope.streaming.changes import change_feed, snapshot_stream
+    from folioscope.streaming.changes import announce, announced_stream, change_feed
 
     root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     old, new = corpus.snapshots(spark, sf_dir)
-    new = new.withColumn("document_id", F.abs(F.hash("path")).cast("long") + 10_000_000)
+    new = new.withColumn("document_id", F.xxhash64("path"))
     for generation, rows in enumerate((old, new), 1):
-        rows.select(F.lit(generation).cast("long").alias("generation"), F.col("document_id").cast("long"), "path", "source_kind", F.col("size").cast("long"), F.col("mtime").cast("long"), "content_hash").coalesce(1).write.mode("append").parquet(f"{root}/in")
-        change_feed(snapshot_stream(spark, f"{root}/in"), f"{root}/tables", f"{root}/offsets").awaitTermination()
+        announce(rows.select(F.col("document_id").cast("long"), "path", "source_kind", F.col("size").cast("long"), F.col("mtime").cast("long"), "content_hash"), root, generation)
+        change_feed(announced_stream(spark, root), f"{root}/tables", f"{root}/offsets").awaitTermination()
     return VersionedTables(spark, f"{root}/tables").history("events").select("kind", "path", "previous_path", "generation")
 
 
