@@ -177,8 +177,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     keys = ("doc_id", "source", "size")
     named = [*(F.col(x).alias(f"_{x}") for x in keys), F.xxhash64(*keys).alias("_key")]
     taken = durable(got.groupBy(*keys).agg(F.sum("copies").alias("_k"), F.count(F.lit(1)).alias("_c")).where("_k > 0").select(*named, "_k", "_c"))
-    own = {"_own_id": F.col("doc_id").cast("long"), "_own_source": F.col("source").cast("string"), "_own_size": n_words(F.col("text"))}
-    rows = docs.withColumns(own).withColumn("_own_key", F.xxhash64(*own))
+    own = {"_own_id": F.col("row.doc_id").cast("long"), "_own_source": F.col("row.source").cast("string"), "_own_size": n_words(F.col("row.text"))}
+    # the caller's columns stay in one, so that none can clash with those here
+    rows = docs.select(F.struct("*").alias("row")).withColumns(own).withColumn("_own_key", F.xxhash64(*own))
     same = F.col("_own_key") == F.col("_key")
     for x, y in zip(own, keys):
         same = same & F.col(x).eqNullSafe(F.col(f"_{y}"))
@@ -187,7 +188,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     repeated = taken.where("_c > 1")
     if not repeated.isEmpty():
         # rows alike in the three keys share the copies out as evenly as can be
-        number = F.row_number().over(Window.partitionBy("_own_key", *(f"_{x}" for x in keys)).orderBy(F.xxhash64("text")))
+        number = F.row_number().over(Window.partitionBy("_own_key", *(f"_{x}" for x in keys)).orderBy(F.xxhash64("row.text")))
         shared = F.floor(F.col("_k") / F.col("_c")) + F.when(number <= F.col("_k") % F.col("_c"), 1).otherwise(0)
         each = each.union(met(repeated).withColumn("_copies", shared).where("_copies > 0"))
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

@@ -230,10 +230,12 @@ def one_of_root(docs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame
     # rows that share doc_id and text with no other one, and stay, are sure; the others, and what the sieve takes for one, meet
     doubtful = keys.where("_kept is null or _rows > 1").select(F.xxhash64("doc_id", "hash").alias("_key"), F.col("doc_id").alias("_id"), F.col("hash").alias("_text_hash"), "_kept", "_rows")
     doubtful = durable(doubtful)
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "_hash"))
+    # the caller's columns stay in one, so that none can clash with those here
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.withColumns({"_own_id": F.col("row.doc_id").cast("long"), "_hash": F.xxhash64(F.coalesce("row.text", F.lit("")))}).withColumn("_own", F.xxhash64("_own_id", "_hash"))
     rows = sifted(rows, "_own", sieve(doubtful, "_key"))
-    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash"))
+    same = (F.col("_own") == F.col("_key")) & F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash"))
     met = rows.where("_maybe").join(doubtful.hint("shuffle_hash"), same, "left").where("_key is null or _kept")
     alike = Window.partitionBy("_key", "_id", "_text_hash").orderBy(F.lit(0))
     once = met.where("_rows > 1").withColumn("_number", F.row_number().over(alike)).where("_number = 1")
-    return rows.where("not _maybe").select(*docs.columns).union(met.where("_key is null").select(*docs.columns)).union(once.select(*docs.columns))
+    return rows.where("not _maybe").select("row").union(met.where("_key is null").select("row")).union(once.select("row")).select("row.*")

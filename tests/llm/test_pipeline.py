@@ -67,6 +67,24 @@ def test_stages_on_awkward_rows(spark):
     assert all(stage(spark, again, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_stages_give_back_whole_rows(spark):
+    """Columns named like the stages' own helpers come back with their values and types."""
+    names = "_hash _at _key _k _copies _copy _maybe _own_key _own_id _own_size _c _bit _word _bits _own _text_hash _kept _rows _number row key hash print root x".split()
+    good = " ".join(f"word{i} of a quiet day" for i in range(60))
+    texts = [(1, good, "a"), (2, good, "b"), (2, good, "b"), (3, good + " and more", "a"), (4, "another text " + " ".join(f"t{i}" for i in range(80)), "b"), (5, None, "c"), (None, "short one", None)]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"`{n}` {'string' if i % 3 else 'array<int>'}" for i, n in enumerate(names))
+    docs = spark.createDataFrame([(*t, *(f"{n}{j}" if i % 3 else [j, i] for i, n in enumerate(names))) for j, t in enumerate(texts)], kind)
+    own = {str(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes and out.columns == docs.columns, name
+        rows = [str(r) for r in out.collect()]
+        assert rows and set(rows) <= own, name
+    encoded = corpus_pipeline.encoding(spark, docs, SF)
+    kept = [c for c in encoded.columns if c in names]
+    assert sorted(map(str, encoded.select(*kept).collect())) == sorted(map(str, docs.select(*kept).collect())) and len(kept) == len(names)
+
+
 def test_one_of_each_fingerprint(spark):
     """Operator 9's own choice of rows: one of each component, the least id's."""
     from folioscope.llm import simhash
