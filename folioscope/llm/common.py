@@ -172,8 +172,9 @@ def crc_fold(column: str, folds: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, size: Column, most_size: int) -> DataFrame:
-    """(text, label) of labelled documents outside the held-out fold, whole texts: those of the smallest id hashes, at most
-    `most` of them and as many as have a size of `most_size` together. Texts of over a twentieth of that aren't taken.
+    """(text, label) of labelled documents outside the held-out fold, whole texts: those of the smallest id hashes, `most` of them
+    at most, until they have a size of `most_size` together. The text that reaches it is taken whole. Only a text that alone is
+    larger than `most_size` can't be part of a sample of about that size.
 
     The first bound holds before any text is read: the ids are few, so that the join that fetches the texts broadcasts them.
     Labels that are null or name no document take no part; several labels of a document count as one row each.
@@ -186,10 +187,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.join(F.broadcast(chosen), "doc_id").withColumns({"size": size, "at": F.xxhash64("doc_id", "label", "text")})
-    met = durable(met.where(F.col("size") * 20 <= most_size))
-    order = Window.orderBy(F.xxhash64("doc_id"), "at")  # of the chosen ids alone, without their texts
-    sizes = met.groupBy("doc_id", "at").agg(F.sum("size").alias("size")).withColumn("total", F.sum("size").over(order))
-    return met.join(F.broadcast(sizes.where(F.col("total") <= most_size).select("doc_id", "at")), ["doc_id", "at"]).select("text", "label")
+    met = durable(met.where(F.col("size") <= most_size))
+    order = Window.orderBy(F.xxhash64("doc_id"), "at").rowsBetween(Window.unboundedPreceding, -1)  # of the chosen ids alone, without their texts
+    sizes = met.groupBy("doc_id", "at").agg(F.sum("size").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    return met.join(F.broadcast(sizes.where(F.col("before") < most_size).select("doc_id", "at")), ["doc_id", "at"]).select("text", "label")
 
 
 #: Bytes of a text that are split into words at once.

@@ -49,11 +49,11 @@ def all_stretches(scores):
     return [*all_stretches(scores[:a]), total, *all_stretches(scores[b:])] if total > 0 else []
 
 
-def word_scores(text, lexicon):
+def word_scores(text, lexicon, loss):
     out = []
     for w in re.findall(r"\w+", text.lower()):
         odds = [lexicon.get(f, 0.0) for f in [w, *(w[:n] + "-" for n in (4, 5, 6, 7) if len(w) >= n)]]
-        out.append((max(odds) if max(odds) > 0 else odds[0]) - toxicity.LOSS)
+        out.append((max(odds) if max(odds) > 0 else odds[0]) - loss)
     return out
 
 
@@ -75,9 +75,9 @@ def test_toxicity_is_the_plain_versions(spark):
         if y0 + y1 >= 4 and (z >= 4 and (f[-1] != "-" or len(words[f]) > 1) or z <= -4 and f[-1] != "-"):
             lexicon[f] = odds
     model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    assert model.lexicon == pytest.approx(lexicon) and lexicon
+    assert model.lexicon == pytest.approx(lexicon) and lexicon and model.loss in toxicity.LOSSES
 
-    clean = [word_scores(t, lexicon) for t, y in sample if not y]
+    clean = [word_scores(t, lexicon, model.loss) for t, y in sample if not y]
     flat = [s for x in clean for s in x]
     found = [s for x in clean for s in all_stretches(x)]
     if found:
@@ -85,7 +85,7 @@ def test_toxicity_is_the_plain_versions(spark):
         assert model.k == pytest.approx(len(found) / (len(flat) * math.exp(-model.rate * min(found))))
 
     def evidence(text):
-        scores = word_scores(text, lexicon)
+        scores = word_scores(text, lexicon, model.loss)
         each = [max(0.0, model.rate * s - math.log(max(model.k * len(scores), 1e-9))) for s in all_stretches(scores)]
         return math.log1p(max(each, default=0.0)), math.log1p(sum(each)), 1.0
 
@@ -142,14 +142,42 @@ def test_quality_is_the_plain_versions(spark):
 
 
 def test_sample_bounds_whole_texts(spark):
-    """The bounds choose documents, never parts of them; one that is too long for its share isn't taken."""
+    """The bounds choose documents in the order of their hashes, whole ones whatever their length; the last may pass the bound."""
     from pyspark.sql import functions as F
 
     from folioscope.llm.common import labelled_sample
 
-    docs = spark.createDataFrame([(i, "x" * 10) for i in range(100)] + [(200, "y" * 50), (7, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(200, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
-    some = labelled_sample(docs, labels, "toxic", 4, 2, 1000, F.length("text"), 400).collect()
-    assert {r["text"] for r in some} <= {"x" * 10, ""} and 300 < sum(len(r["text"]) for r in some) <= 400
-    again = labelled_sample(docs.repartition(5), labels, "toxic", 4, 2, 1000, F.length("text"), 400)
-    assert sorted(map(tuple, some)) == sorted(map(tuple, again.collect()))
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(100)] + [(200, "y" * 390), (201, "z" * 401), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(200, 1), (201, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
+    sample = lambda d, most=1000, size=400: labelled_sample(d, labels, "toxic", 4, 2, most, F.length("text"), size).collect()
+    some = sample(docs)
+    total = sum(len(r["text"]) for r in some)
+    assert {r["text"] for r in some} <= {"x" * 10, "y" * 390, ""} and 400 <= total < 400 + 390
+    assert sorted(map(tuple, some)) == sorted(map(tuple, sample(docs.repartition(5))))
+    assert len(sample(docs, 5)) <= 6 and "y" * 390 in {r["text"] for r in sample(docs, size=100_000)}
+
+
+def test_the_loss_is_chosen_in_the_training_rows(spark, monkeypatch):
+    """Labels of the held-out fold change nothing of the model."""
+    from pyspark.sql import functions as F
+
+    from folioscope.llm.common import crc_fold
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(crc_fold("doc_id", 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
+    assert a == b and a.loss in toxicity.LOSSES
+    # a clean text's one doubtful word: with the small loss alone it makes a passage
+    train = [("bad awful words here", 1), ("fine words here", 0)] * 40
+    sample = spark.createDataFrame([(f"{t} n{i}", y) for i, (t, y) in enumerate(train)], "text string, label int")
+    assert toxicity.chosen_loss(sample) in toxicity.LOSSES and toxicity.chosen_loss(sample.where("label = 0")) == toxicity.LOSSES[-1]
+
+
+def test_one_labelled_text_over_any_bound(spark, monkeypatch):
+    """The fits go on without it."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20_000)
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 300)
+    rows = [(i, "awful nasty words\n" * 3 if i % 2 else "quiet fine words\nof a day") for i in range(80)] + [(500, "long line of words\n" * 3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, labels).lexicon and quality.fit(docs, labels).chain is not None
