@@ -75,5 +75,11 @@ def model_cost(rows: DataFrame, per_million: float) -> DataFrame:
 
 def error_code(message: Column) -> Column:
     """The class of a provider's error message."""
-    m = F.lower(message)
-    return F.when(m.rlike(r"\b(401|403)\b|unauthori[sz]ed|forbidden"), "auth").when(m.rlike(r"\b429\b|rate limit"), "rate_limited").when(m.rlike("timed? ?out"), "timeout").when(m.rlike(r"\b5\d\d\b|unavailable"), "provider_unavailable").otherwise("unknown")
+    m, classes = F.lower(message), {
+        "auth": r"\b(401|403)\b|unauthori[sz]ed|forbidden", "quota": r"\b402\b|insufficient|quota", "rate_limited": r"\b429\b|rate limit",
+        "timeout": "timed? ?out", "provider_unavailable": r"\b5\d\d\b|unavailable|connection",
+    }
+    out = F
+    for name, pattern in classes.items():
+        out = out.when(m.rlike(pattern), name)
+    return out.otherwise("unknown")
