@@ -91,7 +91,8 @@ def _string(token: bytes, table: dict[bytes, str] | None) -> str:
         digits = re.sub(rb"\s", b"", token[1:-1])
         raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
     if not table:
-        return raw.decode("cp1252", "replace")
+        wide = len(raw) > 1 and len(raw) % 2 == 0 and not any(raw[::2])  # two bytes a character
+        return raw.decode("utf-16-be" if wide else "cp1252", "replace")
     width = max(map(len, table))
     return "".join(table.get(raw[i : i + width], "") for i in range(0, len(raw), width))
 
@@ -137,11 +138,12 @@ def _pages(objects: dict) -> list[bytes]:
     return out or [head for head, _ in objects.values() if is_page(head)]
 
 
-def page_texts(data: bytes) -> list[str]:
-    """The text of each page."""
+def page_texts(data: bytes, tables: bool = True) -> list[str]:
+    """The text of each page. Without tables, fonts' own ones aren't used: codes are read as they are, for files whose tables are
+    wrong."""
     if not data.lstrip()[:5] == b"%PDF-":
         raise ValueError("parse_failed")
     if re.search(rb"/Encrypt\b", data):
         raise ValueError("encrypted")
     objects = _objects(data)
-    return [_shown(b"\n".join(objects.get(n, (b"", b""))[1] for n in _refs(objects, page, b"Contents")), _fonts(objects, page)) for page in _pages(objects)]
+    return [_shown(b"\n".join(objects.get(n, (b"", b""))[1] for n in _refs(objects, page, b"Contents")), _fonts(objects, page) if tables else {}) for page in _pages(objects)]
