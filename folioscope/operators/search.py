@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.functions.udfs import normalized_text
 from folioscope.operators import grams as gr
 from folioscope.sources.corpus import durable
 
@@ -84,9 +85,14 @@ def all_else_any(hits: DataFrame) -> DataFrame:
     return hits.join(full, "query_id").where("not full or n_matched = n_terms").drop("full")
 
 
+def normalized_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, q) of the queries that have a word."""
+    return durable(queries.select("query_id", normalized_text(F.col("query")).alias("q")).where("q <> ''"))
+
+
 def name_rows(docs: DataFrame) -> DataFrame:
     """(document_id, name, stem, title, path), normalised."""
-    return docs.select("document_id", *(tx.normalized(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "stem", "title", "path")))
+    return docs.select("document_id", *(normalized_text(F.col(c)).alias(c) for c in ("name", "stem", "title", "path")))
 
 
 def name_strings(names: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ REASONS = {"exact name": 0, "name starts with query": 1, "name contains query":
 
 def metadata_hits(docs: DataFrame, queries: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(query_id, document_id, tier, score, reason) by name, title and path, by looking up grams."""
-    q = queries.select("query_id", tx.normalized(F.col("query")).alias("q")).where("q <> ''")
+    q = normalized_queries(queries)
     names, small = durable(name_rows(docs)), F.broadcast if few(q) else lambda d: d
     return metadata_found(names, gr.contained(name_strings(names), "text", q, small), q, small, fuzzy)
 
@@ -137,9 +143,10 @@ def passage_hits(passages: DataFrame, names: DataFrame, queries: DataFrame, limi
     rows = passages.join(names.select("document_id", "name", "path"), "document_id")
     hits = all_else_any(bm25(rows, "passage_id", {"name": 1.0, "path": 1.0, "heading": 1.0, "body": 1.0}, queries))
     top = ranked(hits, [F.desc("bm25"), F.asc("passage_id")], limit, name="place").select("query_id", "passage_id", "bm25")
-    parts = queries.select("query_id", F.split(tx.normalized(F.col("query")), " ").alias("parts"))
-    met = rows.join(top, "passage_id").join(asked(parts), "query_id")
-    holds = lambda c: tx.once(tx.normalized(F.coalesce(c, F.lit(""))), lambda t: F.forall("parts", lambda p: F.contains(t, p)))
+    parts = normalized_queries(queries).select("query_id", F.split("q", " ").alias("parts"))
+    texts = rows.join(top.select("passage_id").distinct(), "passage_id", "left_semi").select("passage_id", "document_id", *(normalized_text(F.col(c)).alias(c) for c in ("heading", "body")))
+    met = texts.join(top, "passage_id").join(asked(parts), "query_id")
+    holds = lambda c: F.forall("parts", lambda p: F.contains(c, p))
     return met.withColumn("x", by_tier(holds("heading"), holds("body"))).where("x is not null").select("query_id", "document_id", "passage_id", "x.tier", (-F.col("bm25")).alias("score"), "x.reason")
 
 

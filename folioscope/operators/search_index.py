@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
+from folioscope.functions.udfs import PLAIN_TEXT, normalized_exactly
 from folioscope.operators import grams as gr
 from folioscope.operators import search as se
 from folioscope.sources.corpus import durable
@@ -166,27 +167,44 @@ class TieredIndex:
     """The tiered search over documents(document_id, name, stem, title, path) and passages(passage_id, document_id, heading, body).
 
     Words of a passage are kept by field as they stand in the lower-cased text; the full-text tokens and the normalised words follow
-    from them. Every distinct word of a generation has its grams, and so have the documents' names, titles and paths."""
+    from them. In a text that exact normalisation may change otherwise the two kinds are kept apart. Every distinct word of
+    a generation has its grams, and so have the documents' names, titles and paths."""
+
+    #: What words begin with: those that give tokens and normalised words, tokens alone, normalised words alone.
+    BOTH, RAW, EXACT = "b", "r", "e"
 
     FIELDS = ("name", "path", "heading", "body")
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.folders = spark, _Folders(spark, root, buckets)
 
+    def _words(self, c: Column) -> Column:
+        """The words of a text, each behind its kind."""
+        pattern = F.lit(r"([\p{L}\p{N}_]+)")
+        marked = lambda words, kind: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+        raw, same = F.regexp_extract_all(F.lower(c), pattern, 1), c.rlike(PLAIN_TEXT)
+        exact = F.filter(F.split(normalized_exactly(F.when(~same, c)), " "), lambda w: w != "")
+        return F.when(same, marked(raw, self.BOTH)).otherwise(F.concat(marked(raw, self.RAW), marked(exact, self.EXACT)))
+
+    def _tokens(self, word: Column) -> Column:
+        """The full-text tokens of a word behind its kind."""
+        return F.when(F.left(word, F.lit(1)) == self.EXACT, F.array().cast("array<string>")).otherwise(tx.fts_tokens(F.substring(word, F.lit(2), F.length(word))))
+
     def refresh(self, docs: DataFrame, passages: DataFrame, removed: DataFrame | None = None) -> int:
         """Adds or replaces documents with all of their passages, and drops those of removed(document_id)."""
         docs = docs.select("document_id", "name", "stem", "title", "path")
         rows = passages.select("passage_id", "document_id", "heading", "body").join(docs.select("document_id", "name", "path"), "document_id")
-        words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-        split = durable(rows.select("passage_id", "document_id", *(words(F.col(f)).alias(f) for f in self.FIELDS)))
+        split = durable(rows.select("passage_id", "document_id", *(self._words(F.coalesce(f, F.lit(""))).alias(f) for f in self.FIELDS)))
         held = by_field(split, list(self.FIELDS), "word", "passage_id", "document_id")
-        tokens = functools.reduce(Column.__add__, (F.size(F.flatten(F.transform(f, tx.fts_tokens))) for f in self.FIELDS))
+        tokens = functools.reduce(Column.__add__, (F.size(F.flatten(F.transform(f, self._tokens))) for f in self.FIELDS))
         lengths = split.select("passage_id", "document_id", tokens.cast("int").alias("dl"))
         new = split.select(F.explode(F.array_distinct(F.concat(*self.FIELDS))).alias("word")).distinct()
-        by_word = gr.postings(new.withColumn("text", tx.folded(F.col("word"))), "text").select("gram", "word", "text")
+        kind, word = F.left("word", F.lit(1)), F.expr("substring(word, 2)")
+        held_text = new.withColumn("text", F.when(kind == self.BOTH, tx.folded(word)).when(kind == self.EXACT, word).otherwise(""))
+        by_word = gr.postings(held_text, "text").select("gram", "word", "text")
         names = se.name_rows(docs)
         by_name = gr.postings(se.name_strings(names), "text").select("gram", "document_id", "field", "text", "stem")
-        by_token = new.select("word", F.explode(F.array_distinct(tx.fts_tokens(F.col("word")))).alias("term"))
+        by_token = new.select("word", F.explode(F.array_distinct(self._tokens(F.col("word")))).alias("term"))
         known = names.join(docs.select("document_id", F.col("name").alias("shown")), "document_id").withColumn("live", F.lit(True))
         return self.folders.commit(
             {"documents": known.unionByName(dead(removed, "document_id", known)), "passages": lengths},
@@ -206,14 +224,14 @@ class TieredIndex:
         stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
         terms = se.query_terms(queries)
         by_term = self.folders.of_terms("tokens", "term", terms, small).select("term", "word").distinct()
-        parts = queries.select("query_id", F.explode(F.array_distinct(F.split(tx.normalized(F.col("query")), " "))).alias("q")).where("q <> ''")
+        parts = durable(se.normalized_queries(queries).select("query_id", F.explode(F.array_distinct(F.split("q", " "))).alias("q")))
         of_part = parts.select(F.col("q").alias("query_id"), "q").distinct()
         by_part = self._contained("word_grams", of_part, small).select(F.col("q").alias("part"), "word").distinct()
         by_term, by_part = durable(by_term), durable(by_part)
         words = by_term.select("word").union(by_part.select("word"))
         found = durable(self.folders.of_terms("words", "word", words, lambda d: d).join(lengths, ["passage_id", "document_id", "version"]))
         # a word may hold a token twice, and several words the same one
-        times = F.size(F.filter(tx.fts_tokens(F.col("word")), lambda t: t == F.col("term")))
+        times = F.size(F.filter(self._tokens(F.col("word")), lambda t: t == F.col("term")))
         f = F.aggregate("counts", F.lit(0), lambda a, x: a + x) * times
         tf = found.join(by_term, "word").groupBy("passage_id", "dl", "term").agg(F.sum(f).cast("double").alias("f"))
         hits = se.all_else_any(se.bm25_of(tf, "passage_id", stats, terms, small))
@@ -229,7 +247,7 @@ class TieredIndex:
         """What search.search_tiered gives for the documents that the index holds."""
         live = durable(self.folders.latest("documents", "document_id"))
         small = F.broadcast if se.few(queries) else lambda d: d
-        q = queries.select("query_id", tx.normalized(F.col("query")).alias("q")).where("q <> ''")
+        q = se.normalized_queries(queries)
         parts = self._contained("name_grams", q, small).join(live.select("document_id", "version"), ["document_id", "version"])
         named = se.metadata_found(live, parts, q, small, fuzzy)
         return se.tiered(named, self.passage_hits(live.select("document_id", "version"), queries), live.select("document_id", F.col("shown").alias("name")), k)

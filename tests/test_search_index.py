@@ -67,6 +67,23 @@ def test_tiers_from_the_index(spark, tmp_path):
     assert "CartesianProduct" not in plan and "body" not in plan
 
 
+def test_exact_normalisation_in_search(spark, tmp_path):
+    """Full-width letters, ligatures, combining marks and final sigmas are found in either spelling, in texts and in the index."""
+    docs = spark.createDataFrame([(1, "ｒｅｐｏｒｔ.txt", "ｒｅｐｏｒｔ", "ﬁnal ΟΔΟΣ", "a/x.txt"), (2, "n.txt", "n", "plain", "a/n.txt"), (3, "m.txt", "m", "t", "a/m.txt")], "document_id long, name string, stem string, title string, path string")
+    texts = [("1:0", 1, "οδος", "budget ﬁnal ②"), ("2:0", 2, "Budget", "the final cafe\u0301 budget and ΟΔΟΣ"), ("3:0", 3, "budget", "ｆｉｎａｌ budget café")]
+    passages = spark.createDataFrame(texts, "passage_id string, document_id long, heading string, body string")
+    asked = spark.createDataFrame([(1, "report"), (2, "budget final"), (3, "ΟΔΟΣ"), (4, "budget café"), (5, "budget 2"), (6, "ＲＥＰＯＲＴ"), (7, "οδος")], "query_id long, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = TieredIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.refresh(docs, passages)
+    got = rows(se.search_tiered(docs, passages, asked))
+    assert rows(index.search(asked)) == got
+    tiers = {(q, d): (t, reason) for q, _, d, _, t, _, reason, _ in got}
+    assert tiers[1, 1] == tiers[6, 1] == (0, "exact name") and tiers[3, 1][0] == tiers[7, 1][0] == 2
+    assert {d for q, d in tiers if q == 2} == {2} | {d for d, body in ((1, "budget ﬁnal"), (3, "ｆｉｎａｌ budget")) if (2, d) in tiers}
+    assert tiers[4, 3] == (3, "text holds all parts") and tiers[7, 2][0] == 3
+
+
 def test_weighted_ranker_from_the_index(spark, tmp_path):
     kind = "document_id long, node_type string, status string, quality_flags array<string>, modified_at string, source string, name string, path string, summary string, keyword string, evidence string, body string, truncated boolean"
     rows = [(i, ["text", "foldernode"][i % 2], ["current", "stale", "failed"][i % 3], ["f"] * (i % 3), "2024", "s", f"plan-{i}.txt", f"a/plan-{i}.txt", "annual budget" if i % 2 else "Harbour", "en s", "v1.2-x", ["annual budget plan", "harbour 微分", "plan of plan-3.txt"][i % 3], i == 3) for i in range(12)]

@@ -111,3 +111,17 @@ def test_chunks_by_rule():
         assert udfs.chunks(text, target, overlap) == [w for w in want if w]
     assert udfs.chunks("  ") == [] and udfs.chunks("one\ntwo") == ["one\ntwo"]
     assert [len(c) for c in udfs.chunks("x" * 4000)] == [1600, 1600, 1160]
+
+
+def test_exact_normalisation_goes_to_python_only_where_needed(spark):
+    """Equal to normalize_unicode() on every character of the blocks and on mixtures; plain texts don't leave the JVM."""
+    r = random.Random(3)
+    chars = [chr(i) for a, b in udfs.BLOCKS for i in range(a, b + 1)] + list("ﬁ①½ΣςİſŉĲµªº²℡㎏\u0301\u3099\u1100\u1161ǅẞＡｂ０")
+    texts = ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)] + ["".join(r.choice(chars) for _ in range(30)) for _ in range(2000)] + ["ΟΔΟΣ οδος ΣΑΣ", "Straße STRASSE", "", None]
+    plain = ["".join(r.choice([c for c in chars[:1000] if udfs.plain(c)]) for _ in range(20)) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts + plain], "t string").select("t", udfs.normalized_text(F.col("t")).alias("n"), tx.normalized(F.col("t")).alias("jvm"), F.col("t").rlike(udfs.PLAIN_TEXT).alias("plain")).collect()
+    for x in rows:
+        assert x["n"] == udfs.normalize_unicode(x["t"]), x["t"]
+        assert not x["plain"] or x["jvm"] == x["n"]
+    assert all(x["plain"] for x in rows[len(texts) :]) and sum(bool(x["plain"]) for x in rows[: len(chars) // 40]) > 500
+    assert [bool(x["plain"]) for x in rows if x["t"] in ("ΟΔΟΣ οδος ΣΑΣ", "Straße STRASSE")] == [False, True]
