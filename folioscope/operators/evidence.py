@@ -78,6 +78,26 @@ def update_plan(docs: DataFrame, events: DataFrame) -> DataFrame:
     return one(todo, "read").unionByName(one(folders, "roll_up")).unionByName(one(events.where("kind = 'deleted'"), "drop"))
 
 
+#: Extensions whose files are read as text, without a model.
+PLAIN = (".txt", ".md", ".markdown", ".rst", ".log")
+
+
+def update_lists(docs: DataFrame, events: DataFrame, plain: tuple[str, ...] = PLAIN) -> DataFrame:
+    """(action, path): what an update would do to each path: text files to read, other files to describe, folders to roll up,
+    files to drop. docs are the files known before, events(kind, path)."""
+    todo = events.where("kind in ('added', 'modified', 'moved')").select("path")
+    reads = todo.select(F.when(tx.extension(F.col("path")).isin(*plain), "read_text").otherwise("describe").alias("action"), "path")
+    folders = events.select(F.explode(tx.ancestors(F.col("path"))).alias("path")).distinct().select(F.lit("roll_up").alias("action"), "path")
+    gone = events.where("kind = 'deleted'").select("path").join(docs.select("path").distinct(), "path", "left_semi")
+    return reads.unionByName(folders).unionByName(gone.select(F.lit("drop").alias("action"), "path")).distinct()
+
+
+def estimated_calls(lists: DataFrame, model: bool = True) -> DataFrame:
+    """(action, paths, calls) of update_lists(): a call for each file to describe and each folder, none without a model."""
+    calls = F.when(F.col("action").isin("describe", "roll_up") & F.lit(model), F.col("paths")).otherwise(F.lit(0).cast("long"))
+    return lists.groupBy("action").agg(F.count(F.lit(1)).alias("paths")).select("action", "paths", calls.alias("calls"))
+
+
 # Activation
 
 

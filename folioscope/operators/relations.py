@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators import digests as dg
+from folioscope.operators import grams as gr
 from folioscope.operators.numbering import accumulated
-from folioscope.operators.search import asked
+from folioscope.operators.search import asked, few
+from folioscope.sources.corpus import durable
 
 # Filters and lookups
 
@@ -326,6 +328,55 @@ def filename_order(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "document_id", score.alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "path")).alias("rank"))
 
 
+def filename_ranks(docs: DataFrame, queries: DataFrame, judged: DataFrame) -> DataFrame:
+    """(query_id, document_id, rank) of judged(query_id, document_id): the places that filename_order gives them, without ordering
+    all documents for each query. Only documents whose names share a term with a query, or hold it, are listed for it; the others
+    follow by path, of which each document's place is known."""
+    names = durable(accumulated(docs.select("document_id", "path", F.lower("name").alias("name"), tx.search_terms(F.col("name")).alias("t")), ["path"], "place"))
+    q = durable(queries.select("query_id", F.lower("query").alias("q"), tx.search_terms(F.col("query")).alias("t")))
+    small = F.broadcast if few(q) else lambda d: d
+    by_term = names.select("document_id", F.explode("t").alias("term")).join(small(q.select("query_id", F.explode("t").alias("term"))), "term")
+    by_name = gr.contained(names.select("document_id", "name"), "name", q.select("query_id", "q"), small)
+    hits = by_term.select("query_id", "document_id", F.lit(1).alias("score")).union(by_name.select("query_id", "document_id", F.lit(100)))
+    hits = durable(hits.groupBy("query_id", "document_id").agg(F.sum("score").alias("score")).join(names.select("document_id", "place"), "document_id"))
+    own = judged.select("query_id", "document_id").distinct().join(names.select("document_id", "place"), "document_id")
+    own = own.join(hits.select("query_id", "document_id", "score"), ["query_id", "document_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    other = hits.select("query_id", F.col("place").alias("p"), F.col("score").alias("s"))
+    ahead = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("p") < F.col("place")))
+    met = own.join(other, "query_id", "left").groupBy("query_id", "document_id", "place", "score")
+    met = met.agg(F.count("p").alias("n"), F.count_if(ahead).alias("ahead"), F.count_if(F.col("p") < F.col("place")).alias("before"))
+    return met.select("query_id", "document_id", F.when(F.col("score") > 0, F.col("ahead") + 1).otherwise(F.col("n") + F.col("place") - F.col("before")).alias("rank"))
+
+
+# The least share of tasks with a right document among the first five, the least mean reciprocal rank, and by how much
+# of the names' steps a search must save.
+TOP5, MRR, REDUCTION = 0.80, 0.65, 0.30
+
+
+def evaluated(tasks: DataFrame) -> DataFrame:
+    """(task_id, search_rank, baseline_rank, top5_hit, reciprocal_rank, steps_saved, failure) of tasks(task_id, search_rank,
+    baseline_rank, explained, n_documents): the best places of a right document, null if the search didn't find one, which counts
+    as one place after all documents. Explained says that the found one came with its place, target, match and evidence."""
+    rank = F.col("search_rank")
+    hit, steps = F.coalesce(rank <= 5, F.lit(False)), F.coalesce(rank, F.col("n_documents") + 1)
+    failure = F.when(~hit, "relevant_document_not_in_top5").when(~F.coalesce("explained", F.lit(False)), "explanation_contract_failed")
+    return tasks.select(
+        "task_id", "search_rank", "baseline_rank", "explained", hit.alias("top5_hit"), F.coalesce(1 / rank, F.lit(0.0)).alias("reciprocal_rank"),
+        steps.alias("search_steps"), (F.col("baseline_rank") - steps).alias("steps_saved"), failure.alias("failure"),
+    )
+
+
+def search_gate(tasks: DataFrame, top5: float = TOP5, mrr: float = MRR, reduction: float = REDUCTION) -> DataFrame:
+    """One row over evaluated(): the figures, how many tasks failed, and whether all thresholds are met."""
+    unexplained = ~F.coalesce("explained", F.lit(False))
+    sums = tasks.agg(
+        F.count(F.lit(1)).alias("tasks"), F.avg(F.col("top5_hit").cast("double")).alias("top5"), F.avg("reciprocal_rank").alias("mrr"), F.count_if(~F.col("top5_hit")).alias("failures"),
+        (1 - F.sum("search_steps") / F.greatest(F.lit(1), F.sum("baseline_rank"))).alias("reduction"), F.count_if(unexplained).alias("unexplained"),
+    )
+    meets = (F.col("top5") >= top5) & (F.col("mrr") >= mrr) & (F.col("reduction") >= reduction) & (F.col("unexplained") == 0)
+    return sums.select("tasks", F.round("top5", 6).alias("top5"), F.round("mrr", 6).alias("mrr"), "failures", F.round("reduction", 6).alias("reduction"), "unexplained", F.coalesce(meets, F.lit(False)).alias("meets"))
+
+
 def step_reduction(steps: DataFrame) -> DataFrame:
     """steps(search_steps, baseline_steps): one less their quotient of sums."""
     return steps.agg(F.sum("search_steps").alias("search_steps"), F.sum("baseline_steps").alias("baseline_steps"), F.round(1 - F.sum("search_steps") / F.sum("baseline_steps"), 6).alias("reduction"))

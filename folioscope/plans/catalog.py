@@ -520,12 +520,13 @@ def affected_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the second snapshot that have new ids, except every third of the old ones."""
     _, new = corpus.snapshots(spark, sf_dir)
-    return new.select((F.abs(F.hash("path")).cast("long") + 10_000_000).alias("document_id"), "path", "content_hash")
+    old = F.regexp_extract("path", r"doc-(\d+)", 1).cast("long")
+    return new.select(F.when(old % 3 == 0, old).otherwise(F.xxhash64("path")).alias("document_id"), "path", "content_hash")
 
 
-_MATCH = f"""{DOCS}, {SNAPSHOTS}, {ITEMS}, up as (select path, content_hash, count(*) over (partition by path) as np, count(*) over (partition by content_hash) as nh from new_s),
-m as (select i.*, b.path as b_path, b.content_hash as b_hash, c.path as c_path, c.content_hash as c_hash from items i left join (select * from up where np = 1) b on i.path = b.path left join (select * from up where nh = 1) c on i.content_hash = c.content_hash),
-f as (select task_id, item_id, review_state, content_hash, case when b_path is not null then 'path' when c_path is not null then 'hash' else 'none' end as found_by, coalesce(b_hash, c_hash) as h from m),
+_MATCH = f"""{DOCS}, {SNAPSHOTS}, {ITEMS}, up as (select path, content_hash, case when regexp_extract(path, 'doc-(\\d+)', 1)::bigint % 3 = 0 then regexp_extract(path, 'doc-(\\d+)', 1)::bigint end as kept_id, count(*) over (partition by path) as np, count(*) over (partition by content_hash) as nh from new_s),
+m as (select i.*, a.path as a_path, a.content_hash as a_hash, b.path as b_path, b.content_hash as b_hash, c.path as c_path, c.content_hash as c_hash from items i left join up a on a.kept_id = i.document_id left join (select * from up where np = 1) b on i.path = b.path left join (select * from up where nh = 1) c on i.content_hash = c.content_hash),
+f as (select task_id, item_id, review_state, content_hash, case when a_path is not null then 'id' when b_path is not null then 'path' when c_path is not null then 'hash' else 'none' end as found_by, coalesce(a_hash, b_hash, c_hash) as h from m),
 g as (select *, case when found_by = 'none' then 'missing' when content_hash is null then 'unverified' when h = content_hash then 'current' else 'changed' end as freshness from f)"""
 
 
@@ -599,6 +600,45 @@ def filename_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.filename_order(docs, asked).where("rank <= 20")
 
 
+_JUDGED = f"""{DOCS}, {asked_sql(3)}, {terms_sql()}, {bm25_sql('docs', 'document_id', {'title': 1, 'body': 1})},
+r as (select query_id, row_number() over (partition by query_id order by bm25 desc, document_id) as rank, document_id from scored qualify rank <= 10),
+right_ as (select query_id, document_id from scored join docs using (document_id) join benchmark b on b.item_id = query_id where n_matched = n_terms and contains(body, b.text)),
+nm as (select query_id, document_id, len(list_intersect(list_distinct(string_split({_norm('name')}, ' ')), list_distinct(string_split({_norm('query')}, ' ')))) + case when contains(lower(name), lower(query)) then 100 else 0 end as score, path from docs, asked),
+no_ as (select query_id, document_id, row_number() over (partition by query_id order by score desc, path) as place from nm),
+tasks as (select query_id as task_id, min(rank) as search_rank, min(place) as baseline_rank, bool_or(rank is not null and (status <> 'stale' or document_id % 13 = 0)) as explained
+    from right_ join no_ using (query_id, document_id) left join r using (query_id, document_id) join docs using (document_id) group by query_id),
+ev as (select *, coalesce(search_rank <= 5, false) as top5_hit, coalesce(1.0::double / search_rank, 0) as reciprocal_rank, coalesce(search_rank, (select count(*) from docs) + 1) as search_steps from tasks)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item asks by its first long words; documents that hold these and the whole item are right. A result is explained
+    if it has a path, an excerpt, and, where its index entry is stale, the flag that says so."""
+    docs = corpus.documents(spark, sf_dir)
+    items = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    asked = corpus.queries(spark, sf_dir)
+    hits = corpus.durable(se.bm25(docs, "document_id", {"title": 1.0, "body": 1.0}, asked))
+    full = hits.where("n_matched = n_terms").select("query_id", "document_id").join(items, "query_id")
+    right = corpus.durable(full.join(docs.select("document_id", "body", "path", "status"), "document_id").where(F.contains("body", F.col("item"))).withColumn(
+        "whole", (F.col("path") != "") & (tx.excerpt(F.col("body"), F.col("item")) != "") & ((F.col("status") != "stale") | (F.col("document_id") % 13 == 0))).select("query_id", "document_id", "whole"))
+    top = se.ranked(hits, [F.desc("bm25"), F.asc("document_id")], 10).select("query_id", "document_id", F.col("rank").alias("search_rank"))
+    places = rel.filename_ranks(docs, asked, right)
+    met = right.join(places, ["query_id", "document_id"]).join(top, ["query_id", "document_id"], "left")
+    tasks = met.groupBy(F.col("query_id").alias("task_id")).agg(F.min("search_rank").alias("search_rank"), F.min("rank").alias("baseline_rank"), F.max(F.col("search_rank").isNotNull() & F.col("whole")).alias("explained"))
+    return rel.evaluated(tasks.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_documents")))))
+
+
+@query(f"""with {_JUDGED} select task_id, search_rank::int as search_rank, baseline_rank, explained, top5_hit, round(reciprocal_rank, 6) as reciprocal_rank, search_steps, baseline_rank - search_steps as steps_saved,
+case when not top5_hit then 'relevant_document_not_in_top5' when not explained then 'explanation_contract_failed' end as failure from ev""")
+def search_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
+
+
+@query(f"""with {_JUDGED}, g as (select count(*) as tasks, avg(top5_hit::int) as top5, avg(reciprocal_rank) as mrr, count(*) filter (not top5_hit) as failures, 1 - sum(search_steps)::double / greatest(1, sum(baseline_rank)) as reduction, count(*) filter (not explained) as unexplained from ev)
+select tasks, round(top5, 6) as top5, round(mrr, 6) as mrr, failures, round(reduction, 6) as reduction, unexplained, top5 >= 0.8 and mrr >= 0.65 and reduction >= 0.3 and unexplained = 0 as meets from g""")
+def search_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.search_gate(_evaluated(spark, sf_dir))
+
+
 @query("select sum(doc_id % 5 + 1)::bigint as search_steps, sum(doc_id % 40 + 1)::bigint as baseline_steps, round(1 - sum(doc_id % 5 + 1)::double / sum(doc_id % 40 + 1), 6) as reduction from documents")
 def step_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
@@ -931,6 +971,28 @@ def update_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.update_plan(corpus.documents(spark, sf_dir), rel.diff(*corpus.snapshots(spark, sf_dir)))
 
 
+_PLAN_LISTS = f"""{DOCS}, {SNAPSHOTS}, {DIFF}, c2 as (select kind, case when document_id % 4 = 1 then replace(path, '.txt', '.pdf') else path end as path from (select kind, path, regexp_extract(path, 'doc-(\\d+)', 1)::bigint as document_id from changes)),
+parts as (select string_split(path, '/') as s from c2), f as (select distinct array_to_string(s[:k], '/') as folder from parts, (select unnest(range(1, 6)) as k) where k < len(s) union select '.'),
+lists as (select distinct case when ends_with(path, '.txt') then 'read_text' else 'describe' end as action, path from c2 where kind in ('added', 'modified', 'moved') union all select 'roll_up', folder from f
+union all select 'drop', path from c2 where kind = 'deleted' and path in (select case when document_id % 4 = 1 then replace(path, '.txt', '.pdf') else path end from docs))"""
+
+
+def _plan_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes between the two snapshots, a fourth of the files being PDF files."""
+    kind = lambda d: d.withColumn("path", F.when(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 4 == 1, F.replace("path", F.lit(".txt"), F.lit(".pdf"))).otherwise(F.col("path")))
+    return ev.update_lists(kind(corpus.documents(spark, sf_dir).select("path")), kind(rel.diff(*corpus.snapshots(spark, sf_dir)).select("kind", "path")))
+
+
+@query(f"with {_PLAN_LISTS} select action, path from lists")
+def update_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_lists(spark, sf_dir)
+
+
+@query(f"with {_PLAN_LISTS} select action, count(*) as paths, case when action in ('describe', 'roll_up') then count(*) else 0 end as calls from lists group by action")
+def estimated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.estimated_calls(_plan_lists(spark, sf_dir))
+
+
 @query("""with s as (select case when event_id % 3 = 0 then 'abandoned' else 'completed' end as outcome, case when event_id % 3 = 0 then 'e' || (event_id % 4) end as error_code, value * 10000 as duration_ms from events)
 select 'sessions' as metric, count(*)::double as value from s union all select 'completion_rate', round(avg((outcome = 'completed')::int), 6) from s union all select 'within_limit_rate', round(avg((outcome = 'completed' and duration_ms <= 600000)::int), 6) from s
 union all select 'outcome:' || outcome, count(*)::double from s group by outcome union all select 'error_code:' || error_code, count(*)::double from s where error_code is not null group by error_code""")
@@ -1046,6 +1108,32 @@ def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_cost(corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")), 0.5)
 
 
+def _rehearsed(system: str, payload: str, most_output: int, key: str) -> tuple[str, int, int]:
+    """A stand-in for a service: the first call of some prompts fails, the answer to others needs a repair."""
+    import json
+
+    from folioscope.operators.calls import REPAIR
+
+    if system == REPAIR:
+        return json.loads(payload)["invalid_json"] + "}", 10, 10
+    if key[0] in "01" and key.endswith("-0"):
+        raise ConnectionError("connection reset")
+    return '{"chars": %d' % len(payload) + ("" if key[0] in "ef" else "}"), len(payload) // 4, 10
+
+
+@query(r"""with p as (select doc_id, length(text) as n, left(sha256('rehearsal' || chr(31) || '1' || chr(31) || 'Say how long the text is.' || chr(31) || text), 1) as h from documents)
+select doc_id as ask_id, 'ok' as status, '{"chars": ' || n || '}' as content, case when h in ('0', '1', 'e', 'f') then 2 else 1 end::bigint as calls, case when h in ('e', 'f') then 1 else 0 end as repairs from p""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for every document, called again after a failure, repaired where it isn't JSON, by a stand-in for the service."""
+    import uuid
+
+    from folioscope.operators.calls import Calls, Policy
+
+    asks = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ask_id"), F.lit("summary").alias("purpose"), F.lit("Say how long the text is.").alias("system"), F.col("text").alias("payload"))
+    policy = Policy(model="rehearsal", most_calls=1 << 40, per_round=1 << 40, per_task=2_000)
+    return Calls(spark, f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}", _rehearsed, policy, lambda s: None).complete(asks)
+
+
 @query(f"""with {DOCS}, n as (select document_id as node_id, path, node_type, case document_id % 90 when 0 then document_id + 1000000 when 7 then document_id + 1 when 8 then document_id - 1 end as needs from docs),
 x as (select path, document_id + case when document_id % 44 = 1 then 1 else 0 end as node_id, document_id % 38 <> 0 as header_ok from docs where node_type <> 'text' and document_id % 30 <> 0 union all select 'lost/' || document_id, document_id, true from docs where document_id % 99 = 0),
 r as (select path, document_id % 77 = 0 as generated from docs where document_id % 61 <> 0), leaf as (select * from n where node_type in ('leaf', 'foldernode')), m as (select leaf.path, leaf.node_id, x.node_id as w, header_ok from leaf join x using (path))
