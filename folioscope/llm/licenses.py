@@ -1,13 +1,14 @@
 """License scans by a positional rare-token index.
 
 The index has a template's words with their places, for templates of two kinds: base phrases, which count wherever their words
-stand consecutively, and passages of well-known licences, which may be worded a little differently. Inverse document
-frequencies of all template words come from one pass over the whole corpus. A file's licence words are looked up in the order
-of these frequencies, the rarest first, until each template that the file may hold (it has all words of the template's key
+stand consecutively, and passages and whole texts of well-known licences, which may be worded a little differently. Inverse
+document frequencies of all template words come from one pass over the whole corpus. A file's licence words are looked up in the
+order of these frequencies, the rarest first, until each template that the file may hold (it has all words of the template's key
 phrase) has its anchors: the rarest of its words in this file. Their places, less their places in the template, give where it
-could start; a start stays if the anchors agree on it (for passages: AGREE of them, SLACK words off at most). There a base phrase is verified word by word,
-and a passage by its mandatory key phrase, which must stand near its place; its coverage is the share of the passage's
-words that stand where they should.
+could start; a start stays if the anchors agree on it (for passages: AGREE of their places, SLACK words off at most). There a base
+phrase is verified word by word, and a passage by its mandatory key phrase, which must stand near its place, and its coverage, the
+share of the passage's words that stand where they should. A passage has as many anchors that one with enough coverage can't be
+missed, whichever of its words are changed.
 
 Nulls count as empty texts: no words, no labels. Repeated rows each give a row; an empty table gives none (and all
 frequencies zero, ties in rarity going to the earlier word of the template).
@@ -44,8 +45,49 @@ PASSAGES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived all copyright"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Words of a passage that a file is searched for, its rarest, how many must agree on a start, and how far its words may have moved.
-LOOKED_UP, AGREE, SLACK, LEAST_COVERAGE = 4, 2, 2, 0.6
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors"
+_LIABLE = "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_3 = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+#: Whole texts of public licences, and the notices that whole licences ask for (label, words, mandatory key phrase).
+TEXTS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _AS_IS + " or copyright holders " + _LIABLE, "deal in the software without restriction"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "the author disclaims all warranties"),
+    ("bsd-2", _BSD + _BSD_END, "redistributions in binary form must reproduce"),
+    ("bsd-3", _BSD + _BSD_3 + _BSD_END, "neither the name of the copyright holder"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution", "origin of this software must not be misrepresented"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license", "except in compliance with the license"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses", "either version 3 of the license"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "either version 2 of the license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+        "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law " + _AS_IS + " " + _LIABLE, "dedicate any and all copyright interest"),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software "
+        "and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following", "use reproduce display distribute execute"),
+)
+#: Looked-up places of a passage that must agree on a start, how far its words may have moved, and the least share in place.
+AGREE, SLACK, LEAST_COVERAGE = 2, 2, 0.6
 
 _WORD = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum())
 #: A-Z to lower case, all bytes that belong to no word to spaces.
@@ -67,7 +109,7 @@ class Template:
 class Index:
     """Postings (template, places) of each template word, and the words' order by inverse document frequency, highest first."""
 
-    def __init__(self, frequency: dict[bytes, int], n_docs: int, base: dict[str, str] = BASE, passages=PASSAGES):
+    def __init__(self, frequency: dict[bytes, int], n_docs: int, base: dict[str, str] = BASE, passages=(*PASSAGES, *TEXTS)):
         self.templates = [Template(label, words_of(p), words_of(p), True) for p, label in base.items()]
         self.templates += [Template(label, words_of(p), words_of(k), False) for label, p, k in passages]
         self.postings: dict[bytes, list[tuple[int, list[int]]]] = {}
@@ -84,11 +126,18 @@ class Index:
         possible = {n for n, key in enumerate(self.keys) if key <= present}
         if not possible:
             return [], []
+        # a passage that is there has LEAST_COVERAGE of its words in place, so of one place more than may be wrong one is right
+        wrong = {n: math.floor(len(self.templates[n].words) * (1 - LEAST_COVERAGE) + 1e-9) for n in possible}
+        absent = {n: sum(w not in present for w in self.templates[n].words) for n in possible}
+        possible = {n for n in possible if absent[n] <= wrong[n]}
+        wanted = {n: 2 if self.templates[n].base else wrong[n] - absent[n] + AGREE for n in possible}
         anchors: dict[int, list[tuple[bytes, list[int]]]] = {n: [] for n in possible}
+        held = dict.fromkeys(possible, 0)
         for w in sorted(present, key=self.order.__getitem__):  # the file's licence words, the rarest first
             for n, places in self.postings[w]:
-                if n in possible and len(anchors[n]) < (2 if self.templates[n].base else LOOKED_UP):
+                if n in possible and held[n] < wanted[n]:
                     anchors[n].append((w, places))
+                    held[n] += 1 if self.templates[n].base else len(places)
         where: dict[bytes, list[int]] = {w: [] for own in anchors.values() for w, _ in own}
         for i, w in enumerate(words):
             if w in where:
@@ -96,25 +145,26 @@ class Index:
         base, found = [], []
         for n in sorted(possible):
             t = self.templates[n]
-            starts = [{i - p for i in where[w] for p in places} for w, places in anchors[n]]
             if t.base:
+                starts = [{i - p for i in where[w] for p in places} for w, places in anchors[n]]
                 base += [(s, t.label) for s in set.intersection(*starts) if s >= 0 and words[s : s + len(t.words)] == t.words]
-            else:
-                votes: dict[int, int] = {}
-                for own in starts:
-                    for s in {s + d for s in own for d in range(-SLACK, SLACK + 1)}:
+                continue
+            votes: dict[int, int] = {}
+            for w, places in anchors[n]:
+                for p in places:
+                    for s in {i - p + d for i in where[w] for d in range(-SLACK, SLACK + 1)}:
                         votes[s] = votes.get(s, 0) + 1
-                done = -len(t.words)
-                close: list[int] = []  # starts that the same passage may have given
-                for s in [*sorted(s for s, n_ in votes.items() if n_ >= AGREE), None]:
-                    if close and (s is None or s - close[0] > 2 * SLACK):
-                        best = max(close, key=lambda x: (self._in_place(words, t, x), -x))
-                        close = []
-                        if best - done >= len(t.words) and self._key_near(words, t, best) and (c := self._coverage(words, t, best)) >= LEAST_COVERAGE:
-                            found.append((max(best, 0), t.label, c))
-                            done = best
-                    if s is not None:
-                        close.append(s)
+            fits = [(s, c) for s in sorted(s for s, v in votes.items() if v >= AGREE) if self._key_near(words, t, s) and (c := self._coverage(words, t, s)) >= LEAST_COVERAGE]
+            done, close = -len(t.words), []  # close: starts that the same passage may have given
+            for s, c in [*fits, (None, 0.0)]:
+                if close and (s is None or s - close[0][0] > 2 * SLACK):
+                    best = max(close, key=lambda x: (self._in_place(words, t, x[0]), -x[0]))
+                    close = []
+                    if best[0] - done >= len(t.words):
+                        found.append((max(best[0], 0), t.label, best[1]))
+                        done = best[0]
+                if s is not None:
+                    close.append((s, c))
         return sorted(base), sorted(found)
 
     @staticmethod
@@ -151,7 +201,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, passages) of docs(doc_id, text)."""
-    vocabulary = frozenset(w for p in [*BASE, *(p for _, p, _ in PASSAGES)] for w in words_of(p))
+    vocabulary = frozenset(w for p in [*BASE, *(p for _, p, _ in (*PASSAGES, *TEXTS))] for w in words_of(p))
     frequency, n_docs = document_frequencies(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

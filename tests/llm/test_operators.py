@@ -229,6 +229,54 @@ def test_licences(spark):
     assert got[1]["labels"] == "apache-2.0" and got[4]["labels"] == "mit" and got[5]["labels"] == ""
 
 
+def labels_of_all_starts(words):
+    """The labels of all passages that some start gives enough coverage and a key phrase near, every start tried."""
+    out = set()
+    for label, passage, key in (*licenses.PASSAGES, *licenses.TEXTS):
+        want, key = [w.encode() for w in passage.split()], [w.encode() for w in key.split()]
+        keys = [i for i in range(len(words)) if words[i : i + len(key)] == key]
+        for s in range(-len(want), len(words)) if keys else ():
+            near = any(max(0, s - 2) <= i and i + len(key) <= s + len(want) + 2 for i in keys)
+            if near and sum(w in words[max(0, s + i - 2) : max(0, s + i + 3)] for i, w in enumerate(want)) >= 0.6 * len(want) - 1e-9:
+                out.add(label)
+                break
+    return out
+
+
+def test_licence_labels_are_those_of_all_starts():
+    """Whole texts and passages with words changed, dropped, doubled and moved, against a search through every start."""
+    r = random.Random(11)
+    common = {w: 900 for _, p, _ in licenses.TEXTS for w in licenses.words_of(p)} | {b"sublicense": 2, b"relinquishment": 1, b"misrepresented": 3}
+    index, kept = licenses.Index(common, 1000), 0
+    for _ in range(220):
+        words = []
+        for _ in range(r.randrange(1, 3)):
+            words += ["filler"] * r.randrange(9)
+            _, passage, key = r.choice((*licenses.PASSAGES, *licenses.TEXTS))
+            own, loss = passage.split(), r.choice([0, 0.02, 0.2, 0.38, 0.42])
+            at = [i for i in range(len(own)) if own[i : i + len(key.split())] == key.split()][0]
+            for i in range(len(own)):
+                if not at <= i < at + len(key.split()) and r.random() < loss:
+                    own[i] = r.choice(["filler", "the", "software"])
+            if r.random() < 0.3:
+                own.insert(r.randrange(len(own)), "more")
+            words += own
+        words = [w.encode() for w in words]
+        got = {label for _, label, _ in index.scan(words)[1]}
+        assert got == labels_of_all_starts(words)
+        kept += bool(got)
+    assert 100 < kept < 220
+
+
+def test_whole_licence_texts(spark):
+    """Each whole text is found by its label, with all of its words in place."""
+    texts = ["words before. " + p.capitalize() + " and after" for _, p, _ in licenses.TEXTS]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    for i, (label, passage, _) in enumerate(licenses.TEXTS):
+        assert len(passage.split()) >= 60 and label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+        assert (2, label, 1.0) in [(x["start"], x["label"], x["coverage"]) for x in got[i]["passages"]]
+
+
 @pytest.mark.parametrize(("label", "passage", "key"), licenses.PASSAGES)
 def test_every_licence_passage(label, passage, key):
     """Found as it is, in capitals, between punctuation and with a word changed; not by its key phrase or its words alone."""
@@ -271,9 +319,31 @@ def test_media_round_trip(spark):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["caption"] == f"{len(t or '')} characters" and r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest()
+        # a page has the text's paragraphs in order, and the picture between them
+        assert (r["n_parts"], r["pos"]) == ((2, 1) if data else (1, 0)) and r["text_sha256"] == hashlib.sha256(data).hexdigest()
     assert got[3]["feature"] == got[6]["feature"]
 
 
+def test_references_stay_beside_their_texts(spark):
+    """Several paragraphs: the position, what stands before and after the reference, and all texts in order."""
+    r = random.Random(2)
+    texts = ["".join(r.choice(["word ", "<b>&amp;", "\n", "é\r\n", "  \n\n", "x" * 50]) for _ in range(r.randrange(900))) for _ in range(40)] + ["\n" * 9_000, "long" * 5_000]
+    got = {x["doc_id"]: x for x in media.document_media(documents(spark, texts)).collect()}
+    several = 0
+    for i, t in enumerate(texts):
+        parts, x = media.paragraphs(t), got[i]
+        assert "".join(parts) == t
+        if t.strip():
+            assert all(p.strip() for p in parts) and max(map(len, parts)) <= 3 * 2_000
+            middle = (len(parts) + 1) // 2
+            assert (x["pos"], x["n_parts"], x["text_sha256"]) == (middle, len(parts) + 1, hashlib.sha256(t.encode()).hexdigest())
+            assert x["before"] == parts[middle - 1][-40:] and x["after"] == (parts[middle][:40] if middle < len(parts) else "")
+            several += len(parts) > 2
+    assert several > 10
+    refs = media.shown_in(media.parse_page('<p>one</p><img src="media:a" alt="A">two<img src="media:b"><img src="media:c">'))
+    assert [x[:5] for x in refs] == [(1, "a", "A", "one", "two"), (3, "b", None, "two", ""), (4, "c", None, "", "")]
+
+
 def test_interleaved_pages(spark):
     page = '<h1>T</h1><p>one &lt;b&gt;</p><figure><img src="media:d1" alt="old"><figcaption>cap</figcaption></figure><p>two</p><img src="media:d2" alt="alt"><script>no</script>tail'
     parts = media.parse_page(page)
@@ -436,4 +506,4 @@ def test_texts_are_pictured_once(spark):
 
 
 def test_queries_run(spark):
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
