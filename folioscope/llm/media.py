@@ -140,15 +140,12 @@ PARTS = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text",
 PARTS_SQL = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
 
 
-def sequences(pages: DataFrame, with_text: bool = True) -> DataFrame:
-    """(id, parts) of pages(id, html). Without text, the text parts keep only their positions: what a media join needs."""
+def sequences(pages: DataFrame) -> DataFrame:
+    """(id, parts) of pages(id, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in doc_slices(batches):
-            parts = [parse_page(t) for t in texts]
-            if not with_text:
-                parts = [[{**p, "text": None} for p in ps] for ps in parts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(parts, PARTS)], ["id", "parts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([parse_page(t) for t in texts], PARTS)], ["id", "parts"])
 
     pages = pages.select(F.col("id").cast("long").alias("id"), "html")
     return sized_batches(pages).mapInArrow(run, f"id long, parts {PARTS_SQL}")
@@ -168,21 +165,58 @@ def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
     return met.unionByName(refs.where("digest is null"), allowMissingColumns=True)
 
 
+#: Characters of a paragraph that pages_of() makes, about, and of what is kept of the text beside a reference.
+PARAGRAPH, BESIDE = 2_000, 40
+
+
+def paragraphs(text: str, size: int = PARAGRAPH) -> list[str]:
+    """A text in parts of about that size that end with a line where they can, none of them blank, unless the text is."""
+    out, start = [], 0
+    while start < len(text):
+        end = text.find("\n", start + size) + 1 or len(text)
+        end = min(end, start + 2 * size)
+        if out and not text[start:end].strip():
+            out[-1] += text[start:end]
+        elif out and not out[-1].strip():
+            out[-1] += text[start:end]
+        else:
+            out.append(text[start:end])
+        start = end
+    return out
+
+
 def page_of(text: str, digest: str) -> str:
-    """A page that shows a text and, below it, the text's picture with a caption."""
-    caption = f"{len(text)} characters"
-    return f'<html><body><p>{html.escape(text)}</p><figure><img src="media:{digest}"><figcaption>{caption}</figcaption></figure></body></html>'
+    """A page that shows a text in paragraphs and, between them, the whole text's picture with a caption."""
+    caption, parts = f"{len(text)} characters", [f"<p>{html.escape(x)}</p>" for x in paragraphs(text)]
+    middle = (len(parts) + 1) // 2
+    figure = f'<figure><img src="media:{digest}"><figcaption>{caption}</figcaption></figure>'
+    return f"<html><body>{''.join(parts[:middle])}{figure}{''.join(parts[middle:])}</body></html>"
+
+
+SHOWN = "id long, pos int, digest string, caption string, before string, after string, n_parts int, text_sha256 string"
+
+
+def shown_in(parts: list[dict]) -> list[tuple]:
+    """(pos, digest, caption, before, after, n_parts, text_sha256) of each reference of a page: the text that stands right before
+    and after it, and of the page the number of parts and the digest of its texts in order."""
+    texts = [p["text"] or "" for p in parts]
+    digest = hashlib.sha256("".join(texts).encode()).hexdigest()
+    beside = lambda i: texts[i] if 0 <= i < len(parts) else ""
+    return [(p["pos"], p["digest"], p["caption"], beside(i - 1)[-BESIDE:], beside(i + 1)[:BESIDE], len(parts), digest) for i, p in enumerate(parts) if p["kind"] == "media"]
 
 
-def pages_of(docs: DataFrame) -> DataFrame:
-    """(id, html) of docs(doc_id, text): a page for each text, which refers to the text's picture by digest."""
+def shown_pictures(docs: DataFrame) -> DataFrame:
+    """SHOWN of docs(doc_id, text): each text is made a page that refers to the text's picture by digest, the page is parsed, and
+    its references are given with what stands beside them. Pages don't leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        names = [c.split()[0] for c in SHOWN.split(", ")]
         for ids, texts in doc_slices(batches):
-            pages = [page_of(t, hashlib.sha256(payload_of(t)).hexdigest()) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pages, pa.string())], ["id", "html"])
+            rows = [(i, *r) for i, t in enumerate(texts) for r in shown_in(parse_page(page_of(t, hashlib.sha256(payload_of(t)).hexdigest())))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1))], names)
 
-    return id_and_text(docs).mapInArrow(run, "id long, html string")
+    return id_and_text(docs).mapInArrow(run, SHOWN)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -229,8 +263,9 @@ def read_back(store: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, SEEN, pos, caption) of every text of docs(doc_id, text): shown as a picture in a page, the picture stored,
-    resolved by digest and read back. Narrow rows meet in the join, not pictures."""
+    """(doc_id, SEEN, pos, caption, before, after, n_parts, text_sha256) of every text of docs(doc_id, text): shown as a picture
+    between its paragraphs in a page, the picture stored, resolved by digest and read back. Narrow rows meet in the join, not
+    pictures nor texts."""
     seen = read_back(stored(pictures_of(docs), "media-store"))
-    shown = resolve(durable(references(sequences(pages_of(docs), with_text=False))), seen)
-    return shown.select(F.col("id").alias("doc_id"), *SEEN, "pos", "caption")
+    shown = resolve(durable(shown_pictures(docs)), seen)
+    return shown.select(F.col("id").alias("doc_id"), *SEEN, "pos", "caption", "before", "after", "n_parts", "text_sha256")
