@@ -806,7 +806,8 @@ def research_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.research(asked, one)
 
 
-@query()
+@query(f"""with {DOCS} select 'box-' || (document_id // 40) || '.zip' as container_path, 'box-' || (document_id // 40) || '.zip!/' || name as path, 1 as archive_depth,
+octet_length(encode(body)) as size, sha256(body) as content_hash, null::varchar as error_code from docs""")
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed forty to an archive on the executors, and the archives' members."""
     import io
