@@ -392,6 +392,28 @@ def test_neighbours(spark):
     assert hit / (20 * len(by)) >= 0.9
 
 
+def test_pruned_search_finds_most():
+    """50,000 even directions in 64 dimensions, the hardest case: a query looks into a share of the leaves and sees two thirds of the
+    vectors, and still finds nine in ten of its twenty nearest."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = ann.grow(x[:32_768], len(x), 1.0)
+    leaves, asked = forest.leaves(x), np.arange(0, 50_000, 500)
+    probes = max(ann.LEAST_PROBES, int(np.ceil(ann.SHARE * ann.TREES * 2**forest.height)))
+    assert probes < ann.TREES * 2**forest.height / 4
+    found, seen = [], []
+    for i, own in zip(asked, forest.probe(x[asked], probes)):
+        looked = np.zeros((ann.TREES, 2**forest.height), bool)
+        looked[tuple(np.array(own).T)] = True
+        met = looked[np.arange(ann.TREES), leaves].any(1)
+        scores = x @ x[i]
+        scores[i] = -2
+        found.append(met[np.argsort(-scores)[:20]].mean())
+        seen.append(met.mean())
+    assert np.mean(found) >= 0.9 and np.mean(seen) < 0.7
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 3)]
