@@ -86,9 +86,8 @@ def evidence_excerpt(text: Column, terms: Column, limit: int = 240, lead: int =
 
 
 def heading(text: Column, limit: int = 200) -> Column:
-    """The first line that isn't blank."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.left(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.lit(limit))
+    """The first line that isn't blank; what follows it isn't looked at."""
+    return F.left(F.trim(F.coalesce(F.regexp_extract(text, r"\A[ \n]*([^\n]*)", 1), F.lit(""))), F.lit(limit))
 
 
 def readability_label(score: Column) -> Column:

@@ -190,6 +190,11 @@ class TieredIndex:
         """The full-text tokens of a word behind its kind."""
         return F.when(F.left(word, F.lit(1)) == self.EXACT, F.array().cast("array<string>")).otherwise(tx.fts_tokens(F.substring(word, F.lit(2), F.length(word))))
 
+    def _normalised(self, word: Column) -> Column:
+        """The normalised word of a word behind its kind, empty where it isn't one."""
+        own = F.substring(word, F.lit(2), F.length(word))
+        return F.when(F.left(word, F.lit(1)) == self.BOTH, tx.folded(own)).when(F.left(word, F.lit(1)) == self.EXACT, own).otherwise("")
+
     def refresh(self, docs: DataFrame, passages: DataFrame, removed: DataFrame | None = None) -> int:
         """Adds or replaces documents with all of their passages, and drops those of removed(document_id)."""
         docs = docs.select("document_id", "name", "stem", "title", "path")
@@ -199,11 +204,9 @@ class TieredIndex:
         tokens = functools.reduce(Column.__add__, (F.size(F.flatten(F.transform(f, self._tokens))) for f in self.FIELDS))
         lengths = split.select("passage_id", "document_id", tokens.cast("int").alias("dl"))
         new = split.select(F.explode(F.array_distinct(F.concat(*self.FIELDS))).alias("word")).distinct()
-        kind, word = F.left("word", F.lit(1)), F.expr("substring(word, 2)")
-        held_text = new.withColumn("text", F.when(kind == self.BOTH, tx.folded(word)).when(kind == self.EXACT, word).otherwise(""))
-        by_word = gr.postings(held_text, "text").select("gram", "word", "text")
+        by_word = gr.postings(new.withColumn("text", self._normalised(F.col("word"))), "text").select("gram", "word")
         names = se.name_rows(docs)
-        by_name = gr.postings(se.name_strings(names), "text").select("gram", "document_id", "field", "text", "stem")
+        by_name = gr.postings(se.name_strings(names), "text").select("gram", "document_id", "field")
         by_token = new.select("word", F.explode(F.array_distinct(self._tokens(F.col("word")))).alias("term"))
         known = names.join(docs.select("document_id", F.col("name").alias("shown")), "document_id").withColumn("live", F.lit(True))
         return self.folders.commit(
@@ -211,11 +214,10 @@ class TieredIndex:
             {"words": (held, "word", "passage_id"), "word_grams": (by_word, "gram", "word"), "tokens": (by_token, "term", "word"), "name_grams": (by_name, "gram", "document_id")},
         )
 
-    def _contained(self, table: str, q: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Rows of a table of grams, of all generations, whose text contains q(query_id, q)."""
+    def _looked_up(self, table: str, q: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of a table of grams, of all generations, that q(query_id, q) is to be compared with."""
         wanted = q.where("q <> ''").select(F.explode(gr.own_grams(F.col("q"))).alias("gram"))
-        held = self.folders.of_terms(table, "gram", wanted, small)
-        return gr.looked_up(held, q, small).where(F.contains("text", F.col("q")))
+        return gr.looked_up(self.folders.of_terms(table, "gram", wanted, small), q, small)
 
     def passage_hits(self, live: DataFrame, queries: DataFrame, limit: int = se.PASSAGE_LIMIT) -> DataFrame:
         """What search.passage_hits gives, of the live(document_id, version) documents."""
@@ -226,7 +228,8 @@ class TieredIndex:
         by_term = self.folders.of_terms("tokens", "term", terms, small).select("term", "word").distinct()
         parts = durable(se.normalized_queries(queries).select("query_id", F.explode(F.array_distinct(F.split("q", " "))).alias("q")))
         of_part = parts.select(F.col("q").alias("query_id"), "q").distinct()
-        by_part = self._contained("word_grams", of_part, small).select(F.col("q").alias("part"), "word").distinct()
+        by_part = self._looked_up("word_grams", of_part, small).where(F.contains(self._normalised(F.col("word")), F.col("q")))
+        by_part = by_part.select(F.col("q").alias("part"), "word").distinct()
         by_term, by_part = durable(by_term), durable(by_part)
         words = by_term.select("word").union(by_part.select("word"))
         found = durable(self.folders.of_terms("words", "word", words, lambda d: d).join(lengths, ["passage_id", "document_id", "version"]))
@@ -248,6 +251,7 @@ class TieredIndex:
         live = durable(self.folders.latest("documents", "document_id"))
         small = F.broadcast if se.few(queries) else lambda d: d
         q = se.normalized_queries(queries)
-        parts = self._contained("name_grams", q, small).join(live.select("document_id", "version"), ["document_id", "version"])
+        strings = se.name_strings(live).join(live.select("document_id", "version"), "document_id")
+        parts = self._looked_up("name_grams", q, small).join(strings, ["document_id", "version", "field"]).where(F.contains("text", F.col("q")))
         named = se.metadata_found(live, parts, q, small, fuzzy)
         return se.tiered(named, self.passage_hits(live.select("document_id", "version"), queries), live.select("document_id", F.col("shown").alias("name")), k)
