@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,12 @@ class Odds(dict):
 
     def __init__(self, model: ToxicModel):
         self.model = model
+        self.begins = ahocorasick.Automaton()  # what a word that can begin a passage has in it
+        for feature, odds in model.lexicon.items():
+            if odds > model.loss:
+                self.begins.add_word(feature.removesuffix("-"), 1)
+        if len(self.begins):
+            self.begins.make_automaton()
 
     def __missing__(self, word: str) -> float:
         if len(self) >= MEMORY:
@@ -104,6 +111,14 @@ class ToxicModel:
         """The segments of a text whose words have these log-odds."""
         return segments(odds - self.loss) if odds.max(initial=0.0) > self.loss else []
 
+    def scanned(self, text: str, memory: Odds) -> tuple[int, list[tuple[int, int, float]]]:
+        """passages(), but a text in which no word can begin a passage isn't split into words, and has 0 of them here: their number
+        counts beside a passage alone."""
+        low = text.lower()
+        if not len(memory.begins) or next(memory.begins.iter(low), None) is None:
+            return 0, []
+        return self.passages(low, memory)
+
     def passages(self, text: str, memory: dict[str, float] | None = None) -> tuple[int, list[tuple[int, int, float]]]:
         """(number of words, segments)."""
         odds = (memory if isinstance(memory, Odds) else Odds(self)).of(text)
@@ -271,7 +286,7 @@ def score_texts(docs: DataFrame, model: ToxicModel) -> DataFrame:
         memory = Odds(model)
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64())]))
         for ids, texts in doc_slices(batches):
-            rows = [model.passages(t, memory) for t in texts]
+            rows = [model.scanned(t, memory) for t in texts]
             found = [[{"first_word": a, "last_word": b, "score": s} for (a, b, s), e in zip(p, model.significance(n, p)) if e > 0] for n, p in rows]
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "score": pa.array([model.score(n, p) for n, p in rows], pa.float64()), "passages": pa.array(found, kind)})
 
@@ -294,6 +309,6 @@ def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
         memory = Odds(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(*model.passages(t or "", memory)) < THRESHOLD for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([model.score(*model.scanned(t or "", memory)) < THRESHOLD for t in texts], pa.bool_()))
 
     return sized_batches(docs).mapInArrow(run, docs.schema)

@@ -181,3 +181,38 @@ def test_one_labelled_text_over_any_bound(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels).lexicon and quality.fit(docs, labels).chain is not None
+
+
+def test_texts_without_a_beginning_are_skipped(spark):
+    """The scan that passes over clean texts gives the same scores as the one that splits every text."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    memory = toxicity.Odds(model)
+    texts = [r["text"] or "" for r in rows_of(spark, "documents")] + ["", "ΑΣ İ"] + [f.removesuffix("-").upper() + " x" for f in model.lexicon] + ["x" + f.removesuffix("-") for f in model.lexicon]
+    skipped = 0
+    for t in texts:
+        n, found = model.passages(t, memory)
+        m, own = model.scanned(t, memory)
+        assert own == found and model.score(n, found) == model.score(m, own) and (m == n or not own)
+        skipped += m != n
+    assert skipped > len(texts) / 4 and toxicity.ToxicModel({}, 1.0, 1.0, [0.0, 0.0, 0.0]).scanned("a b", toxicity.Odds(toxicity.ToxicModel({}, 1.0, 1.0, []))) == (0, [])
+
+
+def test_batches_are_one_size_for_all(spark):
+    """Building one operator doesn't change how another one's plan, built before, runs."""
+    from folioscope.llm import common
+
+    docs = spark.range(20).selectExpr("id doc_id", "'a' text")
+    sizes = lambda: [spark.conf.get(f"spark.sql.execution.arrow.{c}") for c in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    common.id_and_text(docs)
+    before = sizes()
+    from folioscope.llm.bpe import encode_decode, with_ids
+    from folioscope.llm.queries import tokenizer_file
+
+    for made in (encode_decode, with_ids):
+        made(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), r"\S+")
+        assert sizes() == before
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (3, 4, 5, 1)]
+    assert [b.num_rows for b in common.joined(iter(batches), 8, 1 << 20)] == [7, 6] and [b.num_rows for b in common.joined(iter(batches), 100, 1)] == [3, 4, 5, 1]
