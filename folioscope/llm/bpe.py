@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import alone, doc_batches, id_and_text, sized_batches, trim
+from folioscope.llm.common import alone, doc_batches, id_and_text, joined, sized_batches, trim
 
 #: Bytes of text that are coded together, beside one document. A batch's words are coded once each.
 AT_ONCE = 4 << 20
@@ -244,11 +244,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     @alone("bpe", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
-        for batch in doc_batches(batches, AT_ONCE):
+        for batch in doc_batches(joined(batches, 4_000, AT_ONCE), AT_ONCE):  # a query of many words costs less than many queries
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **_digests(own.code(_texts(batch.column(1))))})
 
-    rows = sized_batches(id_and_text(docs), 4_000, AT_ONCE)  # a query of many words costs less than many queries
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _texts(column: pa.Array) -> pa.Array:
@@ -271,7 +270,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     @alone("bpe", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
-        for batch in doc_batches(batches, AT_ONCE_BESIDE, -1):
+        for batch in doc_batches(joined(batches, 2_000, AT_ONCE_BESIDE), AT_ONCE_BESIDE, -1):
             texts = _texts(batch.column(batch.num_columns - 1))
             coded = own.code(texts)
             if coded[2].tobytes() != "".join(texts.to_pylist()).encode():
@@ -281,4 +280,4 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return sized_batches(rows, 2_000, AT_ONCE_BESIDE).mapInArrow(run, schema)
+    return sized_batches(rows).mapInArrow(run, schema)

@@ -33,14 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> DataFrame:
-    """Sets how many rows and bytes go to a Python worker at once."""
+#: Rows and bytes that go to a Python worker at once: one setting for all operators, so that it doesn't matter in which order plans
+#: are built and run. What wants more at once gathers batches in the worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def sized_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to so many rows or bytes, about."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Words of 64 bits that a sieve has at most: what bounds the table that is broadcast.
 SIEVE_WORDS = 1 << 18
 
