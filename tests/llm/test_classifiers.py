@@ -188,7 +188,7 @@ def test_texts_without_a_beginning_are_skipped(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(docs, labels)
     memory = toxicity.Odds(model)
-    texts = [r["text"] or "" for r in rows_of(spark, "documents")] + ["", "ΑΣ İ"] + [f.removesuffix("-").upper() + " x" for f in model.lexicon] + ["x" + f.removesuffix("-") for f in model.lexicon]
+    texts = [r["text"] or "" for r in rows_of(spark, "documents")] + ["", "ΑΣ İ"] + [f.removesuffix("-").upper() + " x" for f in model.lexicon] + ["x" + f.removesuffix("-") for f in model.lexicon] + [f"😀{f.removesuffix('-')}x _{f.removesuffix('-')}" for f in model.lexicon]
     skipped = 0
     for t in texts:
         n, found = model.passages(t, memory)
