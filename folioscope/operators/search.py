@@ -58,12 +58,13 @@ def frequencies(split: DataFrame, key: str, fields: dict[str, float], terms: Dat
 
 
 def bm25_of(tf: DataFrame, key: str, stats: DataFrame, terms: DataFrame, small=lambda d: d) -> DataFrame:
-    """(query_id, key, n_terms, n_matched, bm25) of frequencies() of the queries' terms and stats(n_rows, avgdl)."""
+    """(query_id, key, n_terms, n_matched, bm25) of frequencies() of the queries' terms and stats(n_rows, avgdl). Gains are added up
+    as decimals, so that the order in which they come changes no score: rows alike in their terms tie exactly."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     gain = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = tf.join(small(df), "term").crossJoin(F.broadcast(stats)).select(key, "term", gain.alias("gain"))
-    return weighed.join(small(terms), "term").groupBy("query_id", key).agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("n_matched"), F.sum("gain").alias("bm25"))
+    return weighed.join(small(terms), "term").groupBy("query_id", key).agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("n_matched"), F.sum(F.col("gain").cast("decimal(28,18)")).cast("double").alias("bm25"))
 
 
 def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, tokens=tx.fts_tokens) -> DataFrame:
