@@ -105,8 +105,9 @@ def estimate(docs: DataFrame, costs: dict[str, tuple[float, float]], other: tupl
 
 
 def top_keywords(texts: DataFrame, key: str, body: str, stop: tuple[str, ...], k: int = 8) -> DataFrame:
-    """Most frequent words of three letters or more; of equally frequent ones, those seen first."""
-    words = texts.select(key, F.posexplode(F.regexp_extract_all(F.lower(body), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("at", "word"))
+    """Most frequent words of three letters or more; of equally frequent ones, those seen first. The texts are dealt by key before
+    they are split, so that their words aren't shuffled."""
+    words = texts.select(key, body).repartition(key).select(key, F.posexplode(F.regexp_extract_all(F.lower(body), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("at", "word"))
     counted = words.where((F.length("word") >= 3) & ~F.col("word").isin(*stop)).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", place).where(F.col("rank") <= k).select(key, "rank", "word", "n")
@@ -411,11 +412,19 @@ def study_summary(rows: DataFrame) -> DataFrame:
     return counts.join(at, "condition", "left").select("condition", "attempts", "successes", "rate", p50, F.round("p95", 6).alias("p95"))
 
 
+#: Rows that a task of study_assignment() sorts, about.
+ASSIGNED = 500_000
+
+
 def study_assignment(participants: DataFrame, tasks: DataFrame) -> DataFrame:
     """All tasks of each participant in a hashed order, conditions alternating from a hashed start. Every participant has every
-    task, so there are as many rows; each participant's are sorted by themselves."""
-    met = participants.select("participant_id").crossJoin(tasks.select("task_id"))
-    order = F.sha2(F.concat_ws(":", F.col("participant_id").cast("string"), F.col("task_id").cast("string")), 256)
+    task, so there are as many rows; each participant's are sorted by themselves. The participants are dealt out before they meet
+    the tasks, so that, where the tasks are few enough to send them to all executors, only participants are shuffled."""
+    tasks = tasks.select("task_id")
+    parts = max(participants.sparkSession.sparkContext.defaultParallelism, -(-participants.count() * tasks.count() // ASSIGNED))
+    dealt = participants.select("participant_id").repartition(min(parts, 20_000), "participant_id")
+    met = dealt.crossJoin(F.broadcast(tasks) if few(tasks.select(F.col("task_id").alias("query_id"))) else tasks)
+    order = F.unhex(F.sha2(F.concat_ws(":", F.col("participant_id").cast("string"), F.col("task_id").cast("string")), 256))
     placed = met.withColumn("place", F.row_number().over(Window.partitionBy("participant_id").orderBy(order, "task_id")))
     start = F.conv(F.substring(F.sha2(F.col("participant_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
     return placed.select("participant_id", "task_id", "place", F.when(F.pmod(F.col("place") + start, F.lit(2)) == 0, "search").otherwise("baseline").alias("condition"))
