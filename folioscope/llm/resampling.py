@@ -1,8 +1,8 @@
 """Importance resampling towards a target distribution, from a sparse matrix of hashed feature counts.
 
 A text's words (A-Z in lower case; runs of digits, letters and what isn't ASCII) and runs of several words fall into buckets by
-crc32. The counts of documents by buckets are kept once, as a Parquet table of CSR blocks: a block is some thousand documents with
-row pointers, bucket numbers and counts. Column sums of the blocks are the documents' distribution, those of the target texts the
+crc32. The counts of documents by buckets are kept once, as a Parquet table of CSR blocks: a block is some documents with row
+pointers, bucket numbers and counts. Blocks and row groups are small: Spark's reader holds up to 4,096 rows of a row group at once. Column sums of the blocks are the documents' distribution, those of the target texts the
 other; a bucket's gain is the logarithm of their smoothed quotient. A sparse product of each block with the gains gives the
 weights; Gumbel noise from a hash of the id turns the highest scores into a draw without replacement.
 
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import pieces, sliced, stored
+from folioscope.llm.common import pieces, sized_batches, sliced, stored
 from folioscope.operators.numbering import accumulated
 
 BUCKETS, LONGEST, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
 #: Features whose bucket a worker keeps.
 MEMORY = 500_000
+#: Bytes of text in a block, beside one document, and of the blocks in a row group: they bound what a task holds, however much it reads.
+BLOCK_BYTES, ROW_GROUP = 1 << 17, 2 << 20
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BLOCK = "ids array<long>, words array<long>, features array<long>, ptr array<int>, bucket array<int>, count array<long>"
@@ -78,7 +80,7 @@ def blocks(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed(buckets)
-        for batch, data in sliced(batches, 1):
+        for batch, data in sliced(batches, 1, BLOCK_BYTES):
             rows = [counted(d, longest, hashed) for d in data]
             words, features = [n for n, _, _ in rows], [int(c.sum()) for _, _, c in rows]
             ptr = np.append(0, np.cumsum([len(b) for _, b, _ in rows]))
@@ -87,7 +89,7 @@ def blocks(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) ->
             one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c, k)) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(one, ["ids", "words", "features", "ptr", "bucket", "count"])
 
-    return texts.mapInArrow(run, BLOCK)
+    return sized_batches(texts).mapInArrow(run, BLOCK)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -101,7 +103,7 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for bucket, n in matrix.select("bucket", "count").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in sized_batches(matrix.select("bucket", "count")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
     return out
 
@@ -124,7 +126,7 @@ def weighed(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
                 weight = np.where(n > 0, (sums[at[1:]] - sums[at[:-1]]) // np.maximum(n, 1), 0)
                 yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
-    return matrix.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return sized_batches(matrix).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int) -> Column:
@@ -137,7 +139,7 @@ def noise(doc_id: Column, seed: int) -> Column:
 def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST, seed: int = SEED, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every row of docs(doc_id, text): of those with least_words words or more,
     that percentage with the highest scores is drawn and ranked, ties to the smaller id; the others' rank is null."""
-    matrix = stored(blocks(docs.select(F.col("doc_id").cast("long"), "text"), buckets, longest), "resampling-matrix")
+    matrix = stored(blocks(docs.select(F.col("doc_id").cast("long"), "text"), buckets, longest), "resampling-matrix", ROW_GROUP)
     wanted = blocks(target.select(F.lit(None).cast("long"), "text"), buckets, longest)
     scored = weighed(matrix, gains(column_sums(matrix, buckets), column_sums(wanted, buckets)))
     scored = stored(scored.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "resampling-scores")
