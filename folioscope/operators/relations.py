@@ -11,7 +11,8 @@ from folioscope.functions import text as tx
 from folioscope.operators import digests as dg
 from folioscope.operators import grams as gr
 from folioscope.operators.numbering import accumulated
-from folioscope.operators.search import asked, few
+from folioscope.operators.search import asked, few, ranked
+from folioscope.operators.sieves import sieve, sifted
 from folioscope.sources.corpus import durable
 
 # Filters and lookups
@@ -329,6 +330,44 @@ def filename_order(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "document_id", score.alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "path")).alias("rank"))
 
 
+#: Terms of a query, or of a name that shares one with a query, at most, whose sets filename_best() goes through.
+TERMS = 6
+
+
+def filename_best(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first k of filename_order of each query, without comparing it with all names. Of the names that share a set of terms with a
+    query the k first by path are enough, for every set of its terms, the empty one too: what is shared beyond it only leads to a
+    larger set's names. Sets are ranked once for all queries that have them. Names that hold a query are looked up by grams. Queries
+    of many terms are compared with all names."""
+    names = durable(docs.select("document_id", "path", F.lower("name").alias("n"), F.array_sort(tx.search_terms(F.col("name"))).alias("t")))
+    q = durable(queries.select("query_id", "query", F.lower("query").alias("q"), F.array_sort(tx.search_terms(F.col("query"))).alias("qt")))
+    few_terms = q.where(F.size("qt") <= TERMS)
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("s")) - 1)
+    bit = lambda m, i: F.pmod(F.call_function("shiftright", m, i), F.lit(2)) == 1
+    sets = F.transform(masks, lambda m: F.to_json(F.filter("s", lambda x, i: bit(m, i))))
+    own = durable(few_terms.withColumn("s", F.col("qt")).select("query_id", F.explode(sets).alias("of")))
+    small = F.broadcast if few(q) else lambda d: d
+    terms = few_terms.select(F.explode("qt").alias("term")).distinct()
+    # of a name only the terms that queries have; more than TERMS of them are met term by term, which no query has all of
+    asked_terms = names.select("document_id", F.explode_outer("t").alias("term")).join(small(terms.withColumn("asked", F.lit(True))), "term", "left")
+    shared = asked_terms.groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("asked"), F.col("term")))).alias("s"))
+    wanted = own.select("of").distinct()
+    held = names.select("document_id", "path").join(shared, "document_id")
+    sets_of = F.when(F.size("s") <= TERMS, sets).otherwise(F.array(F.lit("[]")))  # of the empty set all names are
+    narrow = held.select("document_id", "path", F.explode(sets_of).alias("of"))
+    narrow = sifted(narrow, "of", sieve(wanted, "of")).where("_maybe").join(wanted, "of", "left_semi").select("document_id", "path", "of")
+    best = ranked(narrow, [F.asc("path"), F.asc("document_id")], k, by="of", name="at").select("of", "document_id")
+    listed = own.join(best, "of").select("query_id", "document_id")
+    wide = held.where(F.size("s") > TERMS).select("document_id", F.explode("s").alias("term")).join(few_terms.select("query_id", F.explode("qt").alias("term")), "term").select("query_id", "document_id")
+    holds = gr.contained(names.select("document_id", F.col("n").alias("name")), "name", few_terms.select("query_id", "q"), small).select("query_id", "document_id")
+    met = listed.union(wide).union(holds).distinct().join(names, "document_id").join(small(few_terms.select("query_id", "q", "qt")), "query_id")
+    score = F.size(F.array_intersect("t", "qt")) + F.when(F.contains("n", F.col("q")), 100).otherwise(0)
+    out = ranked(met.withColumn("score", score), [F.desc("score"), F.asc("path")], k).select("query_id", "document_id", "score", "rank")
+    if (many := q.where(F.size("qt") > TERMS).select("query_id", "query")).isEmpty():
+        return out
+    return out.unionByName(filename_order(docs, many).where(F.col("rank") <= k))
+
+
 def filename_ranks(docs: DataFrame, queries: DataFrame, judged: DataFrame) -> DataFrame:
     """(query_id, document_id, rank) of judged(query_id, document_id): the places that filename_order gives them, without ordering
     all documents for each query. Only documents whose names share a term with a query, or hold it, are listed for it; the others
