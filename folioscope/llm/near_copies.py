@@ -7,8 +7,9 @@ such sets of n shingles have one in common among the first n - ceil(0.8 n) + 1 o
 hash, with shingles that a sample of the texts often has at the end, so that common lines stay out of most prefixes; any order
 gives the same links.
 
-The nodes that fuzzy keys link, and of the nodes of one shingle those with one of them, its lead, are compared first; then, with
-the components that this gives, all pairs that are in different ones. Pairs are left out by size, by what the rest of both sets can still hold and by
+The nodes that fuzzy keys link, and of the nodes of one shingle those with one of them, its lead, are compared first; then, in rounds
+with the components that this gives, of each node and shingle the pairs with the nearest sketches in other ones, so that two large
+components that belong together don't meet in all their pairs; at last all pairs that still are in different ones. Pairs are left out by size, by what the rest of both sets can still hold and by
 sketches: of 512 bits, or as many as the text has shingles, each shingle flips one, and two sets differ in as many shingles at
 least as their bits do. The others are verified on their texts. Links and their components so are those of all pairs.
 
@@ -36,6 +37,8 @@ SIMILAR, OF = 4, 5
 SAMPLED, COMMON, MOST_COMMON = 16, 4, 200_000
 #: Orders in which a shingle's lead may be chosen, and how many pairs of a text go to one task's row group.
 LEADS, ROUTED = 4, 64
+#: How often components meet by their nearest nodes, at most, before all pairs across them are looked at.
+ROUNDS = 2
 PARITIES = [f"x{i}" for i in range(8)]
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,9 +171,9 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "place", "lead", "lead_size", "lead_place"])
 
 
-@alone("near_copies")
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key the pairs of nodes that are in different components."""
+def _met_across(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Of each key the pairs of nodes that are in different components; nearest: of each node outside the key's largest component only
+    the pairs with the nearest sketch, in that component and in all others."""
     for (key, node, size, place, part, *bits), starts in whole_keys(batches):
         bits = np.stack(bits, 1).view(np.uint64)
         for start, end in zip(starts, np.append(starts[1:], len(key))):
@@ -180,17 +183,33 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             largest = which == counts.argmax()
             pairs = []
             for i in np.flatnonzero(~largest):
-                other = (which != which[i]) & (largest | (np.arange(end - start) > i))
+                other = which != which[i]
+                if not nearest:
+                    other &= largest | (np.arange(end - start) > i)
                 other &= can_be(size[start + i], place[start + i], size[start:end], place[start:end])
                 other = start + np.flatnonzero(other)
                 apart = np.bitwise_count(bits[other] ^ bits[start + i]).sum(1, dtype=np.int64)
-                other = other[apart * (SIMILAR + OF) <= (size[other].astype(np.int64) + size[start + i]) * (OF - SIMILAR)]
+                near = apart * (SIMILAR + OF) <= (size[other].astype(np.int64) + size[start + i]) * (OF - SIMILAR)
+                other, apart = other[near], apart[near]
+                if nearest and len(other) > 2:
+                    inside = largest[other - start]
+                    other = np.array([other[at][apart[at].argmin()] for at in (inside, ~inside) if at.any()])
                 a, b = np.full(len(other), node[start + i]), node[other]
                 pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             a, b = np.concatenate(pairs, 1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+@alone("near_copies")
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _met_across(batches, nearest=False)
+
+
+@alone("near_copies")
+def _nearest_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _met_across(batches, nearest=True)
+
+
 @alone("near_copies")
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -258,11 +277,19 @@ def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     near = near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
     led = durable(_verified(near.union(_by_fingerprint(marked)), marked, docs))
     members = durable(groups.select("node").distinct())
-    parted = groups.select("key", "node", "size", "place").join(_parts(members, led), "node")
     sketches = marked.groupBy("node").agg(F.first(F.struct(*PARITIES)).alias("of"))
-    parted = parted.join(sketches, "node").select("key", "node", "size", "place", "root", "of.*")
-    across = parted.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-    links = led.union(_verified(across, marked, docs))
+    drawn = durable(groups.select("key", "node", "size", "place").join(sketches, "node").select("key", "node", "size", "place", "of.*"))
+
+    def parted() -> DataFrame:
+        met = drawn.join(_parts(members, led), "node").select("key", "node", "size", "place", "root", *PARITIES)
+        return met.repartition("key").sortWithinPartitions("key")
+
+    for _ in range(ROUNDS):
+        more = durable(_verified(parted().mapInArrow(_nearest_across, "a long, b long"), marked, docs))
+        if more.isEmpty():
+            break
+        led = durable(led.union(more))
+    links = led.union(_verified(parted().mapInArrow(_across, "a long, b long"), marked, docs))
     return _parts(marked.select("node").distinct(), links)
 
 
