@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.numbering import accumulated
+from folioscope.operators.sieves import sieve, sifted
 from folioscope.plugins import error_code
 from folioscope.sources.corpus import durable
 from folioscope.sources.sinks import VersionedTables
@@ -110,7 +111,9 @@ class Calls:
         p = self.policy
         own = self.log().where(F.col("run") == self.run)
         calls, tokens, written = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0))).first()
-        todo = durable(self._open(prompts).withColumn("tokens", F.greatest(F.lit(1), F.ceil((F.length("system") + F.length("payload")) / 4))))
+        # what is counted, ordered and admitted are rows without texts, which join only what is called
+        sizes = prompts.select("digest", "purpose", F.greatest(F.lit(1), F.ceil((F.length("system") + F.length("payload")) / 4)).alias("tokens"))
+        todo = durable(self._open(sizes))
         if todo.isEmpty():
             return False
         order = ["tried", "digest"]
@@ -128,7 +131,10 @@ class Calls:
             return False
         if tried:
             self.sleeper(min(2.0 ** (tried - 1), p.longest_pause))
-        dealt = admitted.select("digest", "purpose", "system", "payload", "attempts").repartition(-(-n // p.per_task), "digest")
+        parts = -(-n // p.per_task)
+        texts = sifted(prompts.select("digest", "system", "payload"), "digest", sieve(admitted, "digest")).where("_maybe").drop("_maybe").repartition(parts, "digest")
+        called = admitted.select("digest", "purpose", "attempts").repartition(parts, "digest").hint("shuffle_hash")
+        dealt = texts.join(called, "digest").select("digest", "purpose", "system", "payload", "attempts")
         version = self.tables.commit({"calls": dealt.mapInPandas(caller(self.provider, p, self.run), LOG)})
         made = self.tables.read("calls", version).where("message is not null").select(error_code(F.col("message")).alias("error"))
         fatal = made.where(F.col("error").isin(*FATAL)).limit(1).collect()
@@ -151,7 +157,7 @@ class Calls:
             state = self.log().groupBy("digest").agg(
                 F.max_by(F.struct("content", "is_object"), F.when(good, F.col("attempt"))).alias("x"), F.max_by("error", "attempt").alias("error"), F.count(F.lit(1)).alias("calls"),
             )
-            met = durable(open_.join(state, "digest", "left").withColumn("calls", F.col("before") + F.coalesce("calls", F.lit(0))))
+            met = durable(open_.select("ask_id", "digest", "before").join(state, "digest", "left").withColumn("calls", F.col("before") + F.coalesce("calls", F.lit(0))))
             broken = F.col("x.content").isNotNull() & ~F.col("x.is_object")
             more = level < self.policy.repairs
             status = F.when(F.col("x.is_object"), "ok").when(broken, "invalid_output").otherwise(F.coalesce("error", F.lit("not_asked")))
