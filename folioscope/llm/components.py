@@ -1,7 +1,7 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two joins on node keys, with partial aggregation before each shuffle; no node's
-neighbours are ever collected. Its result is written to the shared folder before the next round reads it.
+Every round is two aggregations and two joins on node keys, each pair over one shuffle; no node's neighbours are ever
+collected. Its result is written to the shared folder before the next round reads it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from folioscope.llm.common import durable
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u > v): large-star ties every larger neighbour to the smallest one, small-star every smaller neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    both = both.repartition("u")  # what is grouped and what it's joined to come by the same shuffle
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     linked = both.join(least, "u")
     if large:

@@ -267,6 +267,22 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """parts(node, root) after more links(a, b): only roots are linked anew."""
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    up = connected(more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    up = up.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    return durable(parts.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")))
+
+
+def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows(key, node, size, place) with their roots of parts(node, root), of the keys whose nodes are in several components: later
+    rounds, in which components only grow, look at no other ones, and only these rows get their sketches."""
+    met = rows.select("key", "node", "size", "place").join(parts, "node").repartition("key")
+    several = met.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return met.join(several, "key", "left_semi").select("key", "node", "size", "place", "root")
+
+
 def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, root) of every node of marked(doc_id, hash, node, size, print, sketch, parities)."""
     keyed = _postings(docs, _common(docs)).repartition("key").sortWithinPartitions("key", "node")
@@ -276,21 +292,23 @@ def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     near = groups.where(F.col("node") != F.col("lead")).where(most * (SIMILAR + OF) >= (F.col("size") + F.col("lead_size")) * SIMILAR)
     near = near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
     led = durable(_verified(near.union(_by_fingerprint(marked)), marked, docs))
-    members = durable(groups.select("node").distinct())
     sketches = marked.groupBy("node").agg(F.first(F.struct(*PARITIES)).alias("of"))
-    drawn = durable(groups.select("key", "node", "size", "place").join(sketches, "node").select("key", "node", "size", "place", "of.*"))
+    left = groups.select("key", "node", "size", "place")
 
-    def parted() -> DataFrame:
-        met = drawn.join(_parts(members, led), "node").select("key", "node", "size", "place", "root", *PARITIES)
+    def drawn(left: DataFrame) -> DataFrame:
+        met = left.join(sketches, "node").select("key", "node", "size", "place", "root", "of.*")
         return met.repartition("key").sortWithinPartitions("key")
 
+    parts = durable(_parts(marked.select("node").distinct(), led))
     for _ in range(ROUNDS):
-        more = durable(_verified(parted().mapInArrow(_nearest_across, "a long, b long"), marked, docs))
+        left = durable(_apart(left, parts))
+        more = durable(_verified(drawn(left).mapInArrow(_nearest_across, "a long, b long"), marked, docs))
         if more.isEmpty():
             break
-        led = durable(led.union(more))
-    links = led.union(_verified(parted().mapInArrow(_across, "a long, b long"), marked, docs))
-    return _parts(marked.select("node").distinct(), links)
+        parts = _merged(parts, more)
+    else:
+        left = durable(_apart(left, parts))
+    return _merged(parts, _verified(drawn(left).mapInArrow(_across, "a long, b long"), marked, docs))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
