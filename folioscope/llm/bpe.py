@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
 Texts come in batches of bounded size. A batch's distinct words (matches of the pre-tokenizer's pattern) become token lists:
-of one token, where the whole word is one, else of single bytes. A recursive query unnests them into token-position rows,
+of one token, where the whole word is one, else of single bytes. Short words stay in the worker, up to a bound, with what they gave. A recursive query unnests them into token-position rows,
 joins neighbouring tokens to the merge table, contracts each word's leftmost pair of minimum rank, and repeats until no word
 has a pair to contract. Decoding joins token-position rows to the vocabulary and concatenates the bytes in the order of
 positions, again grouped by word; a document's ids and bytes are those of its words in order, gathered by word numbers. Both
@@ -34,6 +34,8 @@ from folioscope.llm.common import alone, doc_batches, id_and_text, joined, sized
 AT_ONCE = 4 << 20
 #: The same in a pipeline, where executors have less memory to spare.
 AT_ONCE_BESIDE = 2 << 20
+#: Words that a worker keeps from batch to batch at most, and their bytes at most: what is kept isn't coded again.
+KEPT, KEPT_BYTES = 200_000, 32
 #: Words of more bytes than this contract all equal lowest pairs of a round.
 LONG = 256
 #: List entries that a query of short words makes in all its rounds, and bytes of the words of a query of long ones.
@@ -144,6 +146,8 @@ class Coder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self._table("merges", pa.table({"pair": pa.array(merges["pair"], pa.int64()), "merged": pa.array(merges["merged"], pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(self.ids.values(), pa.int32()), "hex": [t.hex() for t in self.ids]}))
+        self.known: dict[bytes, int] = {}  # the place of each kept word in
+        self.kept = pa.array([], pa.large_list(pa.int32())), pa.array([], pa.large_binary())
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         del merges
         trim()
@@ -190,6 +194,23 @@ class Coder:
         ids, back = (pa.concat_arrays(list(x)).take(pa.array(place)) for x in zip(*made))
         return ids, back
 
+    def learned(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """learn() of distinct words, of which those kept from former batches aren't coded again."""
+        before = len(self.known)
+        at = np.array([self.known.get(w, -1) for w in words], np.int64)
+        fresh = np.flatnonzero(at < 0)
+        parts = self.kept
+        if len(fresh):
+            at[fresh] = before + np.arange(len(fresh))
+            made = self.learn([words[i] for i in fresh])
+            parts = tuple(pa.concat_arrays([old, new]) for old, new in zip(self.kept, made))
+            short = [i for i, j in enumerate(fresh) if len(words[j]) <= KEPT_BYTES][: max(0, KEPT - before)]
+            if short:
+                self.known.update((words[fresh[i]], before + n) for n, i in enumerate(short))
+                self.kept = tuple(pa.concat_arrays([old, new.take(pa.array(short))]) for old, new in zip(self.kept, made))
+        ids, back = (p.take(pa.array(at)) for p in parts)
+        return ids, back
+
     def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's end, their decoded bytes, where each text's end); ends start with 0."""
         cut = cut_pieces(texts)
@@ -207,7 +228,7 @@ class Coder:
         if not len(words):
             none = np.zeros(len(texts) + 1, np.int64)
             return np.empty(0, np.int32), none, np.empty(0, np.uint8), none
-        ids, back = self.learn(words.cast(pa.large_binary()).to_pylist())
+        ids, back = self.learned(words.cast(pa.large_binary()).to_pylist())
         piece = (np.cumsum(used) - 1)[kind]
         starts = np.cumsum(counts) - counts
         at = word[np.repeat(starts[piece], counts[piece]) + _counting(counts[piece])]
