@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alone, durable, sieve, sifted, sized_batches, whole_keys
-from folioscope.llm.components import connected
+from folioscope.llm.common import alone, durable, gathered, sieve, sifted, sized_batches, whole_keys
+from folioscope.llm.components import below
 from folioscope.llm.simhash import earliest, one_of_root, print_links, print_of, shingles
 
 WIDTH = 5
@@ -226,17 +226,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """durable(df), of rows that aren't wide, in as few partitions as they ask for."""
+    kept = durable(df)
+    return gathered(kept, kept.count())
+
+
 def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs(a, b) the similar ones. Texts that many pairs name are dealt to several tasks."""
     sketches = marked.groupBy("node").agg(F.first(F.struct("size", "sketch")).alias("of"))
     met = pairs.distinct()
     for side in ("a", "b"):
         met = met.join(sketches.select(F.col("node").alias(side), F.col("of.sketch").alias(f"sketch_{side}"), F.col("of.size").alias(f"size_{side}")), side)
-    pairs = durable(sized_batches(met.select("a", "b", "sketch_a", "size_a", "sketch_b", "size_b")).mapInArrow(_possible, "a long, b long"))
-    routes = pairs.groupBy("a").count().select(F.col("a").alias("node"), "count").union(pairs.groupBy("b").count())
-    routes = routes.groupBy("node").agg(F.ceil(F.max("count") / ROUTED).cast("int").alias("routes"))
+    pairs = _few(sized_batches(met.select("a", "b", "sketch_a", "size_a", "sketch_b", "size_b")).mapInArrow(_possible, "a long, b long"))
+    named = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("first")), F.struct(F.col("b").alias("node"), F.lit(False).alias("first")))))
+    routes = named.groupBy("node").agg(F.ceil(F.greatest(F.count_if("first"), F.count_if(~F.col("first"))) / ROUTED).cast("int").alias("routes"))
     one = marked.groupBy("node").agg(earliest().alias("x")).join(routes, "node")
-    one = durable(one.select("node", "routes", F.col("x.doc_id").alias("_id"), F.xxhash64("x.doc_id", "x.hash").alias("_key"), F.col("x.hash").alias("_hash")))
+    one = _few(one.select("node", "routes", F.col("x.doc_id").alias("_id"), F.xxhash64("x.doc_id", "x.hash").alias("_key"), F.col("x.hash").alias("_hash")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     rows = sifted(rows.withColumn("key", F.xxhash64("doc_id", "hash")), "key", sieve(one, "_key")).where("_maybe")
     same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
@@ -263,24 +269,25 @@ def _by_fingerprint(marked: DataFrame) -> DataFrame:
 
 def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of all nodes."""
-    roots = connected(links).withColumnRenamed("node", "_node")
+    roots = below(links).withColumnRenamed("node", "_node")
     return nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
     """parts(node, root) after more links(a, b): only roots are linked anew."""
     of = lambda side: parts.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    up = connected(more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    up = below(more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     up = up.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-    return durable(parts.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")))
+    return _few(parts.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")))
 
 
 def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows(key, node, size, place) with their roots of parts(node, root), of the keys whose nodes are in several components: later
     rounds, in which components only grow, look at no other ones, and only these rows get their sketches."""
     met = rows.select("key", "node", "size", "place").join(parts, "node").repartition("key")
-    several = met.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return met.join(several, "key", "left_semi").select("key", "node", "size", "place", "root")
+    of = Window.partitionBy("key")
+    met = met.withColumns({"least": F.min("root").over(of), "most": F.max("root").over(of)}).where("least <> most")
+    return met.select("key", "node", "size", "place", "root")
 
 
 def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -299,15 +306,15 @@ def components(docs: DataFrame, marked: DataFrame) -> DataFrame:
         met = left.join(sketches, "node").select("key", "node", "size", "place", "root", "of.*")
         return met.repartition("key").sortWithinPartitions("key")
 
-    parts = durable(_parts(marked.select("node").distinct(), led))
+    parts = _few(_parts(marked.select("node").distinct(), led))
     for _ in range(ROUNDS):
-        left = durable(_apart(left, parts))
+        left = _few(_apart(left, parts))
         more = durable(_verified(drawn(left).mapInArrow(_nearest_across, "a long, b long"), marked, docs))
-        if more.isEmpty():
+        if not (rows := more.count()):
             break
-        parts = _merged(parts, more)
+        parts = _merged(parts, gathered(more, rows))
     else:
-        left = durable(_apart(left, parts))
+        left = _few(_apart(left, parts))
     return _merged(parts, _verified(drawn(left).mapInArrow(_across, "a long, b long"), marked, docs))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import alone, durable, met_by_key, sieve, sifted, sized_batches, whole_keys
-from folioscope.llm.components import connected
+from folioscope.llm.components import below
 
 SEED, BITS = 42, 3
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -194,7 +194,7 @@ def print_links(prints: DataFrame) -> DataFrame:
 def _components(marked: DataFrame) -> DataFrame:
     """(print, root, component_id, n) of every distinct fingerprint of marked(doc_id, print), with its number of rows."""
     prints = durable(marked.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = connected(print_links(prints))
+    roots = below(print_links(prints))
     named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "first", "n")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return durable(named.join(least, "root").select("print", "root", "component_id", "n"))
