@@ -276,7 +276,8 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
     """parts(node, root) after more links(a, b): only roots are linked anew."""
     of = lambda side: parts.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    up = below(more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    met = more.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b")
+    up = below(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())  # few roots have many links
     up = up.select(F.col("node").alias("root"), F.col("root").alias("upper"))
     return _few(parts.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")))
 
